@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, sharding
 from tidemark.llm.common import table
 
 
@@ -17,8 +17,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks, pattern))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe}
+    return {"op3_byte_bpe": op3_byte_bpe, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
