@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, sharding
+from tidemark.llm import bpe, pii, sharding
 from tidemark.llm.common import table
 
 
@@ -17,12 +17,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks, pattern))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe, "op7_sharding": op7_sharding}
+    return {"op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
