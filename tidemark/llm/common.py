@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
+    # translate() looks every character up; lower() is the same where all are ASCII
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_translated(text))
+
+
+def _translated(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, pii, sharding
+from tidemark.llm import bpe, decontaminate, pii, sharding
 from tidemark.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,8 +30,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding}
+    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontamination": decontaminate.ORACLE_SQL}
