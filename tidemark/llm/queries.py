@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, pii, sharding
+from tidemark.llm import bpe, decontaminate, pii, quality, sharding
 from tidemark.llm.common import table
 
 
@@ -29,8 +29,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding}
+    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict:
