@@ -110,8 +110,17 @@ class Codec:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         n, size, fits = len(piece), self.size, self.fits
+        # mostly the longest entries one after another fit; neighbours that all fit are the answer
+        latin, taken, end = piece.decode("latin-1"), [], 0
+        for last, (before, rank) in self.automaton.iter_long(latin):
+            if last - before != end or taken and not (fits[taken[-1], rank] if (taken[-1], rank) in fits else self._may_follow(taken[-1], rank)):
+                break
+            taken.append(rank)
+            end = last + 1
+        if end == n:
+            return taken
         longest = [-1] * n
-        for end, (before, rank) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (before, rank) in self.automaton.iter(latin):
             longest[end - before] = rank  # of matches from one place, the longest comes last
         if -1 in longest:
             raise ValueError("the vocabulary lacks a byte of the text")
@@ -140,7 +149,6 @@ class Codec:
         """Ids of a whole text. No piece spans the space before a word, so what lies between such spaces is encoded once and kept, as the bytes of its ids."""
         if not text:
             return np.empty(0, np.int32)
-        text = text.encode("utf-8", "replace").decode("utf-8")
         if self.plain(text):
             head, *rest = self.cut(text)
             known = map(self.first.__getitem__, rest)
