@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, pii, quality, sharding, toxicity
+from tidemark.llm import bpe, decontaminate, jaccard, pii, quality, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -33,12 +33,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
+    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
