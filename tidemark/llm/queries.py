@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, pii, quality, sharding, toxicity
+from tidemark.llm import ann, bpe, decontaminate, jaccard, pii, quality, sharding, toxicity
 from tidemark.llm.common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), queries=lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -42,8 +46,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
+    return {"op1_ann": op1_ann, "op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_ann": op1_ann, "op2_decontamination": decontaminate.ORACLE_SQL}
