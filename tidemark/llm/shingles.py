@@ -34,13 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTES = mix(np.arange(256, dtype=U) + U(_MUL))
 _BYTES[65:91] = _BYTES[97:123]
+#: Each byte with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), base, U)]), dtype=U)[:n]
 
 
-def _strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null texts are empty."""
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
@@ -54,7 +57,7 @@ def _strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows of about SLICE_BYTES each; a longer text is a run of its own."""
-    _, ends = _strings(texts)
+    _, ends = strings(texts)
     start = 0
     while start < len(texts):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
@@ -62,20 +65,28 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the bounds of each text's words."""
-    raw, ends = _strings(texts)
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, and where each word begins and ends."""
+    raw, ends = strings(texts)
     if not len(raw):
-        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
+        return raw, np.empty(0, np.int64), np.empty(0, np.int64)
     space = _SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)  # whether a text begins or ends before this byte
     edge[ends] = True
     letter = ~space
     begins = np.flatnonzero(letter & np.concatenate([[True], space[:-1]]) | letter & edge[:-1])
     last = np.flatnonzero(letter & np.concatenate([space[1:], [True]]) | letter & edge[1:]) + 1
+    return raw, begins, last
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the bounds of each text's words."""
+    raw, begins, last = word_spans(texts)
+    if not len(raw):
+        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
     sums = np.concatenate([[U(0)], np.cumsum(_BYTES[raw] * _powers(_MUL, len(raw)), dtype=U)])
     hashes = mix((sums[last] - sums[begins]) * _powers(_INVERSE, len(raw))[begins] + (last - begins).astype(U))
-    return hashes, np.searchsorted(begins, ends)
+    return hashes, np.searchsorted(begins, strings(texts)[1])
 
 
 def shingle_hashes(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
