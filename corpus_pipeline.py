@@ -1,10 +1,61 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: stages that each read what the one before has kept.
+
+A stage takes (spark, docs, sf_dir) and returns documents; its result is written as Parquet
+and read again as the next one's ``docs``. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, jaccard, pii, quality
+from tidemark.llm.common import table, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    space = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id"), 4, 2))
+    return quality.score(docs, space, out_col="_quality").filter("_quality >= 0.7").drop("_quality")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of linked ones."""
+    return jaccard.dedupe(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars counts the new text."""
+    out = pii.clean(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids and how many these are; decoding gives the text's bytes again."""
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_copies", drop_near_copies),
+    ("decontamination", decontaminated),
+    ("personal_data", without_personal_data),
+    ("tokens", tokenized),
+]
+#: The classifier and the tokenizer can't be expressed in SQL; the tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from documents on."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,6 +177,25 @@ def train(counts: list[dict]) -> dict[str, list[float]]:
     return out
 
 
+def _weights(candidates: DataFrame) -> dict[str, list[float]]:
+    """The classifier, from the votes that all candidates got; 3 kinds and 4 yes-or-no features are at most 48 rows, whatever the input."""
+    counts = candidates.select(F.explode("pii_candidates").alias("c")).select("c.kind", *(f"c.{f}" for f in FEATURES)).groupBy("kind", *FEATURES).agg(F.count("*").alias("n"))
+    return train([r.asDict() for r in counts.orderBy("kind", *FEATURES).collect()])
+
+
+def _accepted(weights: dict[str, list[float]]) -> Column:
+    """The base spans and the candidates that the classifier accepts, none overlapping one before it."""
+
+    def fine(c: Column) -> Column:
+        score = lambda kind: reduce(lambda a, b: a + b, [c[f] * w for f, w in zip(FEATURES, weights[kind], strict=False)]) + weights[kind][-1]
+        return F.coalesce(*(F.when(c["kind"] == kind, score(kind) >= 0) for kind in ADDED))
+
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    chosen = F.transform(F.filter("pii_candidates", fine), plain)
+    disjoint = F.aggregate(chosen, F.array().cast(T.ArrayType(SPAN)), lambda acc, s: F.when(_clear_of(acc, s), F.array_append(acc, s)).otherwise(acc))
+    return F.concat("pii_base", disjoint)
+
+
 def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``pii_spans`` (kind, start, end): all personal data of each whole text.
 
@@ -186,18 +205,17 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     empty table stays empty.
     """
     rows = written(found(docs, text_col).select(*keep, "pii_base", "pii_candidates"), "pii-candidates")
-    # 3 kinds and 4 yes-or-no features: at most 48 rows, whatever the input
-    counts = rows.select(F.explode("pii_candidates").alias("c")).select("c.kind", *(f"c.{f}" for f in FEATURES)).groupBy("kind", *FEATURES).agg(F.count("*").alias("n"))
-    weights = train([r.asDict() for r in counts.orderBy("kind", *FEATURES).collect()])
+    return rows.select(*keep, _accepted(_weights(rows)).alias("pii_spans"))
 
-    def accepted(c: Column) -> Column:
-        score = lambda kind: reduce(lambda a, b: a + b, [c[f] * w for f, w in zip(FEATURES, weights[kind], strict=False)]) + weights[kind][-1]
-        return F.coalesce(*(F.when(c["kind"] == kind, score(kind) >= 0) for kind in ADDED))
 
-    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    chosen = F.transform(F.filter("pii_candidates", accepted), plain)
-    disjoint = F.aggregate(chosen, F.array().cast(T.ArrayType(SPAN)), lambda acc, s: F.when(_clear_of(acc, s), F.array_append(acc, s)).otherwise(acc))
-    return rows.select(*keep, F.concat("pii_base", disjoint).alias("pii_spans"))
+def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with all personal data of each text replaced, as ``find`` finds and ``redact`` replaces it.
+
+    The texts are read twice, once for the votes and once to be written, and never shuffled.
+    """
+    seen = found(docs, text_col)
+    spans = seen.withColumn("pii_spans", _accepted(_weights(seen.select("pii_candidates"))))
+    return redact(spans, text_col).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
