@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, jaccard, lm, pii, quality, sharding, toxicity
+from tidemark.llm import ann, bpe, decontaminate, jaccard, licenses, lm, pii, quality, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op4_ppm": op4_ppm, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
+    return {"op1_ann": op1_ann, "op2_decontamination": op2_decontamination, "op3_byte_bpe": op3_byte_bpe, "op4_ppm": op4_ppm, "op5_licenses": op5_licenses, "op6_pii": op6_pii, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
