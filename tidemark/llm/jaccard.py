@@ -9,9 +9,9 @@ cold buckets are looked at. How many cold signatures a pair shares, against how
 linked pair must share, drops almost all other pairs before any set is read.
 
 Sets with too few cold signatures (large groups of near copies, texts made of passages that
-are everywhere) go another exact way: in every hot bucket they are compared with its
-smallest set, then, where a bucket still holds more than one component, with each other in
-blocks. Links are verified on the sets themselves.
+are everywhere) go another exact way: in every hot bucket they are compared with one hub after
+another as long as the bucket holds more than one component, and what is still apart then
+is compared with each other in blocks. Links are verified on the sets themselves.
 
 Equal sets are one node from the start, so copies cost nothing; nodes are 64-bit keys.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +39,15 @@ PARTS = 0.57
 #: Sets that share a cold signature at most.
 COLD = 16
 #: Sets of a block that are compared with those of another at once, where buckets stay hot.
-BLOCK = 512
+BLOCK = 2048
+#: Hubs that are tried in buckets that stay open before their members are compared in blocks.
+TURNS = 2
 #: Documents whose ids are broadcast to pick their texts; more of them are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 
 U = np.uint64
+#: A signature's highest bits, which name its band; of a signature, its highest 48 bits go on.
+BAND_BITS, KEPT_BITS = U(4), U(48)
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
@@ -78,7 +82,7 @@ def families(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
         new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(new)
         content = np.add.reduceat(shingles.mix(h), first) if len(first) else np.empty(0, U)
-        signature = shingles.mix(content + shingles.mix(part[first] + (b[first].astype(U) << U(56))))
+        signature = shingles.mix(content + shingles.mix(part[first])) >> BAND_BITS | b[first].astype(U) << (U(64) - BAND_BITS)
         numbers = np.flatnonzero(there)
         yield numbers, band[numbers], signature, own[first]
 
@@ -188,7 +192,7 @@ PAIR, HOT = 0, 1
 
 
 def _buckets(packed: DataFrame) -> DataFrame:
-    """(kind, a, b, n): pairs in cold buckets with how many they share here, and (node, signature) of hot ones."""
+    """(kind, a, b, band, n): pairs in cold buckets with how many they share here, and (node, signature) of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
@@ -214,7 +218,7 @@ def _buckets(packed: DataFrame) -> DataFrame:
                 count = np.diff(np.append(first, len(sig)))
                 in_hot = np.repeat(count > COLD, count)
                 hot_node, hot_sig = np.concatenate([hot_node, node[in_hot]]), np.concatenate([hot_sig, sig[in_hot]])
-                left, right = [], []
+                left, right, bands = [], [], []
                 for m in range(2, COLD + 1):
                     starts = first[count == m]
                     if len(starts):
@@ -222,23 +226,26 @@ def _buckets(packed: DataFrame) -> DataFrame:
                         i, j = np.triu_indices(m, 1)
                         left.append(members[:, i].ravel())
                         right.append(members[:, j].ravel())
+                        bands.append(np.repeat(_band(sig[starts]), len(i)))
                 if left:
-                    pairs = np.stack([np.concatenate(left), np.concatenate(right)], 1)
-                    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                    pairs = pairs[order]
+                    pairs = np.stack([np.concatenate(left), np.concatenate(right), np.concatenate(bands)], 1)
+                    pairs = pairs[np.lexsort(pairs.T)]
                     new = np.ones(len(pairs), bool)
                     new[1:] = (pairs[1:] != pairs[:-1]).any(1)
                     at = np.flatnonzero(new)
-                    n = np.diff(np.append(at, len(pairs)))
-                    yield _rows(PAIR, pairs[at, 0], pairs[at, 1], n)
+                    yield _rows(PAIR, *pairs[at].T, np.diff(np.append(at, len(pairs))))
             if len(hot_node):
-                yield _rows(HOT, hot_node, hot_sig.view(np.int64), np.ones(len(hot_node), np.int64))
+                yield _rows(HOT, hot_node, hot_sig.view(np.int64), _band(hot_sig), np.ones(len(hot_node), np.int64))
 
-    return packed.mapInArrow(run, "kind int, a long, b long, n long")
+    return packed.mapInArrow(run, "kind int, a long, b long, band int, n long")
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
+def _band(signature: np.ndarray) -> np.ndarray:
+    return (signature >> (KEPT_BITS - BAND_BITS)).astype(np.int64)
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, band: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(band.astype(np.int32)), pa.array(n.astype(np.int64))], ["kind", "a", "b", "band", "n"])
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, described: DataFrame, text_col: str) -> DataFrame:
@@ -311,44 +318,66 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     packed = _packed(source, parts, "text").repartition(parts, "part")
     found = written(_buckets(packed), "signature-buckets")
 
-    need = held.select("node", "size", F.explode("bands").alias("b")).select("node", "size", "b.*").groupBy("node").agg(F.first("size").alias("size"), F.min("signatures").alias("fewest"))
-    hot = found.filter(F.col("kind") == HOT).select(F.col("a").alias("node"), F.col("b").alias("signature"))
-    heat = hot.groupBy("node").agg(F.count("*").alias("hot"))
-    # of each band's signatures, so many are cold at least; a linked pair differs in a third of the smaller size at most
-    margin = F.col("fewest") - F.coalesce("hot", F.lit(0)) - F.floor(F.col("size") / 3)
-    nodes = written(need.join(heat, "node", "left").select("node", margin.alias("margin")), "nodes")
+    need = held.select("node", "size", F.explode("bands").alias("b")).groupBy("node", F.col("b.band").alias("band")).agg(F.first("size").alias("size"), F.first("b.signatures").alias("signatures"))
+    hot = found.filter(F.col("kind") == HOT).select(F.col("a").alias("node"), "band", F.col("b").alias("signature")).distinct()
+    hot = written(hot, "hot-signatures")
+    heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"))
+    # a linked set's signatures differ in a third of its size at most, so it shares this many cold ones
+    margin = F.col("signatures") - F.coalesce("hot", F.lit(0)) - F.floor(F.col("size") / 3)
+    nodes = written(need.join(heat, ["node", "band"], "left").select("node", "band", margin.alias("margin"), F.coalesce("hot", F.lit(0)).alias("hot")), "nodes")
 
-    pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.withColumnsRenamed({"node": side, "margin": f"_{side}"}), side)
-    pairs = written(pairs.filter("n >= _a and n >= _b").select("a", "b", "n"), "candidate-pairs")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), "band", F.col("margin").alias(f"_{side}")), [side, "band"])
+    pairs = written(pairs.filter("n >= _a and n >= _b").groupBy("a", "b").agg(F.max("n").alias("n")), "candidate-pairs")
 
-    unsafe = nodes.filter("margin <= 0").select("node")
-    members = written(hot.join(unsafe, "node"), "hot-members")
-    # a bucket's smallest set, and how many share it
-    hubs = members.groupBy("signature").agg(F.min("node").alias("a"))
-    spokes = members.join(hubs, "signature").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    spokes = written(spokes, "hot-spokes")
+    # of an unsafe set, the rarest hot signatures that make up for the cold ones it lacks: two linked sets share one of these
+    rarity = hot.groupBy("signature").agg(F.count("*").alias("of"))
+    unsafe = hot.join(nodes.filter("margin <= 0"), ["node", "band"]).join(rarity, "signature")
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy("of", "signature"))
+    members = written(unsafe.withColumn("place", place).filter("place <= 1 - margin").select("node", "signature", "hot"), "hot-members")
 
     everyone = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     sets = written(_sets_of(source, everyone, held, "text"), "sets")
 
-    links = written(_verified(_best(pairs.unionByName(spokes)), sets), "links-best")
+    links = written(_verified(_best(pairs), sets), "links-best")
     roots = components(links)
-    rest = written(_verified(_apart(pairs.select("a", "b"), roots), sets), "links-rest")
-    links = links.union(rest)
+    links = links.union(written(_verified(_apart(pairs.select("a", "b"), roots), sets), "links-rest"))
     roots = components(links)
-    more = written(_verified(_best(_apart(spokes, roots)), sets), "links-spokes")
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links)
-    blocks = _blocks(members, roots)
-    more = written(_verified(_apart(_near(blocks, sets), roots), sets), "links-blocks")
-    if not more.isEmpty():
+    for turn in range(TURNS):
+        members = _open(members, roots)
+        if members.isEmpty():
+            break
+        more = written(_verified(_apart(_spokes(members, turn), roots), sets), "links-spokes")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
+    members = _open(members, roots)
+    if not members.isEmpty():
+        more = written(_verified(_apart(_near(_blocks(members, roots), sets), roots), sets), "links-blocks")
         roots = components(links.union(more))
     return _labelled(described, roots)
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of hot buckets that hold more than one component."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
+    return written(members.join(open_, "signature", "left_semi"), "hot-open")
+
+
+def _spokes(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's hub with its other members.
+
+    The first hub is the set that shares most of its signatures, which of near copies is the one
+    they all come from; the next are chosen by a hash, alike in buckets with like members.
+    """
+    rank = F.struct(F.col("hot") if turn == 0 else F.xxhash64("node", F.lit(turn)), "node")
+    hubs = members.groupBy("signature").agg(F.max(rank)["node"].alias("hub"))
+    met = members.join(hubs, "signature").filter("hub <> node")
+    return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
 def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(signature, node, root, block) of the hot buckets that hold more than one component, where each distinct list of members is left once."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -95,8 +95,9 @@ def scan(docs: DataFrame, given: DataFrame | None = None, text_col: str = "text"
         verified = met.join(few(mine.select("license_id", "keys")), "license_id")
         containment = F.size(F.array_intersect("keys", "inside")) / F.size("keys")
         verified = verified.withColumn("containment", containment).filter(F.col("containment") >= CONTAINED).select("doc_id", "text_key", "license_id", "window", "containment", "half").distinct()
-        # of templates that differ in a word, such as a version, the one that fits the window best
-        best = F.max("containment").over(Window.partitionBy("doc_id", "text_key", "half", "window"))
+        # of templates that differ in a word, such as a version, the one that fits best there and in the windows that overlap
+        near = Window.partitionBy("doc_id", "text_key", "half").orderBy((F.col("window") / F.col("half")).cast("long")).rangeBetween(-1, 1)
+        best = F.max("containment").over(near)
         verified = verified.withColumn("best", best).filter("containment = best").drop("best", "half")
         found = verified if found is None else found.unionByName(verified)
     if found is None:
