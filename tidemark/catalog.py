@@ -2,10 +2,445 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from tidemark.dialect import ALERT_EXCLUDED, HISTORICAL, LIVE
+from tidemark.functions import js
+from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, schedule, scoring, state
+from tidemark.operators.ordered import numbered
+from tidemark.plans import historical, live, oracle
+from tidemark.sources import candles as source
+
+H4, WEEK, BENCHMARK = oracle.H4, oracle.WEEK, "view"
+HIST = replace(HISTORICAL, horizon=24, interval_ms=H4)
+NOW = replace(LIVE, interval_ms=H4)
+R6 = lambda c: js.js_round(F.col(c), 1e6).alias(c)
+BARS = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trades", "is_closed"]
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _candles(spark, d):
+    return source.from_events(spark, d, H4)
+
+
+def _features(spark, d, dialect=HIST):
+    return indicators.features(_candles(spark, d), dialect, H4)
+
+
+def _evaluated(spark, d):
+    return historical.evaluated_bars(_candles(spark, d), HIST, BENCHMARK)
+
+
+def _trades(spark, d):
+    return historical.trades(_candles(spark, d), HIST, BENCHMARK)
+
+
+# sources
+
+
+@query(f"WITH {oracle.candles()} SELECT {', '.join(BARS)} FROM candles")
+def candles_from_events(spark, d):
+    return _candles(spark, d).select(*BARS)
+
+
+@query(f"""WITH c0 AS (SELECT c_mktsegment AS symbol, CAST(floor(epoch_ms(o_orderdate) / {WEEK}.0) * {WEEK} AS BIGINT) AS open_time, epoch_ms(o_orderdate) AS at, o_orderkey AS tie, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT symbol, open_time, open_time + {WEEK} - 1 AS close_time, arg_min(price, (at, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (at, tie)) AS close, CAST(count(*) AS DOUBLE) AS volume, round(sum(price), 2) AS quote_volume, CAST(count(*) AS INTEGER) AS trades, true AS is_closed FROM c0 GROUP BY ALL""")
+def candles_from_orders(spark, d):
+    return source.from_orders(spark, d, WEEK).select(*BARS).withColumn("quote_volume", F.round("quote_volume", 2))
+
+
+def _klines(spark, d):
+    bars = _candles(spark, d)
+    fields = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "volume", "quote_volume", "trades"]
+    raw = F.to_json(F.array(F.array(*(F.col(f).cast("string") for f in fields))))
+    wrapped = F.when(F.col("open_time") / H4 % 2 == 0, raw).otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}")))
+    return bars.select("symbol", F.lit("4h").alias("interval"), wrapped.alias("raw"), "close_time")
+
+
+@query(f"""WITH {oracle.candles()}, n AS (SELECT max(close_time) AS now FROM candles)
+SELECT symbol, '4h' AS interval, open_time, close_time, open, high, low, close, volume, quote_volume, trades, volume AS taker_buy_volume, quote_volume AS taker_buy_quote_volume, close_time < now AS is_closed FROM candles, n""")
+def normalize_klines(spark, d):
+    rows = _klines(spark, d)
+    now = rows.agg(F.max("close_time")).first()[0]
+    return source.normalized(rows, NOW, now)
+
+
+@query(f"""WITH {oracle.candles()} SELECT symbol, open_time, close + 1 AS close FROM candles WHERE trades % 2 = 0 UNION ALL SELECT symbol, open_time, close FROM candles WHERE trades % 2 = 1""")
+def dedupe_last_wins(spark, d):
+    bars = _candles(spark, d).select("symbol", "open_time", "close", "trades")
+    again = bars.filter("trades % 2 = 0").withColumn("close", F.col("close") + 1)
+    twice = bars.withColumn("ingest_seq", F.lit(0)).unionByName(again.withColumn("ingest_seq", F.lit(1)))
+    return source.deduped(twice).select("symbol", "open_time", "close")
+
+
+@query("SELECT CAST(i AS INTEGER) AS pos, s AS symbol FROM (VALUES (0, 'BTCUSDT'), (1, 'ETHUSDT'), (2, 'SOLUSDT')) t(i, s)")
+def symbol_universe(spark, d):
+    return spark.range(1).select(F.posexplode(source.universe(F.lit(" ethusdt, SOLUSDT ,, btcusdt"))).alias("pos", "symbol"))
+
+
+@query(f"""WITH {oracle.candles()}, n AS (SELECT max(close_time) AS now FROM candles) SELECT symbol, open_time, close FROM candles, n WHERE close_time < now""")
+def closed_only(spark, d):
+    rows = _klines(spark, d)
+    now = rows.agg(F.max("close_time")).first()[0]
+    return source.normalized(rows, NOW, now).filter("is_closed").select("symbol", "open_time", "close")
+
+
+# indicators
+
+for _name, _cols, _dialect in (
+    ("true_range", ["true_range"], HIST),
+    ("atr14", ["atr"], HIST),
+    ("volume_ratio_live", ["volume_ratio"], NOW),
+    ("volume_ratio_hist", ["volume_ratio"], HIST),
+    ("structure20", ["structure_low", "structure_high"], HIST),
+    ("move16", ["move"], HIST),
+    ("data_quality_prefix", ["quality"], HIST),
+    ("data_quality_bounded", ["quality"], NOW),
+):
+    QUERIES[_name] = lambda spark, d, cols=_cols, dialect=_dialect: _features(spark, d, dialect).select("symbol", "open_time", *map(R6, cols))
+    SQL[_name] = f"WITH {oracle.features(_dialect)} SELECT symbol, open_time, {', '.join(f'{oracle.r6(c)} AS {c}' for c in _cols)} FROM feat"
+
+
+@query(f"WITH {oracle.features(HIST)} SELECT symbol, open_time, direction FROM feat")
+def direction9(spark, d):
+    return _features(spark, d).select("symbol", "open_time", "direction")
+
+
+@query(f"WITH {oracle.features(HIST)} SELECT a.symbol, a.open_time, {oracle.r6('a.move - b.move')} AS relative_strength FROM feat a JOIN feat b ON a.open_time = b.open_time AND b.symbol = 'view'")
+def relative_strength16(spark, d):
+    return indicators.with_benchmark(_features(spark, d), BENCHMARK).select("symbol", "open_time", R6("relative_strength"))
+
+
+@query(f"WITH {oracle.features(HIST)} SELECT a.symbol, a.open_time, CAST(a.seq AS BIGINT) AS seq, CAST(b.seq AS BIGINT) AS benchmark_seq FROM feat a JOIN feat b ON a.open_time = b.open_time AND b.symbol = 'view'")
+def benchmark_join(spark, d):
+    return indicators.with_benchmark(_features(spark, d), BENCHMARK).select("symbol", "open_time", F.col("seq").cast("bigint").alias("seq"), F.col("benchmark_seq").cast("bigint").alias("benchmark_seq"))
+
+
+# scores and plans
+
+EVALUATION = ["symbol", "open_time", "direction", "score", "level", "lifecycle_status", "btc_state", "market_regime", "eligible", "no_chase"]
+PRICES = ["entry_low", "entry_high", "stop_loss", "tp1", "tp2", "tp3", "sl_distance_pct", "sl_atr_ratio", "no_chase_price"]
+
+
+@query(f"WITH {oracle.evaluated()} SELECT {', '.join(EVALUATION + PRICES)} FROM ev")
+def evaluate_bars_hist(spark, d):
+    return _evaluated(spark, d).select(*EVALUATION, *PRICES)
+
+
+@query(f"WITH {oracle.latest()} SELECT {', '.join(EVALUATION + PRICES)} FROM ev")
+def evaluate_latest_live(spark, d):
+    return live.latest(_candles(spark, d), NOW, BENCHMARK).select(*EVALUATION, *PRICES)
+
+
+@query(f"WITH {oracle.latest()} SELECT symbol, {oracle.r6('relative_strength')} AS relative_strength FROM j")
+def latest_cross_benchmark(spark, d):
+    return live.latest(_candles(spark, d), NOW, BENCHMARK).select("symbol", R6("relative_strength"))
+
+
+@query(f"WITH {oracle.evaluated()} SELECT symbol, open_time, score, level FROM ev")
+def score_level(spark, d):
+    return _evaluated(spark, d).select("symbol", "open_time", "score", "level")
+
+
+@query("""SELECT event_id, CASE WHEN f IS NULL THEN 6.0 WHEN abs(f) < 0.0005 THEN 8.0 WHEN abs(f) < 0.001 THEN 6.0 WHEN abs(f) < 0.002 THEN 4.0 ELSE 2.0 END::DOUBLE AS live_points,
+CASE WHEN f IS NULL THEN 5.0 WHEN abs(f) < 0.0002 THEN 8.0 WHEN abs(f) < 0.0005 THEN 5.0 ELSE 2.0 END::DOUBLE AS historical_points FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 50 - 25) * 1e-4 END AS f FROM events)""")
+def funding_health(spark, d):
+    rate = F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise((F.col("event_id") % 50 - 25) * F.lit(1e-4))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select("event_id", scoring.funding_points(rate, LIVE).alias("live_points"), scoring.funding_points(rate, HISTORICAL).alias("historical_points"))
+
+
+@query(f"""WITH {oracle.evaluated()} SELECT symbol, open_time, {oracle.r6('least(10.0, greatest(0.0, quality / 10))')} AS quality_points, CASE WHEN aligned THEN 10.0 ELSE 4.0 END::DOUBLE AS aligned_points,
+{oracle.r6('least(1.0, greatest(0.0, volume_ratio / 2)) * 8')} AS volume_points, {oracle.r6('least(6.0, abs(relative_strength))')} AS strength_points FROM ev""")
+def score_components(spark, d):
+    rows = _evaluated(spark, d)
+    terms = scoring.components(F.col("quality"), scoring.aligned(F.col("direction"), F.col("relative_strength")), F.col("volume_ratio"), F.col("relative_strength"), F.lit(None).cast("double"), F.lit(None).cast("double"), HIST, F.lit(plan.WEIGHTED_RR), F.lit(5.0))
+    names = ["quality_points", "aligned_points", "volume_points", "strength_points"]
+    return rows.select("symbol", "open_time", *(terms[n].alias(n) for n in names)).select("symbol", "open_time", *map(R6, names))
+
+
+@query(f"WITH {oracle.evaluated()} SELECT symbol, open_time, btc_state, market_regime FROM ev")
+def regime_state(spark, d):
+    return _evaluated(spark, d).select("symbol", "open_time", "btc_state", "market_regime")
+
+
+@query(f"WITH {oracle.evaluated()} SELECT symbol, open_time, direction, {', '.join(PRICES)} FROM ev")
+def trading_plan_long_short(spark, d):
+    return _evaluated(spark, d).select("symbol", "open_time", "direction", *PRICES)
+
+
+@query("""SELECT o_orderkey, CASE WHEN l THEN (104.0 - 94.0 <= 0) OR p > 104 + 10 ELSE (106.0 - 100.0 <= 0) OR p < 100.0 - 6.0 END AS no_chase FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS l, 80 + o_orderkey % 50 AS p FROM orders)""")
+def no_chase(spark, d):
+    long = F.col("o_orderkey") % 2 == 0
+    stop = F.when(long, F.lit(94.0)).otherwise(F.lit(106.0))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select("o_orderkey", plan.no_chase(F.when(long, "LONG").otherwise("SHORT"), (80 + F.col("o_orderkey") % 50).cast("double"), F.lit(100.0), F.lit(104.0), stop).alias("no_chase"))
+
+
+# outcomes, trades and summaries
+
+OUTCOME = ["symbol", "seq", "direction", "level", "score", "entry_hit", "final_status", "final_r", "mfe", "mae", "duration"]
+_OUT = ", ".join("CAST(seq AS BIGINT) AS seq" if c == "seq" else c for c in OUTCOME)
+
+
+def _outcome(df):
+    return df.select(*(F.col(c).cast("bigint").alias(c) if c == "seq" else F.col(c) for c in OUTCOME))
+
+
+@query(f"WITH {oracle.outcomes()} SELECT {_OUT} FROM outc")
+def outcomes(spark, d):
+    return _outcome(historical.outcomes(_candles(spark, d), HIST, BENCHMARK))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {oracle.js('r - sign(r) * (CAST(0.001 AS DOUBLE) + CAST(0.0005 AS DOUBLE)) * 2')} AS final_r FROM (SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 5 - 1 AS DOUBLE) AS r FROM lineitem)""")
+def outcome_costs(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", outcome.with_costs((F.col("l_linenumber") % 5 - 1).cast("double"), LIVE.fee, LIVE.slippage).alias("final_r"))
+
+
+@query(f"WITH {oracle.evaluated()} SELECT symbol, open_time, CAST(s.step AS INTEGER) AS step FROM ev, (SELECT unnest([1, 2, 4]) AS step) s WHERE (seq - 40) % s.step = 0")
+def polling_candidates(spark, d):
+    return schedule.strided(_evaluated(spark, d), HIST).select("symbol", "open_time", "step")
+
+
+@query(f"WITH {oracle.trades()} SELECT CAST(step AS INTEGER) AS step, polling_minutes, {_OUT} FROM trades")
+def trades_greedy(spark, d):
+    rows = _trades(spark, d)
+    return rows.select("step", "polling_minutes", *(F.col(c).cast("bigint").alias(c) if c == "seq" else F.col(c) for c in OUTCOME))
+
+
+STRONG = F.col("level").eqNullSafe("S") & ~F.col("symbol").isin("purchase")
+for _name, _keys, _where, _filter in (
+    ("summary_by_polling", ["polling_minutes"], "true", None),
+    ("summary_optimized_by_polling", ["polling_minutes"], "level = 'S' AND symbol <> 'purchase'", STRONG),
+    ("summary_by_symbol", ["symbol"], "step = 1", F.col("step") == 1),
+    ("summary_optimized_by_symbol", ["symbol"], "step = 1 AND level = 'S' AND symbol <> 'purchase'", STRONG & (F.col("step") == 1)),
+    ("summary_by_level", ["level"], "step = 1", F.col("step") == 1),
+    ("summary_by_direction", ["direction"], "step = 1", F.col("step") == 1),
+    ("summary_by_symbol_direction", ["symbol", "direction"], "step = 1", F.col("step") == 1),
+):
+
+    def _summary(spark, d, keys=_keys, only=_filter):
+        rows = _trades(spark, d)
+        return metrics.summary(rows if only is None else rows.filter(only), keys)
+
+    QUERIES[_name] = _summary
+    SQL[_name] = oracle.summary(", ".join(_keys), _where)
+
+
+@query(f"WITH {oracle.trades()} SELECT polling_minutes, final_status, count(*) AS n FROM trades GROUP BY ALL")
+def status_histogram(spark, d):
+    return metrics.status_histogram(_trades(spark, d), ["polling_minutes"])
+
+
+@query(f"SELECT polling_minutes, max_drawdown FROM ({oracle.summary('polling_minutes')})")
+def max_drawdown(spark, d):
+    return metrics.max_drawdown(_trades(spark, d), ["polling_minutes"])
+
+
+@query(f"SELECT symbol, max_losing_streak FROM ({oracle.summary('symbol')})")
+def losing_streak(spark, d):
+    return metrics.losing_streak(_trades(spark, d), ["symbol"])
+
+
+@query(f"WITH {oracle.trades()} SELECT polling_minutes, {oracle.js('median(final_r)')} AS median_r FROM trades GROUP BY ALL")
+def median_r(spark, d):
+    return _trades(spark, d).groupBy("polling_minutes").agg(metrics.basic(1e4)["median_r"].alias("median_r"))
+
+
+@query(f"""WITH {oracle.candles()} SELECT symbol, count(*) AS bars, strftime(make_timestamp(min(open_time) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS first_open, strftime(make_timestamp(max(open_time) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_open FROM candles GROUP BY symbol""")
+def data_coverage(spark, d):
+    return metrics.coverage(_candles(spark, d))
+
+
+@query(f"WITH {oracle.trades()} SELECT symbol, CAST(seq AS BIGINT) AS seq, final_status, final_r FROM trades WHERE step = 1 ORDER BY symbol, seq LIMIT 20")
+def sample_trades(spark, d):
+    rows = _trades(spark, d).filter("step = 1").orderBy("symbol", "seq").limit(20)
+    return rows.select("symbol", F.col("seq").cast("bigint").alias("seq"), "final_status", "final_r")
+
+
+@query(f"WITH {oracle.evaluated()} SELECT count(*) AS generated, count_if(level IN ('A', 'S')) AS qualified, count_if(level = 'S') AS strong, count_if(lifecycle_status = 'planned') AS planned FROM ev")
+def sync_counters(spark, d):
+    return state.counters(_evaluated(spark, d))
+
+
+# stored state
+
+_SIGNALS = f"""WITH {oracle.evaluated()}, sig AS (SELECT *, symbol || ':' || direction || ':trend_pullback:' || market_regime || ':15m' AS opportunity_id, close_time AS created_ms, symbol || ':' || direction || ':trend_pullback:' || market_regime || ':15m@' || CAST(close_time AS VARCHAR) AS id FROM ev)"""
+
+
+def _signals(spark, d):
+    return live.signals(_evaluated(spark, d))
+
+
+@query(_SIGNALS + " SELECT opportunity_id, created_ms, level, lifecycle_status FROM (SELECT *, lag(level) OVER w AS l0, lag(lifecycle_status) OVER w AS s0 FROM sig WINDOW w AS (PARTITION BY opportunity_id ORDER BY created_ms)) WHERE l0 IS NULL OR l0 <> level OR s0 <> lifecycle_status")
+def signal_log_on_change(spark, d):
+    return state.changed(_signals(spark, d)).select("opportunity_id", "created_ms", "level", "lifecycle_status")
+
+
+@query(_SIGNALS + " SELECT opportunity_id, arg_max(symbol, created_ms) AS symbol, arg_max(direction, created_ms) AS direction, arg_max(lifecycle_status, created_ms) AS lifecycle_status, arg_max(score, created_ms) AS current_score, arg_max(level, created_ms) AS current_level, min(created_ms) AS first_detected_ms, max(created_ms) AS last_updated_ms FROM sig GROUP BY opportunity_id")
+def opportunities_upsert(spark, d):
+    return state.opportunities(_signals(spark, d))
+
+
+@query(f"WITH {oracle.candles()}, m AS (SELECT max(open_time) AS t FROM candles) SELECT symbol, open_time, CASE WHEN open_time >= t - {10 * H4} THEN close * 2 ELSE close END AS close, CASE WHEN open_time = t THEN 70 ELSE 100 END AS data_quality_score FROM candles, m")
+def candles_upsert(spark, d):
+    bars = _candles(spark, d).select("symbol", "open_time", "close")
+    last = bars.agg(F.max("open_time")).first()[0]
+    old = bars.withColumns({"is_closed": F.lit(True), "ingest_seq": F.lit(0)})
+    new = bars.filter(F.col("open_time") >= last - 10 * H4).select("symbol", "open_time", (F.col("close") * 2).alias("close"), (F.col("open_time") < last).alias("is_closed"), F.lit(1).alias("ingest_seq"))
+    return state.candle_quality(state.upserted(old, new, ["symbol", "open_time"], "ingest_seq")).select("symbol", "open_time", "close", "data_quality_score")
+
+
+@query("SELECT DISTINCT event_type AS symbol, CASE WHEN event_type IN ('view', 'click') THEN 'A' ELSE 'B' END AS pool_type FROM events")
+def symbols_upsert(spark, d):
+    names = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol")).distinct()
+    new = names.withColumns({"pool_type": state.symbol_pool(F.col("symbol"), ("view", "click")), "updated": F.lit(1)})
+    old = names.withColumns({"pool_type": F.lit("B"), "updated": F.lit(0)})
+    return state.upserted(old, new, ["symbol"], "updated").select("symbol", "pool_type")
+
+
+@query("SELECT o_orderkey AS notification_id, CASE WHEN o_orderkey % 3 = 0 THEN 'sent' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'queued' END AS status FROM orders")
+def notification_status_update(spark, d):
+    queued = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("notification_id"), F.lit("queued").alias("status"))
+    part = lambda k: queued.filter(F.col("notification_id") % 3 == k).select("notification_id")
+    return state.notification_status(queued, part(0), part(1))
+
+
+@query(_SIGNALS + ", old AS (SELECT opportunity_id, arg_max(level, created_ms) AS latest_level, arg_max(lifecycle_status, created_ms) AS latest_status FROM sig WHERE seq < 100 GROUP BY opportunity_id) SELECT s.id, latest_level, latest_status FROM sig s LEFT JOIN old USING (opportunity_id) WHERE s.seq >= 100")
+def latest_stored_signal(spark, d):
+    rows = _signals(spark, d)
+    return state.with_latest(rows.filter("seq >= 100"), rows.filter("seq < 100")).select("id", "latest_level", "latest_status")
+
+
+# alerts and texts
+
+
+@query(_SIGNALS + " SELECT id, symbol, level, score FROM sig WHERE level = 'S' AND symbol NOT IN ('purchase')")
+def strong_alerts(spark, d):
+    excluded = spark.createDataFrame([("purchase",), *((s,) for s in ALERT_EXCLUDED)], "symbol string")
+    return alerts.strong(_signals(spark, d), excluded).select("id", "symbol", "level", "score")
+
+
+def _price(x: str) -> str:
+    return f"coalesce(rtrim(rtrim(printf('%.8f', {x}), '0'), '.'), '')"
+
+
+_WORDS = """CASE WHEN direction = 'LONG' THEN '做多' ELSE '做空' END AS act, CASE WHEN direction = 'LONG' THEN '上涨' ELSE '下跌' END AS move, CASE level WHEN 'S' THEN '很强' WHEN 'A' THEN '较强' ELSE '观察' END AS strength,
+'数据质量 ' || rtrim(rtrim(printf('%.8f', quality), '0'), '.') || CASE WHEN volume_ratio >= 2 THEN '；成交额放大 ' || printf('%.2f', volume_ratio) || ' 倍' ELSE '' END || CASE WHEN relative_strength > 0 THEN '；相对 BTC 走强 ' || printf('%.2f', relative_strength) || '%' WHEN relative_strength < 0 THEN '；相对 BTC 走弱 ' || printf('%.2f', relative_strength) || '%' ELSE '' END AS why,
+'15m 收盘跌破结构位；价格远离入场区超过 1R；数据质量低于 75' AS rules"""
+
+
+def _sql_filled(pattern: str, columns: dict[str, str]) -> str:
+    parts = []
+    for i, piece in enumerate(pattern.replace("}", "{").split("{")):
+        if i % 2:
+            parts.append(columns[piece])
+        elif piece:
+            parts.append("'" + piece.replace("'", "''") + "'")
+    return " || ".join(parts) or "''"
+
+
+def _sql_lines(lines, columns) -> str:
+    one = lambda a, b: _sql_filled(a, columns) if b is None else f"CASE WHEN eligible THEN {_sql_filled(a, columns)} ELSE {_sql_filled(b, columns)} END"
+    return " || chr(10) || ".join(f"({one(a, b)})" for a, b in lines)
+
+
+_COLUMNS = {c: c for c in ("symbol", "act", "move", "strength", "why", "rules")} | {"score": "CAST(score AS VARCHAR)"} | {p: _price(p) for p in alerts.PRICES}
+_CLOSING = " || chr(10) || ".join(f"'{x}'" for x in alerts.CLOSING)
+
+
+@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS} FROM sig) SELECT id, CASE WHEN eligible THEN {_sql_filled(alerts.SINGLE['subject'], _COLUMNS)} ELSE {_sql_filled(alerts.SINGLE['subject_without'], _COLUMNS)} END AS subject, {_sql_lines(alerts.SINGLE['lines'], _COLUMNS)} || chr(10) || {_CLOSING} AS body FROM w""")
+def signal_email(spark, d):
+    return alerts.single(_signals(spark, d)).select("id", "subject", "body")
+
+
+@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS}, CAST(row_number() OVER (PARTITION BY created_ms ORDER BY score DESC, symbol) AS VARCHAR) AS rk, CAST(count(*) OVER (PARTITION BY created_ms) AS VARCHAR) AS n FROM sig),
+b AS (SELECT created_ms, rk, n, {_sql_filled(alerts.SUMMARY['subject'], _COLUMNS | {'n': 'n'})} AS head, {_sql_lines(alerts.SUMMARY['lines'], _COLUMNS | {'rank': 'rk'})} AS block FROM w)
+SELECT created_ms, max(CASE WHEN rk = '1' THEN head END) AS subject, {_sql_filled(alerts.SUMMARY['head'], {'n': 'max(n)'})} || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY CAST(rk AS INTEGER)) || chr(10) || {_CLOSING} AS body FROM b GROUP BY created_ms""")
+def summary_email(spark, d):
+    return alerts.summary(_signals(spark, d).withColumn("ord", F.col("symbol")), "created_ms")
+
+
+@query("""SELECT o_orderkey, 'From: Radar <radar@example.com>' || chr(13) || chr(10) || 'To: ops@example.com' || chr(13) || chr(10) || 'Subject: =?UTF-8?B?' || base64(encode('提醒 ' || o_orderpriority)) || '?=' || chr(13) || chr(10) || 'MIME-Version: 1.0' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(13) || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(13) || chr(10) || chr(13) || chr(10) || o_orderstatus || chr(13) || chr(10) || '.' || chr(13) || chr(10) AS message FROM orders""")
+def mime_message(spark, d):
+    name, email = alerts.sender(F.lit(" Radar "), F.lit("radar@example.com"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", alerts.mime(email, name, F.lit("ops@example.com"), F.concat(F.lit("提醒 "), F.col("o_orderpriority")), F.col("o_orderstatus")).alias("message"))
+
+
+# read model
+
+
+@query(_SIGNALS + " SELECT id, symbol, score, created_ms FROM sig ORDER BY created_ms DESC, id LIMIT 20")
+def recent_signals(spark, d):
+    return readmodel.recent(_signals(spark, d)).select("id", "symbol", "score", "created_ms")
+
+
+@query(_SIGNALS + " SELECT id, level, score FROM sig WHERE id = (SELECT min(id) FROM sig)")
+def signal_by_id(spark, d):
+    rows = _signals(spark, d)
+    first = rows.agg(F.min("id")).first()[0]
+    return readmodel.by_id(rows, first).select("id", "level", "score")
+
+
+@query(_SIGNALS + """, n AS (SELECT * FROM sig ORDER BY created_ms DESC, id LIMIT 50), x AS (SELECT symbol, arg_max(level, (created_ms, id)) AS level, arg_max(relative_strength, (created_ms, id)) AS rs0, arg_max(eligible, (created_ms, id)) AS planned, arg_max(score, (created_ms, id)) AS score FROM n GROUP BY symbol)
+SELECT symbol, CASE WHEN level IN ('S', 'A') THEN 'C' ELSE 'B' END AS pool, CAST(printf('%.2f', rs0) AS DOUBLE) AS rs, '-' AS volume_ratio, CASE WHEN planned THEN 'normal_vol' ELSE '待确认' END AS atr_state, '未接入' AS funding, score FROM x""")
+def radar_rows(spark, d):
+    return readmodel.radar(_signals(spark, d))
+
+
+_DIRTY = """(SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'abc' WHEN 3 THEN 'NaN' ELSE CAST(event_id AS VARCHAR) || '.5' END AS score, CASE WHEN event_id % 3 = 0 THEN 'SHORT' ELSE 'up' END AS direction, CASE WHEN event_id % 2 = 0 THEN 'planned' ELSE 'zzz' END AS lifecycle_status, CASE event_id % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'B' ELSE 'q' END AS level, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'trend' END AS btc_state, event_id FROM events)"""
+
+
+@query(f"""SELECT id, CASE WHEN event_id % 5 = 4 THEN CAST(score AS DOUBLE) ELSE 0.0 END AS score, CASE WHEN direction = 'SHORT' THEN 'SHORT' ELSE 'LONG' END AS direction, 'trend_pullback' AS signal_type, CASE WHEN lifecycle_status = 'planned' THEN 'planned' ELSE 'detected' END AS lifecycle_status,
+CASE WHEN level IN ('S', 'B') THEN level ELSE 'NONE' END AS level, CASE WHEN btc_state = '' THEN 'range' ELSE btc_state END AS btc_state, CASE event_id % 5 WHEN 4 THEN CAST(score AS DOUBLE) WHEN 1 THEN 0.0 END AS entry_low, CASE WHEN event_id % 2 = 0 THEN 'a|b' ELSE '' END AS reasons, CASE WHEN event_id % 2 = 0 THEN 1.5 ELSE 0.0 END::DOUBLE AS no_chase_price FROM {_DIRTY}""")
+def coerce_signals(spark, d):
+    k = F.col("event_id")
+    dirty = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "").when(k % 5 == 2, "abc").when(k % 5 == 3, "NaN").otherwise(F.concat(k.cast("string"), F.lit(".5")))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        k.cast("string").alias("id"),
+        dirty.alias("score"),
+        F.when(k % 3 == 0, "SHORT").otherwise("up").alias("direction"),
+        F.lit(None).cast("string").alias("signal_type"),
+        F.when(k % 2 == 0, "planned").otherwise("zzz").alias("lifecycle_status"),
+        F.when(k % 4 == 0, "S").when(k % 4 == 1, "B").otherwise("q").alias("level"),
+        F.when(k % 2 == 0, "").otherwise("trend").alias("btc_state"),
+        dirty.alias("entry_low"),
+        F.when(k % 2 == 0, '["a","b"]').otherwise("{}").alias("reasons"),
+        F.when(k % 2 == 0, '{"noChasePrice":1.5}').otherwise("[]").alias("no_chase_rule"),
+    )
+    return readmodel.coerced(rows)
+
+
+@query("""SELECT value, CASE WHEN value LIKE '%S%' OR value LIKE '%正常%' OR value LIKE '%planned%' THEN 'green' WHEN value LIKE '%A%' OR value LIKE '%trend%' THEN 'blue' WHEN value LIKE '%B%' OR value LIKE '%观察%' OR value LIKE '%watching%' THEN 'yellow' WHEN value LIKE '%SHORT%' OR value LIKE '%风险%' THEN 'red' ELSE '' END AS color
+FROM (SELECT unnest(['S', 'A', 'B', 'SHORT', 'LONG', 'trend', 'planned', 'watching', '风险', '正常', 'x']) AS value)""")
+def badge_color(spark, d):
+    values = ["S", "A", "B", "SHORT", "LONG", "trend", "planned", "watching", "风险", "正常", "x"]
+    return spark.createDataFrame([(v,) for v in values], "value string").select("value", readmodel.badge(F.col("value")).alias("color"))
+
+
+@query(f"WITH {oracle.candles()} SELECT symbol, open_time, CAST(row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS BIGINT) AS seq, count(*) OVER (PARTITION BY symbol) AS bars FROM candles")
+def bar_numbers(spark, d):
+    return numbered(_candles(spark, d)).select("symbol", "open_time", F.col("seq").cast("bigint").alias("seq"), "bars")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
