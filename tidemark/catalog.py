@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.dialect import ALERT_EXCLUDED, HISTORICAL, LIVE
 from tidemark.functions import js
-from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, schedule, scoring, state
+from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, risk, schedule, scoring, state
 from tidemark.operators.ordered import numbered
 from tidemark.plans import historical, live, oracle
 from tidemark.sources import candles as source
@@ -57,8 +57,8 @@ def candles_from_events(spark, d):
     return _candles(spark, d).select(*BARS)
 
 
-@query(f"""WITH c0 AS (SELECT c_mktsegment AS symbol, CAST(floor(epoch_ms(o_orderdate) / {WEEK}.0) * {WEEK} AS BIGINT) AS open_time, epoch_ms(o_orderdate) AS at, o_orderkey AS tie, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT symbol, open_time, open_time + {WEEK} - 1 AS close_time, arg_min(price, (at, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (at, tie)) AS close, CAST(count(*) AS DOUBLE) AS volume, round(sum(price), 2) AS quote_volume, CAST(count(*) AS INTEGER) AS trades, true AS is_closed FROM c0 GROUP BY ALL""")
+@query(f"""WITH c0 AS (SELECT c_mktsegment AS symbol, CAST(floor(epoch_ms(o_orderdate) / {WEEK}.0) * {WEEK} AS BIGINT) AS open_time, epoch_ms(o_orderdate) AS ts_ms, o_orderkey AS tie, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT symbol, open_time, open_time + {WEEK} - 1 AS close_time, arg_min(price, (ts_ms, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ms, tie)) AS close, CAST(count(*) AS DOUBLE) AS volume, round(sum(price), 2) AS quote_volume, CAST(count(*) AS INTEGER) AS trades, true AS is_closed FROM c0 GROUP BY ALL""")
 def candles_from_orders(spark, d):
     return source.from_orders(spark, d, WEEK).select(*BARS).withColumn("quote_volume", F.round("quote_volume", 2))
 
@@ -438,6 +438,30 @@ def bar_numbers(spark, d):
     return numbered(_candles(spark, d)).select("symbol", "open_time", F.col("seq").cast("bigint").alias("seq"), "bars")
 
 
+# declared rules
+
+
+@query(f"WITH {oracle.trades()} SELECT CAST(step AS INTEGER) AS step, symbol, CAST(seq AS BIGINT) AS seq, (count(*) OVER w = 3 AND avg(final_r) OVER w < 0.2) AS paused FROM trades WINDOW w AS (PARTITION BY step, symbol, level ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def circuit_breaker(spark, d):
+    return risk.circuit_breaker(_trades(spark, d), 3, 0.2).select("step", "symbol", F.col("seq").cast("bigint").alias("seq"), "paused")
+
+
+@query(f"WITH {oracle.features(HIST)} SELECT symbol, open_time, {oracle.js('(max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) - close) / close * 100')} AS max_profit_pct_4, {oracle.js('(close - min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)) / close * 100')} AS max_loss_pct_4 FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY open_time)")
+def horizon_excursions(spark, d):
+    rows = numbered(_candles(spark, d)).select("symbol", "open_time", "seq", "close", "high", "low")
+    return risk.excursions(rows, {"4": 4}).select("symbol", "open_time", "max_profit_pct_4", "max_loss_pct_4")
+
+
+@query(f"WITH {oracle.candles()} SELECT a.symbol, a.open_time, {oracle.js('count_if(b.close <= a.close) / CAST(count(*) AS DOUBLE) * 100')} AS close_percentile FROM candles a JOIN candles b ON a.symbol = b.symbol AND b.open_time BETWEEN a.open_time - {10 * 86_400_000} AND a.open_time GROUP BY ALL")
+def funding_percentile(spark, d):
+    return risk.percentile(_candles(spark, d), "close", 10).select("symbol", "open_time", "close_percentile")
+
+
+@query(_SIGNALS + " SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY symbol, CAST(floor(created_ms / 86400000.0) AS BIGINT) ORDER BY score DESC, created_ms) AS n FROM sig) WHERE n <= 2")
+def daily_alert_cap(spark, d):
+    return risk.daily_cap(_signals(spark, d), 2).select("id")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -17,8 +17,8 @@ def js(x: str, scale: str = "1e4") -> str:
 
 
 def candles(interval: int = H4) -> str:
-    return f"""c0 AS (SELECT event_type AS symbol, CAST(floor(epoch_ms(ts) / {interval}.0) * {interval} AS BIGINT) AS open_time, epoch_ms(ts) AS at, event_id AS tie, value AS price FROM events WHERE value IS NOT NULL),
-candles AS (SELECT symbol, open_time, open_time + {interval} - 1 AS close_time, arg_min(price, (at, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (at, tie)) AS close,
+    return f"""c0 AS (SELECT event_type AS symbol, CAST(floor(epoch_ms(ts) / {interval}.0) * {interval} AS BIGINT) AS open_time, epoch_ms(ts) AS ts_ms, event_id AS tie, value AS price FROM events WHERE value IS NOT NULL),
+candles AS (SELECT symbol, open_time, open_time + {interval} - 1 AS close_time, arg_min(price, (ts_ms, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ms, tie)) AS close,
   CAST(count(*) AS DOUBLE) AS volume, {r6('sum(price)')} AS quote_volume, CAST(count(*) AS INTEGER) AS trades, true AS is_closed FROM c0 GROUP BY ALL)"""
 
 
