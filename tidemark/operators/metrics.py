@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.js import iso_time, js_round, ratio
-from tidemark.operators.ordered import running
 
 #: The order in which trades were appended: pieces of series one after another, then time.
 PIECE, WITHIN = ["step", "symbol", "piece"], ["seq"]
@@ -16,25 +15,53 @@ def pieces(trades: DataFrame) -> DataFrame:
     return trades.withColumn("piece", F.floor(F.col("seq") / 4096))
 
 
-def _order(keys: list[str]) -> list[str]:
-    return [c for c in PIECE if c not in keys]
-
-
-def equity(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Trades with the running sum of their results per ``keys``, its running peak from 0 and the run of losses."""
-    rows = running(pieces(trades), keys, WITHIN, _order(keys), {"equity": ("sum", F.col("final_r")), "loss_run": ("sum", F.when(F.col("final_r") < 0, 0).otherwise(1))})
-    rows = running(rows, keys, WITHIN, _order(keys), {"peak": ("max", F.greatest(F.lit(0.0), F.col("equity")))})
-    return rows
+def path_measures(trades: DataFrame, keys: list[str], scale: float | None = 1e4) -> DataFrame:
+    """max_drawdown and max_losing_streak per ``keys``, in the order in which trades were appended.
+
+    Each piece of a series is measured on its own (its total, highest and lowest sum so far, fall
+    from a peak, runs of losses at its ends and inside); the few pieces of a key are then joined in
+    order. The peak starts at 0; a trade that isn't a loss ends a run.
+    """
+    w = Window.partitionBy(*keys, *PIECE).orderBy(*WITHIN).rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.col("final_r") < 0
+    rows = pieces(trades).withColumns({"_sum": F.sum("final_r").over(w), "_run": F.sum(F.when(lost, 0).otherwise(1)).over(w)})
+    island = Window.partitionBy(*keys, *PIECE, "_run").orderBy(*WITHIN).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_peak": F.max("_sum").over(w), "_losses": F.sum(F.when(lost, 1).otherwise(0)).over(island)})
+    parts = rows.groupBy(*dict.fromkeys([*keys, *PIECE])).agg(
+        F.sum("final_r").alias("total"),
+        F.max("_sum").alias("high"),
+        F.min("_sum").alias("low"),
+        F.max(F.col("_peak") - F.col("_sum")).alias("fall"),
+        F.max(F.when(F.col("_run") == 0, F.col("_losses")).otherwise(0)).alias("head"),
+        F.max("_losses").alias("best"),
+        F.max_by(F.when(lost, F.col("_losses")).otherwise(0), "seq").alias("tail"),
+        (F.max("_run") == 0).alias("all_lost"),
+        F.count("*").alias("n"),
+    )
+    order = F.struct(*PIECE, "total", "high", "low", "fall", "head", "best", "tail", "all_lost", "n")
+    zero, none = F.lit(0.0), F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("equity"), zero.alias("peak"), zero.alias("drawdown"), none.alias("streak"), none.alias("longest"))
+
+    def then(acc: Column, p: Column) -> Column:
+        return F.struct(
+            (acc["equity"] + p["total"]).alias("equity"),
+            F.greatest(acc["peak"], acc["equity"] + p["high"]).alias("peak"),
+            F.greatest(acc["drawdown"], p["fall"], acc["peak"] - acc["equity"] - p["low"]).alias("drawdown"),
+            F.when(p["all_lost"], acc["streak"] + p["n"]).otherwise(p["tail"]).alias("streak"),
+            F.greatest(acc["longest"], p["best"], acc["streak"] + p["head"]).alias("longest"),
+        )
+
+    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_p")).withColumn("_m", F.aggregate("_p", start, then))
+    drawdown = js_round(F.col("_m.drawdown"), scale) if scale else F.col("_m.drawdown")
+    return joined.select(*keys, drawdown.alias("max_drawdown"), F.col("_m.longest").alias("max_losing_streak"))
 
 
 def max_drawdown(trades: DataFrame, keys: list[str]) -> DataFrame:
-    return equity(trades, keys).groupBy(*keys).agg(js_round(F.max(F.col("peak") - F.col("equity")), 1e4).alias("max_drawdown"))
+    return path_measures(trades, keys).select(*keys, "max_drawdown")
 
 
 def losing_streak(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Longest run of losses: a trade that isn't one begins a new run."""
-    runs = equity(trades, keys).groupBy(*keys, "loss_run").agg(F.count_if(F.col("final_r") < 0).alias("n"))
-    return runs.groupBy(*keys).agg(F.max("n").alias("max_losing_streak"))
+    return path_measures(trades, keys).select(*keys, "max_losing_streak")
 
 
 def basic(scale: float | None) -> dict[str, Column]:
@@ -59,15 +86,10 @@ def basic(scale: float | None) -> dict[str, Column]:
 
 def summary(trades: DataFrame, keys: list[str], scale: float | None = 1e4) -> DataFrame:
     """One row per ``keys``: counts, rates, results, drawdown, streak, statuses, and the rank by total result."""
+    trades = trades.persist()  # read once for each kind of measure
     base = trades.groupBy(*keys).agg(*(c.alias(k) for k, c in basic(scale).items()))
-    rows = equity(trades, keys)
-    drawdown = rows.groupBy(*keys).agg(F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"))
-    if scale:
-        drawdown = drawdown.withColumn("max_drawdown", js_round(F.col("max_drawdown"), scale))
-    runs = rows.groupBy(*keys, "loss_run").agg(F.count_if(F.col("final_r") < 0).alias("n"))
-    streak = runs.groupBy(*keys).agg(F.max("n").alias("max_losing_streak"))
     status = status_histogram(trades, keys).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "final_status", F.col("n").cast("string")))), ",").alias("status_counts"))
-    out = base.join(drawdown, keys).join(streak, keys).join(status, keys)
+    out = base.join(path_measures(trades, keys, scale), keys).join(status, keys)
     # a row per group: few, so one task may rank them
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_r"), *keys)))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.dialect import Dialect
-from tidemark.operators.ordered import BLOCK, running
 
 
 def strided(rows: DataFrame, dialect: Dialect) -> DataFrame:
@@ -21,20 +20,18 @@ def greedy(candidates: DataFrame) -> DataFrame:
 
     A candidate is active up to seq + duration. Where one begins after all before it have ended,
     taken or not, the choice starts anew, so each such run is folded on its own: a group is a run
-    of overlapping candidates, not a series.
+    of overlapping candidates, not a series. One exchange carries both steps; its windows run over
+    the candidates of a series, which are streamed, not held.
     """
-    piece = F.floor(F.col("seq") / BLOCK)
-    rows = candidates.withColumn("_next", F.col("seq") + 1 + F.col("duration")).withColumn("_piece", piece)
-    keys = ["step", "symbol"]
-    rows = running(rows, keys, ["seq"], ["_piece"], {"_reach": ("max", F.col("_next"))})
-    # the reach of all rows before: the row's own is at least as large as it was before it
-    near = Window.partitionBy(*keys, "_piece").orderBy("seq")
-    tops = rows.groupBy(*keys, "_piece").agg(F.max("_reach").alias("_top"))
-    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(tops, [*keys, "_piece"]).withColumn("_before", F.coalesce(F.lag("_reach").over(near), F.col("_top"), F.lit(-1)))
-    rows = running(rows, keys, ["seq"], ["_piece"], {"_run": ("sum", F.when(F.col("seq") >= F.col("_before"), 1).otherwise(0))})
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("seq", "_next"))).alias("_c"))
-    start = F.struct(F.lit(-1).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("taken"))
-    taken = F.aggregate("_c", start, lambda acc, c: F.when(c["seq"] >= acc["free"], F.struct(c["_next"].alias("free"), F.array_append(acc["taken"], c["seq"]).alias("taken"))).otherwise(acc))
-    chosen = runs.select(*keys, F.explode(taken["taken"]).alias("seq"))
-    return candidates.join(chosen, [*keys, "seq"], "left_semi")
+    w = Window.partitionBy("step", "symbol").orderBy("seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = candidates.withColumn("_next", F.col("seq") + 1 + F.col("duration"))
+    rows = rows.withColumn("_first", F.when(F.col("seq") >= F.coalesce(F.max("_next").over(upto), F.lit(-1)), 1).otherwise(0))
+    rows = rows.withColumn("_run", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = [c for c in candidates.columns if c not in ("step", "symbol", "seq")]
+    row = F.struct("seq", "_next", *rest)
+    runs = rows.groupBy("step", "symbol", "_run").agg(F.array_sort(F.collect_list(row), lambda x, y: (x["seq"] - y["seq"]).cast("int")).alias("_c"))
+    free = lambda acc: F.when(F.size(acc) == 0, F.lit(-1)).otherwise(F.element_at(acc, -1)["_next"])
+    empty = F.slice("_c", 1, 0)
+    taken = F.aggregate("_c", empty, lambda acc, c: F.when(c["seq"] >= free(acc), F.array_append(acc, c)).otherwise(acc))
+    return runs.select("step", "symbol", F.inline(taken)).select(*candidates.columns)
