@@ -273,7 +273,7 @@ def sample_trades(spark, d):
     return rows.select("symbol", F.col("seq").cast("bigint").alias("seq"), "final_status", "final_r")
 
 
-@query(f"WITH {oracle.evaluated()} SELECT count(*) AS generated, count_if(level IN ('A', 'S')) AS qualified, count_if(level = 'S') AS strong, count_if(lifecycle_status = 'planned') AS planned FROM ev")
+@query(f"WITH {oracle.evaluated()} SELECT count(*) AS generated, CAST(count_if(level IN ('A', 'S')) AS BIGINT) AS qualified, CAST(count_if(level = 'S') AS BIGINT) AS strong, CAST(count_if(lifecycle_status = 'planned') AS BIGINT) AS planned FROM ev")
 def sync_counters(spark, d):
     return state.counters(_evaluated(spark, d))
 
@@ -340,7 +340,7 @@ def _price(x: str) -> str:
     return f"coalesce(rtrim(rtrim(printf('%.8f', {x}), '0'), '.'), '')"
 
 
-_WORDS = """CASE WHEN direction = 'LONG' THEN '做多' ELSE '做空' END AS act, CASE WHEN direction = 'LONG' THEN '上涨' ELSE '下跌' END AS move, CASE level WHEN 'S' THEN '很强' WHEN 'A' THEN '较强' ELSE '观察' END AS strength,
+_WORDS = """CASE WHEN direction = 'LONG' THEN '做多' ELSE '做空' END AS act, CASE WHEN direction = 'LONG' THEN '上涨' ELSE '下跌' END AS moves, CASE level WHEN 'S' THEN '很强' WHEN 'A' THEN '较强' ELSE '观察' END AS strength,
 '数据质量 ' || rtrim(rtrim(printf('%.8f', quality), '0'), '.') || CASE WHEN volume_ratio >= 2 THEN '；成交额放大 ' || printf('%.2f', volume_ratio) || ' 倍' ELSE '' END || CASE WHEN relative_strength > 0 THEN '；相对 BTC 走强 ' || printf('%.2f', relative_strength) || '%' WHEN relative_strength < 0 THEN '；相对 BTC 走弱 ' || printf('%.2f', relative_strength) || '%' ELSE '' END AS why,
 '15m 收盘跌破结构位；价格远离入场区超过 1R；数据质量低于 75' AS rules"""
 
@@ -360,7 +360,7 @@ def _sql_lines(lines, columns) -> str:
     return " || chr(10) || ".join(f"({one(a, b)})" for a, b in lines)
 
 
-_COLUMNS = {c: c for c in ("symbol", "act", "move", "strength", "why", "rules")} | {"score": "CAST(score AS VARCHAR)"} | {p: _price(p) for p in alerts.PRICES}
+_COLUMNS = {c: c for c in ("symbol", "act", "strength", "why", "rules")} | {"move": "moves"} | {"score": "CAST(score AS VARCHAR)"} | {p: _price(p) for p in alerts.PRICES}
 _CLOSING = " || chr(10) || ".join(f"'{x}'" for x in alerts.CLOSING)
 
 

@@ -69,18 +69,20 @@ def basic(scale: float | None) -> dict[str, Column]:
     rounded = (lambda c: js_round(c, scale)) if scale else (lambda c: c)
     r, n = F.col("final_r"), F.count("*")
     gains, losses = F.sum(F.when(r > 0, r).otherwise(0.0)), F.abs(F.sum(F.when(r < 0, r).otherwise(0.0)))
+    # results have four decimals; a sum cleared of what adding left behind makes ties round alike in any order
+    mean = lambda c: js_round(F.sum(c), 1e6) / n
     part = lambda c: rounded(F.when(n == 0, 0.0).otherwise(F.count_if(c) / n * 100))
     return {
         "trades": n,
         "win_rate": part(r > 0),
         "entry_fill_rate": part(F.col("entry_hit")),
-        "avg_r": rounded(F.coalesce(F.avg(r), F.lit(0.0))),
+        "avg_r": rounded(F.coalesce(mean(r), F.lit(0.0))),
         "total_r": rounded(F.coalesce(F.sum(r), F.lit(0.0))),
         "median_r": rounded(F.median(r)),
         "profit_factor": rounded(F.when(losses == 0, gains).otherwise(gains / losses)),
-        "avg_mfe": rounded(F.avg("mfe")),
-        "avg_mae": rounded(F.avg("mae")),
-        "avg_score": rounded(F.avg("score")),
+        "avg_mfe": rounded(mean(F.col("mfe"))),
+        "avg_mae": rounded(mean(F.col("mae"))),
+        "avg_score": rounded(mean(F.col("score"))),
     }
 
 

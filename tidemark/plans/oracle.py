@@ -107,11 +107,12 @@ def summary(keys: str, where: str = "true") -> str:
     k = keys
     over = f"PARTITION BY {k} ORDER BY step, symbol, seq"
     gains, losses = "sum(CASE WHEN final_r > 0 THEN final_r ELSE 0.0 END)", "abs(sum(CASE WHEN final_r < 0 THEN final_r ELSE 0.0 END))"
+    mean = lambda c: js(f"floor(sum({c}) * 1e6 + 0.5) / 1e6 / count(*)")
     return f"""WITH {trades()},
 t AS (SELECT * FROM trades WHERE {where}),
 base AS (SELECT {k}, count(*) AS trades, {js('count_if(final_r > 0) / CAST(count(*) AS DOUBLE) * 100')} AS win_rate, {js('count_if(entry_hit) / CAST(count(*) AS DOUBLE) * 100')} AS entry_fill_rate,
-  {js('avg(final_r)')} AS avg_r, {js('sum(final_r)')} AS total_r, {js('median(final_r)')} AS median_r, {js(f'CASE WHEN {losses} = 0 THEN {gains} ELSE {gains} / {losses} END')} AS profit_factor,
-  {js('avg(mfe)')} AS avg_mfe, {js('avg(mae)')} AS avg_mae, {js('avg(score)')} AS avg_score FROM t GROUP BY {k}),
+  {mean('final_r')} AS avg_r, {js('sum(final_r)')} AS total_r, {js('median(final_r)')} AS median_r, {js(f'CASE WHEN {losses} = 0 THEN {gains} ELSE {gains} / {losses} END')} AS profit_factor,
+  {mean('mfe')} AS avg_mfe, {mean('mae')} AS avg_mae, {mean('score')} AS avg_score FROM t GROUP BY {k}),
 eq AS (SELECT *, sum(final_r) OVER ({over} ROWS UNBOUNDED PRECEDING) AS equity, sum(CASE WHEN final_r < 0 THEN 0 ELSE 1 END) OVER ({over} ROWS UNBOUNDED PRECEDING) AS run FROM t),
 pk AS (SELECT *, greatest(0.0, max(equity) OVER ({over} ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
 dd AS (SELECT {k}, {js('max(peak - equity)')} AS max_drawdown FROM pk GROUP BY {k}),
