@@ -9,6 +9,8 @@ from tidemark.llm.common import written
 
 #: Rounds after which something must be wrong: each at least halves the longest path.
 MOST_ROUNDS = 60
+#: Links that one task handles at least.
+TASK_LINKS = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,17 +23,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
-    before = None
+    # a graph that is small needs few tasks; without this, each of the many steps writes as many files as there are partitions
+    few = lambda df: df.coalesce(1 + edges_now // TASK_LINKS)
+    before, edges_now = None, edges.count()
     for _ in range(MOST_ROUNDS):
+        edges = edges.coalesce(1 + edges_now // TASK_LINKS)
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("least"))
-        joined = large.join(small, "a")
+        least = few(both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")))
+        large = few(few(both.join(least, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
+        small = few(large.groupBy("a").agg(F.min("b").alias("least")))
+        joined = few(large.join(small, "a"))
         edges = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").union(joined.select("a", F.col("least").alias("b"))).distinct()
-        edges = written(edges, "stars")
+        edges = written(few(edges), "stars")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = now
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return few(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(few(roots)))
+        before, edges_now = now, now["n"]
     raise RuntimeError("the components did not settle")

@@ -41,7 +41,7 @@ COLD = 16
 #: Sets of a block that are compared with those of another at once, where buckets stay hot.
 BLOCK = 2048
 #: Hubs that are tried in buckets that stay open before their members are compared in blocks.
-TURNS = 2
+TURNS = 1
 #: Documents whose ids are broadcast to pick their texts; more of them are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 
@@ -136,7 +136,7 @@ def _packed(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
                     signatures.append(signature[use])
                     nodes.append(number[owner[use]].astype(np.uint32))
                     known += int(use.sum())
-            if known > 12_000_000:  # bounds a worker's memory; the rest of the partition is packed apart
+            if known > 5_000_000:  # bounds a worker's memory; the rest of the partition is packed apart
                 yield from _pack(index, nodes, signatures, parts)
                 nodes, signatures, known, index = [], [], 0, {}
         if known:
