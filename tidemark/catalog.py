@@ -223,20 +223,19 @@ def trades_greedy(spark, d):
     return rows.select("step", "polling_minutes", *(F.col(c).cast("bigint").alias(c) if c == "seq" else F.col(c) for c in OUTCOME))
 
 
-STRONG = F.col("level").eqNullSafe("S") & ~F.col("symbol").isin("purchase")
-for _name, _keys, _where, _filter in (
-    ("summary_by_polling", ["polling_minutes"], "true", None),
-    ("summary_optimized_by_polling", ["polling_minutes"], "level = 'S' AND symbol <> 'purchase'", STRONG),
-    ("summary_by_symbol", ["symbol"], "step = 1", F.col("step") == 1),
-    ("summary_optimized_by_symbol", ["symbol"], "step = 1 AND level = 'S' AND symbol <> 'purchase'", STRONG & (F.col("step") == 1)),
-    ("summary_by_level", ["level"], "step = 1", F.col("step") == 1),
-    ("summary_by_direction", ["direction"], "step = 1", F.col("step") == 1),
-    ("summary_by_symbol_direction", ["symbol", "direction"], "step = 1", F.col("step") == 1),
+STRONG, FIRST = "level = 'S' AND symbol <> 'purchase'", "step = 1"
+for _name, _keys, _where in (
+    ("summary_by_polling", ["polling_minutes"], "true"),
+    ("summary_optimized_by_polling", ["polling_minutes"], STRONG),
+    ("summary_by_symbol", ["symbol"], FIRST),
+    ("summary_optimized_by_symbol", ["symbol"], f"{FIRST} AND {STRONG}"),
+    ("summary_by_level", ["level"], FIRST),
+    ("summary_by_direction", ["direction"], FIRST),
+    ("summary_by_symbol_direction", ["symbol", "direction"], FIRST),
 ):
 
-    def _summary(spark, d, keys=_keys, only=_filter):
-        rows = _trades(spark, d)
-        return metrics.summary(rows if only is None else rows.filter(only), keys)
+    def _summary(spark, d, keys=_keys, only=_where):
+        return metrics.summary(_trades(spark, d).filter(only), keys)
 
     QUERIES[_name] = _summary
     SQL[_name] = oracle.summary(", ".join(_keys), _where)

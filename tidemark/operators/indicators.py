@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.dialect import ATR_BARS, DIRECTION_BARS, STRENGTH_BARS, STRUCTURE_BARS, Dialect
@@ -11,39 +11,43 @@ from tidemark.operators.ordered import blocked, numbered, running
 
 #: Earlier bars that the longest bounded frame needs.
 HALO = 120
-W = Window.partitionBy("symbol", "block").orderBy("open_time")
+
+
+def series() -> WindowSpec:
+    """The one window of all indicators: a block of a series in time order."""
+    return Window.partitionBy("symbol", "block").orderBy("open_time")
 
 
 def true_range() -> Column:
-    previous = F.lag("close").over(W)
+    previous = F.lag("close").over(series())
     return F.when(previous.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous)))
 
 
 def atr(bars: int = ATR_BARS) -> Column:
     """Simple mean of the last true ranges; 0 for the first bar."""
-    return F.coalesce(F.avg("true_range").over(W.rowsBetween(-(bars - 1), 0)), F.lit(0.0))
+    return F.coalesce(F.avg("true_range").over(series().rowsBetween(-(bars - 1), 0)), F.lit(0.0))
 
 
 def volume_ratio(bars: int, default: float) -> Column:
-    base = F.avg("quote_volume").over(W.rowsBetween(-bars, -1))
+    base = F.avg("quote_volume").over(series().rowsBetween(-bars, -1))
     return F.when(F.coalesce(base, F.lit(0.0)) == 0, F.lit(default)).otherwise(F.col("quote_volume") / base)
 
 
 def structure_low(bars: int = STRUCTURE_BARS) -> Column:
-    return F.min("low").over(W.rowsBetween(-(bars - 1), 0))
+    return F.min("low").over(series().rowsBetween(-(bars - 1), 0))
 
 
 def structure_high(bars: int = STRUCTURE_BARS) -> Column:
-    return F.max("high").over(W.rowsBetween(-(bars - 1), 0))
+    return F.max("high").over(series().rowsBetween(-(bars - 1), 0))
 
 
 def move(bars: int = STRENGTH_BARS) -> Column:
     """Change in percent over the last bars; 0 for the first bar."""
-    return pct_change(F.first("close").over(W.rowsBetween(-(bars - 1), 0)), F.col("close"))
+    return pct_change(F.first("close").over(series().rowsBetween(-(bars - 1), 0)), F.col("close"))
 
 
 def direction(bars: int = DIRECTION_BARS) -> Column:
-    return F.when(F.col("close") >= F.lag("close", bars).over(W), "LONG").otherwise("SHORT")
+    return F.when(F.col("close") >= F.lag("close", bars).over(series()), "LONG").otherwise("SHORT")
 
 
 def quality(open_bars: Column, duplicates: Column, gaps: Column, stale: Column | None = None) -> Column:
@@ -59,7 +63,7 @@ def features(candles: DataFrame, dialect: Dialect, interval_ms: int, live_bars:
     """
     df = blocked(numbered(candles), HALO)
     df = df.withColumn("true_range", true_range())
-    step = F.col("open_time") - F.lag("open_time").over(W)
+    step = F.col("open_time") - F.lag("open_time").over(series())
     df = df.withColumns({"_gap": F.when(step > 1.5 * interval_ms, 1).otherwise(0), "_open": F.when(F.col("is_closed"), 0).otherwise(1), "_dup": F.when(step == 0, 1).otherwise(0)})
     columns = {
         "atr": atr(),
@@ -71,7 +75,7 @@ def features(candles: DataFrame, dialect: Dialect, interval_ms: int, live_bars:
     }
     if dialect.quality_bars:
         n = dialect.quality_bars
-        frame, pairs = W.rowsBetween(-(n - 1), 0), W.rowsBetween(-(n - 2), 0)
+        frame, pairs = series().rowsBetween(-(n - 1), 0), series().rowsBetween(-(n - 2), 0)
         columns["quality"] = quality(F.sum("_open").over(frame), F.sum("_dup").over(pairs), F.sum("_gap").over(pairs))
     out = df.withColumns(columns).filter("own").drop("own")
     if not dialect.quality_bars:
