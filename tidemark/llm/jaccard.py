@@ -456,3 +456,26 @@ def dedupe(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     gone = join(docs, text_col).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS p FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(g, '|' ORDER BY g)) AS same FROM s GROUP BY doc_id
+), both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), comp AS (
+  SELECT a, b FROM link UNION SELECT comp.a, link.b FROM comp JOIN link ON comp.b = link.a
+), root AS (
+  SELECT a, min(b) AS component_id FROM comp GROUP BY a
+), class AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY same) AS class_id FROM n
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.a = w.doc_id LEFT JOIN class USING (doc_id)
+"""

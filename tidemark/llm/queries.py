@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_decontamination": decontaminate.ORACLE_SQL, "op9_ngram_jaccard": jaccard.ORACLE_SQL}
