@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.js import iso_time, js_round, ratio
+from tidemark.functions.js import iso_time, js_round
 
 #: The order in which trades were appended: pieces of series one after another, then time.
 PIECE, WITHIN = ["step", "symbol", "piece"], ["seq"]
@@ -103,7 +103,3 @@ def status_histogram(trades: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(candles: DataFrame) -> DataFrame:
     out = candles.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("open_time").alias("a"), F.max("open_time").alias("b"))
     return out.select("symbol", "bars", iso_time(F.col("a")).alias("first_open"), iso_time(F.col("b")).alias("last_open"))
-
-
-def profit_factor(gains: Column, losses: Column) -> Column:
-    return F.when(losses == 0, gains).otherwise(ratio(gains, losses))

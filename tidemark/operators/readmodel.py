@@ -73,4 +73,4 @@ def badge(value: Column) -> Column:
 
 def with_fallback(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """The rows, or the samples where there is none."""
-    return rows.unionByName(samples.filter(F.lit(True)) if rows.isEmpty() else samples.limit(0))
+    return samples if rows.isEmpty() else rows
