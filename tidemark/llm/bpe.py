@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries that a worker keeps for chunks of text; beyond, it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Above every rank.
 NEVER = 1 << 60
 #: Bytes of text that a worker encodes before it hands a batch on.
@@ -58,9 +58,10 @@ class Codec:
         self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of, default=0) + 1)]
         self.fits: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.piece = _Memo(lambda piece: array("i", self.encode_piece(piece.encode("utf-8"))).tobytes())
+        one = lambda piece: array("i", self.encode_piece(piece.encode("utf-8"))).tobytes()
+        self.piece = _Memo(one)
         self.first = _Memo(self._chunk)
-        self.spaced = _Memo(lambda word: self.piece[" " + word] if word.isalpha() else self._chunk(" " + word))
+        self.spaced = _Memo(lambda word: one(" " + word) if word.isalpha() else self._chunk(" " + word))
 
     def merged(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """Plain merging, lowest rank first, down to so many parts; for the few bytes of one token."""

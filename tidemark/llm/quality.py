@@ -28,7 +28,7 @@ TERMS, DIMENSIONS, NEIGHBOURS, BLOCK = 512, 16, 25, 2048
 #: The power of the similarity that weighs a vote.
 SHARPNESS = 16
 #: Token shapes that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _RUNS = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "U"), (r"[A-ZÀ-ÖØ-Þ]", "C"), (r"[^\W\d_A-ZÀ-ÖØ-ÞCU]+", "a"), (r"[0-9]+", "9"))]
 

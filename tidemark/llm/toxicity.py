@@ -119,7 +119,7 @@ class _Read(dict):
         self.grammar = grammar
 
     def __missing__(self, word: str) -> tuple[str, float]:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         out = self[word] = self.grammar.symbol(word)
         return out
