@@ -254,3 +254,37 @@ def test_licenses(spark):
         assert licenses.TEMPLATES[i % len(licenses.TEMPLATES)][0] in got[i].licenses.split(",") and got[i].containment == 1.0
     assert all(got[d].n_licenses == 0 for d, _ in rows if d is None or d >= 200)
     assert licenses.label(table(spark, [])).count() == 0
+
+
+def test_language_model_keeps_every_ngram(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(1, 40))) for i in range(80)] + [(80, "日本語 text"), (81, "日本 und ünd")] + odd()[:6]
+    streams = {d: b" " * 5 + b"".join(w.encode() + b" " for w in SPACED.findall((t or "").translate(LOW))) + b" " for d, t in rows}
+    held = {d for d in streams if d is not None and d % 4 == 0}
+    seen = {}
+    for d, s in streams.items():
+        for i in range(5, len(s)) if d not in held else ():
+            for k in range(6):
+                seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def coded(context, symbol):
+        p, gone = 1.0, set()
+        for k in range(5, -1, -1):
+            here = {s: n for s, n in seen.get(context[5 - k :], {}).items() if s not in gone}
+            if symbol in here:
+                return p * here[symbol] / (sum(here.values()) + len(here))
+            if here:
+                p *= len(here) / (sum(here.values()) + len(here))
+            gone |= here.keys()
+        return p / (256 - len(gone))
+
+    truth = {d: sum(math.log10(coded(s[i - 5 : i], s[i])) for i in range(5, len(s))) for d, s in streams.items()}
+    out = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
+    for frequent in (1 << 18, 20, 0):
+        got = {r.doc_id: r.score for r in lm.score(table(spark, rows), out, frequent=frequent).collect()}
+        assert got == {d: pytest.approx(t, rel=1e-9) for d, t in truth.items()}
+    counted = lm.count(table(spark, rows).select(F.coalesce("text", F.lit("")).alias("text"), (~out).alias("training"))).cache()
+    whole, cut = ({r.key: r.code for r in lm.code(counted, at_once=n).collect()} for n in (1 << 20, 10))
+    assert len(whole) == len({s[i - 5 : i + 1] for s in streams.values() for i in range(5, len(s))}) and whole == pytest.approx(cut)
+    blank = {r.doc_id: r.score for r in lm.score(table(spark, rows), F.lit(True)).collect()}
+    assert blank[80] == pytest.approx(-(len(streams[80]) - 5) * math.log10(256))

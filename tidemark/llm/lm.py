@@ -1,20 +1,19 @@
-"""Scores of whole texts by a language model that predicts by partial matching.
-
-A token's probability comes from a chain of contexts, each of which gives what it has not
-seen to the next: the text so far, the texts of its class, all training texts, and last a
-trie over the token's bytes (``ppm``), which gives every token some probability. Text,
-class and corpus estimate their escape by discounting; the trie by method C, with symbol
-exclusion. Classes (such as languages) are clusters of texts found on a bounded sample; a
-text states its class first, at the cost of one of CLASSES choices.
-
-All token counts are tables: the most frequent tokens, a fixed number, are broadcast, and
-the other tokens of each text are joined with the table. None of these is frequent, so no
-key is hot. Each distinct token goes through the trie once.
+"""Scores of whole texts by prediction by partial matching over their bytes, and by counts of their tokens.
+
+The trie (``ppm``) is trained on the running training texts: each byte with the ORDER bytes
+before it is an n-gram, counted with all its occurrences. A byte's probability is set by its
+n-gram alone, so each distinct n-gram is coded once, and a text's score is the sum over its
+bytes. Every n-gram is kept: they are a table that grows with the corpus.
+
+Contexts of HEAD bytes or more are coded where all n-grams that share their nearest HEAD
+bytes lie, next to each other in one partition; the shorter ones, at most 256**HEAD n-grams,
+are broadcast. The most frequent n-grams and tokens, a fixed number, are broadcast to where
+texts are read; the others of each text are joined with the table. None of these is
+frequent, so no key is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +26,12 @@ from tidemark.llm import ppm, shingles
 from tidemark.llm.common import written
 from tidemark.llm.quality import held_out
 
-#: Clusters of texts; texts and tokens that they are found on.
-CLASSES, SAMPLE, SAMPLE_TOKENS, FEATURES = 6, 2000, 200, 600
-#: What is taken off each count for what has not been seen, and the weight of all that the text so far doesn't tell.
-DISCOUNT, PRIOR = 0.75, 1000.0
-#: Most frequent tokens that are broadcast (24 bytes and 8 per class each), and n-grams of the trie at most (20 bytes each).
-FREQUENT, NGRAMS = 1 << 18, 1_500_000
+#: Most frequent tokens, and n-grams, that are broadcast (16 bytes each).
+FREQUENT, FREQUENT_GRAMS = 1 << 18, 1 << 20
 #: Bytes of text after which a worker hands on its counts.
 COUNT_BYTES = 24_000_000
-#: Distinct tokens of which n-grams are made at once.
-TOKENS_AT_ONCE = 200_000
+#: Nearest bytes of a context by which n-grams are brought together, and n-grams coded at once (more where more share these bytes).
+HEAD, GRAMS_AT_ONCE = 3, 400_000
 
 U = np.uint64
 #: The key of the end of a text, a token without bytes.
@@ -49,72 +44,43 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.view(np.int64), bounds[1:], END), bounds + np.arange(len(bounds))
 
 
-class Classes:
-    """Centres of clusters of texts over their frequent tokens."""
-
-    def __init__(self, bags: list[dict[int, int]]):
-        often = Counter(k for bag in bags for k in bag)
-        self.keys = np.array(sorted(k for k, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:FEATURES]), np.int64)
-        place = {k: i for i, k in enumerate(self.keys.tolist())}
-        rows = np.zeros((len(bags), len(self.keys)))
-        for i, bag in enumerate(bags):
-            for k, n in bag.items():
-                if k in place:
-                    rows[i, place[k]] = n**0.5
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        centres = rows[:1]
-        while 0 < len(centres) < min(CLASSES, len(rows)):  # each next centre is the text least like those there
-            centres = np.vstack([centres, rows[np.argmin((rows @ centres.T).max(1))]])
-        for _ in range(20 if len(rows) else 0):
-            nearest = np.argmax(rows @ centres.T, 1)
-            centres = np.stack([rows[nearest == c].mean(0) if (nearest == c).any() else centres[c] for c in range(len(centres))])
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        self.centres = centres
-
-    def of(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The class of each text."""
-        n = len(bounds) - 1
-        if not len(self.keys) or not len(self.centres):
-            return np.zeros(n, np.int64)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        hit = self.keys[at] == tokens
-        rows = np.bincount(owner[hit] * len(self.keys) + at[hit], minlength=n * len(self.keys)).reshape(n, -1)
-        return np.argmax(np.sqrt(rows) @ self.centres.T, 1)
-
-
-def find_classes(texts: DataFrame) -> Classes:
-    """Clusters of a sample of SAMPLE texts (doc_id, text), from the SAMPLE_TOKENS commonest tokens of each."""
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = texts.join(F.broadcast(chosen), "doc_id")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            for a, b in shingles.slices(column):
-                tokens, bounds = _tokens(column.slice(a, b - a))
-                found = [Counter(tokens[bounds[i] : bounds[i + 1]].tolist()).most_common(SAMPLE_TOKENS) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], ["doc_id", "tokens", "counts"])
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of each byte of the texts' running, lower-cased words, and each text's number of them."""
+    raw, begins, last = shingles.word_spans(texts)
+    text_of = np.searchsorted(shingles.strings(texts)[1], begins, "right") - 1
+    keys, sizes = ppm.running(shingles.LOWER[raw], ~shingles._SPACE[raw], last - begins, text_of, len(texts))
+    return keys.view(np.int64), sizes
+
 
-    rows = sample.select("doc_id", "text").mapInArrow(bags, "doc_id long, tokens array<long>, counts array<long>").collect()
-    return Classes([dict(zip(r["tokens"], r["counts"], strict=True)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["tokens"]))])
+def _counted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    return keys[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
 
 
-def count_tokens(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(token, key, total, known, in_class): each distinct token's occurrences in all texts, in training texts, and in those per class.
+def _occurrences(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, their occurrences, and those in training texts."""
+    parts = []
+    for k, known in ((keys[~training], 0), (keys[training], 1)):
+        k = np.sort(k)
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
+        n = np.diff(np.append(at, len(k)))
+        parts.append((k[at], n, n * known))
+    return _counted(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """(gram, key, total, known): occurrences of each distinct token and n-gram (``gram``) in all texts, and in training texts.
 
     ``docs`` has ``text`` and ``training``. Workers count before anything is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def flush(held: list) -> pa.RecordBatch:
-        key, kind, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-        data = pa.chunked_array([h[3] for h in held]).combine_chunks()
-        order = np.lexsort((kind, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (kind[order][1:] != kind[order][:-1])
-        at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([data.take(pa.array(order[at])), pa.array(key[order[at]]), pa.array(kind[order[at]].astype(np.int32)), pa.array(np.add.reduceat(n[order], at))], ["token", "key", "class", "n"])
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        for gram in (False, True):
+            key, total, known = _counted(*(np.concatenate(part) for part in zip(*(h[gram] for h in held), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), gram)), pa.array(key), pa.array(total), pa.array(known)], ["gram", "key", "total", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -123,198 +89,148 @@ def count_tokens(docs: DataFrame, classes: Classes) -> DataFrame:
             for a, b in shingles.slices(column):
                 texts = column.slice(a, b - a)
                 tokens, bounds = _tokens(texts)
-                kind = np.where(training[a:b], shared.value.of(tokens, bounds), -1)
-                each = np.repeat(kind, np.diff(bounds))
-                order = np.lexsort((each, tokens))
-                new = np.ones(len(order), bool)
-                new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (each[order][1:] != each[order][:-1])
-                at = np.flatnonzero(new)
-                first = order[at]
-                held.append((tokens[first], each[first], np.diff(np.append(at, len(order))), _spelled(texts, bounds, first)))
+                grams, sizes = _grams(texts)
+                held.append((_occurrences(tokens, np.repeat(training[a:b], np.diff(bounds))), _occurrences(grams, np.repeat(training[a:b], sizes))))
                 size += int(texts.nbytes)
                 if size > COUNT_BYTES:
-                    yield flush(held)
+                    yield from flush(held)
                     held, size = [], 0
         if held:
-            yield flush(held)
-
-    counted = docs.select("text", "training").mapInArrow(run, "token string, key long, class int, n long")
-    own = lambda k: F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0))
-    per_class = F.array(*(own(k) for k in range(CLASSES))).alias("in_class")
-    return counted.groupBy("token", "key").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("class") >= 0, F.col("n")).otherwise(0)).alias("known"), per_class)
+            yield from flush(held)
 
+    counted = docs.select("text", "training").mapInArrow(run, "gram boolean, key long, total long, known long")
+    return counted.groupBy("gram", "key").agg(F.sum("total").alias("total"), F.sum("known").alias("known"))
 
-def _spelled(texts: pa.Array, bounds: np.ndarray, chosen: np.ndarray) -> pa.Array:
-    """The lower-cased bytes of the chosen tokens; the end of a text has none."""
-    raw, starts, stops = shingles.word_spans(texts)
-    ends = bounds[1:] - 1  # places of the ends of texts
-    end = np.isin(chosen, ends)
-    word = np.where(end, 0, chosen - np.searchsorted(ends, chosen))
-    first = np.where(end, 0, starts[word]) if len(starts) else np.zeros(len(chosen), np.int64)
-    size = np.where(end, 0, (stops - starts)[word]) if len(starts) else np.zeros(len(chosen), np.int64)
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    data = shingles.LOWER[raw[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]]
-    return pa.LargeStringArray.from_buffers(len(chosen), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
+def code(counted: DataFrame, at_once: int = GRAMS_AT_ONCE) -> DataFrame:
+    """(key, total, code) of each n-gram: the log10 probability of its last byte after the others."""
+    grams = counted.filter("gram").select("key", "total", "known")
+    low = grams.filter("known > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * HEAD)) - 1).alias("key")).agg(F.sum("known").alias("n")).toArrow()
+    short = ppm.levels(low.column("key").to_numpy().astype(U), low.column("n").to_numpy(), HEAD - 1, 0)
+    shared = counted.sparkSession.sparkContext.broadcast(short)
 
-def train_trie(tokens: DataFrame) -> ppm.Trie:
-    """The trie of all distinct training tokens. Where it would have more than NGRAMS n-grams, the rarest long contexts are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, TOKENS_AT_ONCE):
-                part = batch.slice(start, TOKENS_AT_ONCE)
-                # each distinct token counts once: the trie spells what the counts above it don't know
-                keys, n = ppm.ngrams(*shingles.strings(part.column("token")), np.ones(part.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["ngram", "n"])
-
-    grams = tokens.filter("known > 0").select("token").mapInArrow(run, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
-    order = F.shiftrightunsigned("ngram", 56)
-    context = F.shiftrightunsigned(F.col("ngram").bitwiseAND((1 << 56) - 1), 8).bitwiseOR(F.shiftleft(order, 56))
-    grams = written(grams.withColumn("context", context), "ngrams")
-    if grams.count() > NGRAMS:
-        # a context is at most as frequent as its suffixes, so a bound on its count keeps whole branches
-        sizes = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("q"))
-        levels = sizes.groupBy(F.floor(F.log2("total") * 16).cast("int").alias("level")).agg(F.sum("q").alias("q")).orderBy(F.desc("level")).collect()
-        kept, least = 0, 1 << 30
-        for row in levels:
-            if kept + row["q"] > NGRAMS:
-                break
-            kept, least = kept + row["q"], row["level"]
-        grams = grams.join(sizes.filter(F.floor(F.log2("total") * 16) >= least).select("context"), "context", "left_semi")
-    got = grams.select("ngram", "n").toArrow()
-    return ppm.Trie(got.column("ngram").to_numpy().astype(U), got.column("n").to_numpy())
-
-
-def spell(tokens: DataFrame, trie: ppm.Trie) -> DataFrame:
-    """``tokens`` with ``spelling``, the log10 probability of each token's bytes, in place of the token."""
-    shared = tokens.sparkSession.sparkContext.broadcast(trie)
+    def coded(key: np.ndarray, total: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        grams = key.astype(U)
+        some = known > 0
+        trie = ppm.Trie(*map(np.concatenate, zip(ppm.levels(grams[some], known[some], ppm.ORDER, HEAD), shared.value, strict=True)))
+        each = trie.each(grams >> U(8), grams & U(255), np.full(len(grams), ppm.ORDER))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total), pa.array(each)], ["key", "total", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, TOKENS_AT_ONCE):
-                part = batch.slice(start, TOKENS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "total", "known", "in_class")), pa.array(shared.value.log10(*shingles.strings(part.column("token"))))], ["key", "total", "known", "in_class", "spelling"])
-
-    return tokens.select("token", "key", "total", "known", "in_class").mapInArrow(run, "key long, total long, known long, in_class array<long>, spelling double")
-
-
-class Rates:
-    """Sizes of the corpus and its classes, and the probability of a token without regard to the text so far."""
-
-    def __init__(self, facts):
-        self.tokens, self.different = int(facts["n"] or 0), int(facts["v"] or 0)
-        self.in_class = np.array([facts[f"n{k}"] or 0 for k in range(CLASSES)], float)
-        self.in_class_different = np.array([facts[f"v{k}"] or 0 for k in range(CLASSES)], float)
-
-    def probability(self, known, in_class, kind, spelling):
-        """As arrays: occurrences in training texts, in those of the text's class, the class, log10 of the spelling."""
-        n, v = max(self.tokens, 1), self.different if self.tokens else 1 / DISCOUNT
-        corpus = np.maximum(known - DISCOUNT, 0) / n + DISCOUNT * v / n * 10.0**spelling
-        m = np.maximum(self.in_class, 1)
-        escape = np.where(self.in_class > 0, DISCOUNT * self.in_class_different / m, 1.0)
-        return np.maximum(in_class - DISCOUNT, 0) / m[kind] + escape[kind] * corpus
-
-    def column(self, known: Column, in_class: Column, kind: Column, spelling: Column) -> Column:
-        """The same as an expression."""
-        n, v = max(self.tokens, 1), self.different if self.tokens else 1 / DISCOUNT
-        corpus = F.greatest(known - DISCOUNT, F.lit(0.0)) / n + F.pow(F.lit(10.0), spelling) * (DISCOUNT * v / n)
-        size = F.array(*(F.lit(float(max(x, 1))) for x in self.in_class))
-        escape = F.array(*(F.lit(float(DISCOUNT * d / m if m else 1.0)) for d, m in zip(self.in_class_different, self.in_class, strict=True)))
-        return F.greatest(F.get(in_class, kind) - DISCOUNT, F.lit(0.0)) / F.get(size, kind) + F.get(escape, kind) * corpus
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    shifted = x + 8
-    out = (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * np.log(2 * np.pi) + 1 / (12 * shifted) - 1 / (360 * shifted**3)
-    for i in range(8):
-        out = out - np.log(x + i)
-    return out
-
-
-def rising(p: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """log10 of what a text's m occurrences of a token have together: each finds one more before it."""
-    a = PRIOR * p
-    return np.where(m == 1, np.log10(a), (_log_gamma(a + m) - _log_gamma(a)) / np.log(10))
-
-
-def score(docs: DataFrame, out: Column, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+            held.append([batch.column(c).to_numpy() for c in ("key", "total", "known", "near")])
+            size += batch.num_rows
+            if size >= at_once:
+                key, total, known, near = map(np.concatenate, zip(*held, strict=True))
+                cut = int(np.searchsorted(near, near[-1]))  # all that share their nearest bytes stay together
+                if cut:
+                    yield coded(key[:cut], total[:cut], known[:cut])
+                held, size = [[key[cut:], total[cut:], known[cut:], near[cut:]]], size - cut
+        if size:
+            yield coded(*list(map(np.concatenate, zip(*held, strict=True)))[:3])
+
+    near = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * HEAD)) - 1)
+    together = grams.withColumn("near", near).repartition("near").sortWithinPartitions("near")
+    return together.mapInArrow(run, "key long, total long, code double")
+
+
+def _most(df: DataFrame, most: int, *columns: str) -> dict:
+    """Columns, sorted by key, of up to ``most`` rows with the largest totals, all of one size or none."""
+    level = F.floor(F.log2("total") * 16).cast("int")
+    kept, least = 0, None
+    for row in df.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if (kept := kept + row["count"]) > most:
+            break
+        least = row["level"]
+    got = df.filter(level >= (1 << 30 if least is None else least)).select("key", *columns).toArrow().combine_chunks().sort_by("key")
+    return {c: got.column(c).to_numpy() for c in ("key", *columns)}
+
+
+def _found(head: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key in the sorted ``head``, and whether it is there."""
+    if not len(head):
+        return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+    return at, head[at] == keys
+
+
+def _per_text(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct keys: keys, texts, occurrences."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.empty(0, int)
+    return keys[at], owner[at], np.diff(np.append(at, len(keys)))
+
+
+def score(docs: DataFrame, out: Column, text_col: str = "text", frequent: int = FREQUENT, frequent_grams: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``out`` tells which rows are held out from training; a null text is an empty one, whose only
-    token is its end. Repeated rows are rows of their own, in training too. Other columns
-    are ignored. Without training texts nothing is known and only spellings without a trie
-    tell tokens apart. An empty table gives an empty result.
+    token is its end. ``score`` is the log10 probability of the text's bytes, in their order;
+    ``base_score`` that of its tokens by their counts alone. Repeated rows are rows of their own,
+    in training too. Other columns are ignored. Without training texts all bytes are equally
+    likely. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), out.alias("held_out"), (~out).alias("training"))
-    classes = find_classes(own.filter("training and doc_id is not null").select("doc_id", "text"))
-    counted = written(count_tokens(own, classes), "token-counts")
-    trie = train_trie(counted)
-    tokens = written(spell(counted, trie), "tokens")
-    facts = [F.sum("known").alias("n"), F.count_if(F.col("known") > 0).alias("v")]
-    facts += [F.sum(F.get("in_class", F.lit(k))).alias(f"n{k}") for k in range(CLASSES)] + [F.count_if(F.get("in_class", F.lit(k)) > 0).alias(f"v{k}") for k in range(CLASSES)]
-    rates = Rates(tokens.agg(*facts).first())
-    ranked = tokens.select("key", "total", "known", "in_class", "spelling").orderBy(F.desc("total"), "key").limit(frequent)
-    few = written(ranked, "frequent-tokens")
-    table = few.toArrow().combine_chunks().sort_by("key")
-    head = {c: table.column(c).to_numpy() for c in ("key", "known", "spelling")}
-    head["in_class"] = table.column("in_class").combine_chunks().flatten().to_numpy().reshape(-1, CLASSES) if table.num_rows else np.zeros((0, CLASSES))
-    shared = spark.sparkContext.broadcast((classes, rates, head))
+    counted = written(count(own), "counts")
+    tokens, grams = counted.filter("not gram"), written(code(counted), "ngrams")
+    facts = tokens.agg(F.sum("known").alias("n"), F.count_if(F.col("known") > 0).alias("v")).first()
+    train_tokens, different = int(facts["n"] or 0), int(facts["v"] or 0)
+    most_grams = FREQUENT_GRAMS if frequent == FREQUENT else frequent
+    head, head_grams = _most(tokens, frequent, "known"), _most(grams, most_grams if frequent_grams is None else frequent_grams, "code")
+    shared = spark.sparkContext.broadcast((head, head_grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, rates, head = shared.value
+        head, head_grams = shared.value
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = batch.column("text")
             for a, b in shingles.slices(column):
-                tokens, bounds = _tokens(column.slice(a, b - a))
-                kind, n = classes.of(tokens, bounds), b - a
-                owner = np.repeat(np.arange(n), np.diff(bounds))
-                order = np.lexsort((tokens, owner))
-                tokens, owner = tokens[order], owner[order]
-                new = np.ones(len(tokens), bool)
-                new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                token, doc, m = tokens[at], owner[at], np.diff(np.append(at, len(tokens)))
-                found = np.minimum(np.searchsorted(head["key"], token), max(len(head["key"]) - 1, 0))
-                hit = head["key"][found] == token if len(head["key"]) else np.zeros(len(token), bool)
-                f, d, o = found[hit], doc[hit], m[hit]
-                known = head["known"][f]
-                p = rates.probability(known, head["in_class"][f, kind[d]], kind[d], head["spelling"][f])
-                sums = [np.bincount(d, w, n) for w in (o * np.log10(known + 1.0), o * (known > 0), rising(p, o))]
-                rest, rest_doc = ~hit, doc[~hit]
-                ends = pa.array(np.searchsorted(rest_doc, np.arange(n + 1)).astype(np.int32))
+                texts, n = column.slice(a, b - a), b - a
+                tokens, bounds = _tokens(texts)
                 size = np.diff(bounds)
+                owner = np.repeat(np.arange(n), size)
+                at, hit = _found(head["key"], tokens)
+                known = head["known"][at[hit]]
+                sums = [np.bincount(owner[hit], w, n).astype(float) for w in (np.log10(known + 1.0), known > 0)]
+                rare = _per_text(tokens[~hit], owner[~hit])
+                grams, sizes = _grams(texts)
+                owner = np.repeat(np.arange(n), sizes)
+                at, hit = _found(head_grams["key"], grams)
+                sums.append(np.bincount(owner[hit], head_grams["code"][at[hit]], n).astype(float))
+                lists = []
+                for key, doc, m in (rare, _per_text(grams[~hit], owner[~hit])):
+                    ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                    lists += [pa.ListArray.from_arrays(ends, pa.array(key)), pa.ListArray.from_arrays(ends, pa.array(m.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(number + np.arange(n)), pa.array(kind.astype(np.int32)), pa.array(size), *map(pa.array, sums), pa.ListArray.from_arrays(ends, pa.array(token[rest])), pa.ListArray.from_arrays(ends, pa.array(m[rest].astype(np.int32)))],
-                    ["doc_id", "held_out", "row", "class", "n_tokens", "seen_log", "seen_known", "seen_score", "rare", "times"],
+                    [batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(number + np.arange(n)), pa.array(size), *map(pa.array, sums), *lists],
+                    ["doc_id", "held_out", "row", "n_tokens", "seen_log", "seen_known", "seen_score", "rare", "times", "rare_grams", "gram_times"],
                 )
                 number += n
 
-    first = own.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, row long, class int, n_tokens long, seen_log double, seen_known double, seen_score double, rare array<long>, times array<int>")
-    first = written(first, "texts-scored")
-    rare = first.select("row", "class", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", "class", F.col("t.rare").alias("key"), F.col("t.times").alias("times"))
-    # no token here is among the most frequent, so no key is hot
-    met = rare.join(tokens.select("key", "known", "in_class", "spelling").hint("shuffle_hash"), "key")
-    p = rates.column(F.col("known"), F.col("in_class"), F.col("class"), F.col("spelling")) * PRIOR
-    several = F.aggregate(F.sequence(F.lit(0), F.col("times") - 1), F.lit(0.0), lambda s, i: s + F.log10(i + p))
-    parts = met.select("row", (F.col("times") * F.log10(F.col("known") + 1)).alias("log"), F.when(F.col("known") > 0, F.col("times")).otherwise(0).alias("n"), F.when(F.col("times") == 1, F.log10(p)).otherwise(several).alias("score"))
-    sums = parts.groupBy("row").agg(F.sum("log").alias("rare_log"), F.sum("n").alias("rare_known"), F.sum("score").alias("rare_score"))
-    whole = float(np.log10(rates.tokens + rates.different + 1))
-    n = F.col("n_tokens")
-    # the sum of log10(i + PRIOR) for i below n
-    gamma = lambda x: (x - 0.5) * F.ln(x) - x + 1 / (x * 12)
-    spread = (gamma(n + PRIOR) - gamma(F.lit(PRIOR))) / float(np.log(10))
+    kind = "doc_id long, held_out boolean, row long, n_tokens long, seen_log double, seen_known double, seen_score double, rare array<long>, times array<int>, rare_grams array<long>, gram_times array<int>"
+    first = written(own.select("doc_id", "held_out", "text").mapInArrow(run, kind), "texts-scored")
+
+    def met(keys: str, times: str, table: DataFrame) -> DataFrame:
+        rare = first.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t")).select("row", "t.key", "t.times")
+        # no key here is among the most frequent, so none is hot
+        return rare.join(table.hint("shuffle_hash"), "key")
+
     zero = F.lit(0.0)
+    by_token = met("rare", "times", tokens.select("key", "known")).select("row", (F.col("times") * F.log10(F.col("known") + 1)).alias("log"), F.when(F.col("known") > 0, F.col("times")).otherwise(0).alias("n"), zero.alias("score"))
+    by_gram = met("rare_grams", "gram_times", grams.select("key", "code")).select("row", zero.alias("log"), F.lit(0).alias("n"), (F.col("times") * F.col("code")).alias("score"))
+    sums = by_token.unionByName(by_gram).groupBy("row").agg(F.sum("log").alias("rare_log"), F.sum("n").alias("rare_known"), F.sum("score").alias("rare_score"))
+    whole = float(np.log10(train_tokens + different + 1))
     return first.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("seen_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(rates.tokens).cast("long").alias("train_tokens"),
-        (F.col("seen_log") + F.coalesce("rare_log", zero) - n * whole).alias("base_score"),
-        (F.col("seen_score") + F.coalesce("rare_score", zero) - spread - float(np.log10(CLASSES))).alias("score"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("seen_log") + F.coalesce("rare_log", zero) - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("seen_score") + F.coalesce("rare_score", zero)).alias("score"),
     )
 
 

@@ -1,13 +1,15 @@
-"""Prediction by partial matching over the bytes of tokens: the trie of byte contexts as sorted arrays.
+"""Prediction by partial matching over bytes: the trie of byte contexts as sorted arrays.
 
-A token is coded byte by byte and closed by a space; the end of a text is an empty token.
-The context of a byte is up to ORDER bytes before it, back to the space before the token.
-A context of k bytes and a symbol are one integer, so the trie is two sorted arrays.
+A text is coded as its words in order, each closed by a space; its end is a further space.
+The context of a byte is the ORDER bytes before it, across the borders of words; before the
+text there are spaces. A context of k bytes and a symbol are one integer, so the trie is two
+sorted arrays. ``ngrams`` and ``log10`` take short sequences whose contexts stop at their
+beginning.
 
 Escapes are estimated by method C: a context seen n times with q different symbols escapes
 with q parts in n + q. After an escape, the symbols of the longer context are excluded from
 the shorter one. As a context's symbols also occur in each of its suffixes, what is excluded
-is one number per context, so symbols are coded for whole arrays of tokens at once.
+is one number per context, so symbols are coded for whole arrays at once.
 """
 
 from __future__ import annotations
@@ -56,6 +58,35 @@ def ngrams(raw: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(weights).astype(np.int64)
 
 
+def running(raw: np.ndarray, letter: np.ndarray, sizes: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of running texts with the ORDER bytes before it as one integer, and each text's number of bytes.
+
+    ``letter`` tells which bytes of ``raw`` are in words, ``sizes`` the words' lengths and ``text_of`` the text of each word.
+    """
+    words = np.bincount(text_of, minlength=n)
+    letters = np.bincount(text_of, sizes, n).astype(np.int64)
+    coded = letters + words + 1
+    start = np.concatenate([[0], np.cumsum(coded + ORDER)])
+    symbols = np.full(start[-1], SPACE, np.uint8)
+    shift = np.arange(len(sizes)) + (ORDER + 1) * text_of + ORDER
+    symbols[np.repeat(shift, sizes) + np.arange(int(letters.sum()))] = raw[letter]
+    keys = contexts(symbols, ORDER) << U(8) | symbols
+    inside = np.ones(len(symbols), bool)
+    inside[(start[:-1, None] + np.arange(ORDER)).ravel()] = False
+    return keys[inside], coded
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, longest: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams with contexts of ``longest`` down to ``shortest`` bytes, as in a trie, from those with contexts of ``longest`` bytes or more."""
+    out, sums = [], []
+    for k in range(longest, shortest - 1, -1):
+        keys, inverse = np.unique(keys & U((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        counts = np.bincount(inverse, counts, len(keys))
+        out.append(keyed(keys, k))
+        sums.append(counts)
+    return np.concatenate(out), np.concatenate(sums)
+
+
 class Trie:
     """Counts of the n-grams given, at most those that the caller keeps in memory."""
 
@@ -83,13 +114,19 @@ class Trie:
 
     def coded(self, symbols: np.ndarray, place: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """The log10 probabilities of bytes in their contexts, summed per owner; bytes at place 0 are given, not coded."""
-        out = np.zeros(n)
-        left = np.flatnonzero(place >= 1)
+        at = np.flatnonzero(place >= 1)
+        each = self.each(contexts(symbols, ORDER)[at], symbols[at], place[at])
+        return np.bincount(owner[at], each, n)
+
+    def each(self, before: np.ndarray, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The log10 probability of each symbol after the ORDER bytes before it, of which ``place`` count."""
+        out = np.zeros(len(symbols))
+        left = np.arange(len(symbols))
         gone_total, gone_different = np.zeros(len(left)), np.zeros(len(left))
         for k in range(ORDER, -1, -1):
             if not len(left) or not len(self.context):
                 break
-            context = contexts(symbols, k)[left]
+            context = before[left] & U((1 << (8 * k)) - 1)
             c = np.minimum(np.searchsorted(self.context, key := keyed(context, k)), len(self.context) - 1)
             known = (self.context[c] == key) & (place[left] >= k)
             g = np.minimum(np.searchsorted(self.keys, key := keyed(context << U(8) | symbols[left].astype(U), k)), len(self.keys) - 1)
@@ -99,11 +136,11 @@ class Trie:
             whole = total + different
             step = np.where(hit, self.counts[g], different) / np.where(whole > 0, whole, 1)
             step = np.where(known & (whole > 0), step, 1.0)
-            out += np.bincount(owner[left], np.log10(np.maximum(step, 1e-300)), len(out))
+            out[left] += np.log10(np.maximum(step, 1e-300))
             gone_total = np.where(known, self.excluded[c], gone_total)
             gone_different = np.where(known, self.different[c], gone_different)
             stay = ~hit
             left, gone_total, gone_different = left[stay], gone_total[stay], gone_different[stay]
         # symbols never seen share what the last escape leaves: all bytes that no context has
-        out += np.bincount(owner[left], -np.log10(np.maximum(256 - gone_different, 1)), len(out))
+        out[left] -= np.log10(np.maximum(256 - gone_different, 1))
         return out
