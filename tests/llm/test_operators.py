@@ -288,3 +288,10 @@ def test_language_model_keeps_every_ngram(spark):
     assert len(whole) == len({s[i - 5 : i + 1] for s in streams.values() for i in range(5, len(s))}) and whole == pytest.approx(cut)
     blank = {r.doc_id: r.score for r in lm.score(table(spark, rows), F.lit(True)).collect()}
     assert blank[80] == pytest.approx(-(len(streams[80]) - 5) * math.log10(256))
+
+
+def test_language_model_sees_the_order_of_words(spark):
+    order = "ab cd ef gh ij kl".split()
+    rows = [(i, " ".join(order)) for i in range(20)] + [(100, " ".join(order)), (101, " ".join(order[::-1]))]
+    got = {r.doc_id: r for r in lm.score(table(spark, rows), F.col("doc_id") >= 100).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 5
