@@ -295,3 +295,14 @@ def test_language_model_sees_the_order_of_words(spark):
     rows = [(i, " ".join(order)) for i in range(20)] + [(100, " ".join(order)), (101, " ".join(order[::-1]))]
     got = {r.doc_id: r for r in lm.score(table(spark, rows), F.col("doc_id") >= 100).collect()}
     assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 5
+
+
+def test_quality_reads_a_long_token_to_its_end():
+    plain, junk = "日本語の文章，続く。" * 400, "x9X/+7=qQ%" * 400
+    bags = [quality.terms(plain + plain), quality.terms(plain + junk)]
+    assert bags[0] != bags[1]  # equal in their first 4,000 characters
+    assert quality.terms("日本語" * 3000 + "!x9") == quality.terms("a!a9")
+    space = quality.Space([quality.terms(t * n) for n in range(1, 40) for t in (plain, junk)], [1, 0] * 39)
+    scores = space.scores([quality.terms(plain + junk * k) for k in (0, 1, 50)])
+    assert scores[0] > scores[1] or scores[1] > scores[2]
+    assert scores[0] > 0.7 > scores[2]

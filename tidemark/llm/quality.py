@@ -27,18 +27,21 @@ SAMPLE = 4000
 TERMS, DIMENSIONS, NEIGHBOURS, BLOCK = 512, 16, 25, 2048
 #: The power of the similarity that weighs a vote.
 SHARPNESS = 16
-#: Token shapes that a worker remembers.
-REMEMBERED = 100_000
+#: Token shapes that a worker remembers, and the longest tokens of which it does.
+REMEMBERED, REMEMBERED_SIZE = 100_000, 200
+#: Symbols of a shape that are one term; a longer shape is as many terms as it has such pieces.
+PIECE = 12
 
 _RUNS = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "U"), (r"[A-ZÀ-ÖØ-Þ]", "C"), (r"[^\W\d_A-ZÀ-ÖØ-ÞCU]+", "a"), (r"[0-9]+", "9"))]
 
 
 class _Shapes(dict):
     def __missing__(self, token: str) -> str:
-        shape = token[:200]
+        shape = token
         for pattern, symbol in _RUNS:
             shape = pattern.sub(symbol, shape)
-        shape = shape[:12]
+        if len(token) > REMEMBERED_SIZE:
+            return shape
         if len(self) >= REMEMBERED:
             self.clear()
         self[token] = shape
@@ -54,6 +57,10 @@ def terms(text: str | None) -> Counter:
     if not tokens:
         return Counter({"<none>": 1})
     out = Counter(map(_SHAPES.__getitem__, tokens))
+    for shape in [s for s in out if len(s) > PIECE]:
+        n = out.pop(shape)
+        for i in range(0, len(shape), PIECE):
+            out[shape[i : i + PIECE]] += n
     if same := sum(map(str.__eq__, tokens, tokens[1:])):
         out["<again>"] = same
     lines = text.split("\n")
