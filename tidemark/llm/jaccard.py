@@ -304,6 +304,8 @@ def _best(pairs: DataFrame) -> DataFrame:
 def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of its equal sets) and component_id (smallest doc_id reachable by links) of every row.
 
+    Gives components, not links: pairs of texts that are in one component already are not
+    verified, so links within a component are neither listed nor counted.
     A null or empty text and one without words have no shingles and are linked with nothing,
     not even each other; with fewer words than a shingle has, the whole is one. Copies are
     one class. Rows with a null doc_id are linked by their text; a component of such rows
