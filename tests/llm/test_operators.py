@@ -306,3 +306,12 @@ def test_quality_reads_a_long_token_to_its_end():
     scores = space.scores([quality.terms(plain + junk * k) for k in (0, 1, 50)])
     assert scores[0] > scores[1] or scores[1] > scores[2]
     assert scores[0] > 0.7 > scores[2]
+
+
+def test_nearest_neighbours_are_as_many_as_there_are(spark, monkeypatch):
+    monkeypatch.setattr(ann.Forest, "enough", lambda *_: 1)  # one leaf, which may hold few vectors
+    x = np.random.default_rng(3).standard_normal((15, 16))
+    for n, vectors in ((15, x), (60, np.repeat(x[:2], 30, axis=0))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = Counter(r.query_id for r in ann.search(df, lambda v: v % 5 == 0).collect())
+        assert got == {q: min(20, n - 1) for q in range(0, n, 5)}

@@ -71,17 +71,21 @@ class Forest:
             out[:, t] = node - (self.leaves - 1) + t * self.leaves
         return out
 
-    def visit(self, x: np.ndarray, most: int) -> list[list[int]]:
-        """For each query its leaves, best first: all trees share one queue, a node's priority is the least margin on its way."""
+    def visit(self, x: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[list[int]]:
+        """For each query its leaves, best first: all trees share one queue, a node's priority is the least margin on its way.
+
+        There are ``most`` leaves, and more until those of one tree, by ``sizes``, hold ``least`` vectors.
+        """
         points = self.lifted(x, query=True)
         margins = np.einsum("qd,tnd->qtn", points, self.normals) - self.offsets
         out = []
         for row in margins:
-            queue, found = [(-np.inf, t, 0) for t in range(len(row))], []
-            while queue and len(found) < most:
+            queue, found, held = [(-np.inf, t, 0) for t in range(len(row))], [], [0] * len(row)
+            while queue and (len(found) < most or max(held) < least):
                 priority, t, node = heapq.heappop(queue)
                 if node >= self.leaves - 1:
                     found.append(node - (self.leaves - 1) + t * self.leaves)
+                    held[t] += sizes.get(found[-1], 0) if sizes else 0
                     continue
                 m = row[t, node]
                 heapq.heappush(queue, (max(priority, m), t, 2 * node + 1))
@@ -152,8 +156,9 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     placed = own.mapInArrow(leaves, f"vec_id long, vector {kind}, leaves array<long>")
     rows = placed.select("vec_id", "vector", F.explode("leaves").alias("leaf"))
     # trees times leaves rows, a number fixed above
-    sizes = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}
-    chunks = {leaf: -(-count // CHUNK) for leaf, count in sizes.items()}
+    counts = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("different")).collect()
+    sizes = {r["leaf"]: r["different"] for r in counts}
+    chunks = {r["leaf"]: -(-r["n"] // CHUNK) for r in counts}
     parts = max(1, -(-facts["queries"] // QUERIES))
     cut = spark.createDataFrame(sorted(chunks.items()), "leaf long, chunks long")
     chunked = rows.join(F.broadcast(cut), "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))
@@ -162,7 +167,7 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = shared.value.visit(_matrix(batch.column("vector")).astype(float), most)
+                found = shared.value.visit(_matrix(batch.column("vector")).astype(float), most, sizes, k + 1)  # one may be the query itself
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["query_id", "vector", "leaves"])
 
     asked = own.filter(queries(F.col("vec_id"))).mapInArrow(visits, f"query_id long, vector {kind}, leaves array<long>")
