@@ -18,13 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries that a worker keeps for chunks of text; beyond, it starts anew.
+#: Entries of the generation that a worker fills for chunks of text; it keeps this one and the one before.
 CACHE_ENTRIES = 200_000
 #: Above every rank.
 NEVER = 1 << 60
@@ -59,9 +60,11 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         one = lambda piece: array("i", self.encode_piece(piece.encode("utf-8"))).tobytes()
-        self.piece = _Memo(one)
-        self.first = _Memo(self._chunk)
-        self.spaced = _Memo(lambda word: one(" " + word) if word.isalpha() else self._chunk(" " + word))
+        self.piece = _Memo(one, CACHE_ENTRIES // 4)
+        self.first = _Memo(self._chunk, CACHE_ENTRIES // 8)
+        self.spaced = _Memo(lambda word: one(" " + word) if word.isalpha() else self._chunk(" " + word), CACHE_ENTRIES)
+        # the vocabulary by rank, for decoding whole arrays: what no rank has is null
+        self.entries = pa.array([self.bytes_of.get(i) for i in range(len(self.size))], pa.large_binary())
 
     def merged(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """Plain merging, lowest rank first, down to so many parts; for the few bytes of one token."""
@@ -120,13 +123,11 @@ class Codec:
             end = last + 1
         if end == n:
             return taken
-        longest = [-1] * n
-        for end, (before, rank) in self.automaton.iter(latin):
-            longest[end - before] = rank  # of matches from one place, the longest comes last
-        if -1 in longest:
-            raise ValueError("the vocabulary lacks a byte of the text")
-        token, end = longest[0], size[longest[0]]
-        taken, given_up = [token], set()
+        # those taken so far are the longest that fit, so the search goes on from them
+        known = end - size[taken[-1]] if taken else 0
+        longest, given_up = self._longest(latin, known), set()
+        if not taken:
+            taken, end = [longest[0]], size[longest[0]]
         while end < n or end in given_up:
             # taken ends at `end`: find what may come next, or else replace the last token
             last, token = taken[-1], longest[end] if end < n else -1
@@ -136,6 +137,8 @@ class Codec:
                 given_up.add(end)
                 token = taken.pop()
                 end -= size[token]
+                if end < known:
+                    known, longest = 0, self._longest(latin, 0)
                 token = self._next_shorter(token)
                 while token >= 0 and (end + size[token] in given_up or taken and not self._may_follow(taken[-1], token)):
                     token = self._next_shorter(token)
@@ -143,8 +146,18 @@ class Codec:
             end += size[token]
         return taken
 
+    def _longest(self, latin: str, start: int) -> list[int]:
+        """The longest entry that begins at each place from ``start`` on."""
+        out = [-1] * len(latin)
+        for last, (before, rank) in self.automaton.iter(latin, start):
+            out[last - before] = rank  # of matches from one place, the longest comes last
+        if -1 in out[start:]:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        return out
+
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(chunk)))
+        # a word is kept once, whatever marks follow it
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and p[1:].isalpha() else self.piece[p] for p in self.pieces(chunk)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text. No piece spans the space before a word, so what lies between such spaces is encoded once and kept, as the bytes of its ids."""
@@ -158,21 +171,36 @@ class Codec:
             known = map(self.spaced.__getitem__, rest)
         return np.frombuffer(self.first[head] + b"".join(known), np.int32)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each row of ids (null ids: none), gathered for all rows at once."""
+        if ids.null_count:
+            ids = pc.if_else(ids.is_null(), pa.scalar([], ids.type), ids)
+        got = self.entries.take(ids.flatten())
+        if got.null_count:
+            raise ValueError("an id is null or not in the vocabulary")
+        _, offsets, data = got.buffers()
+        ends = np.frombuffer(offsets, np.int64)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
+        rows = ids.offsets.to_numpy().astype(np.int64)
+        # entries lie one after another, so a row's bytes lie between those of its first and its last id
+        bounds = ends[rows - rows[0]]
+        raw = data if data is not None else pa.py_buffer(b"")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), raw]).cast(pa.binary())
 
 
 class _Memo(dict):
-    """Answers of a function, forgotten when there are too many. Very long keys aren't kept."""
+    """Answers of a function in two generations: when one is full, the one before is forgotten. Very long keys aren't kept."""
 
-    def __init__(self, answer):
+    def __init__(self, answer, most: int):
         super().__init__()
-        self.answer = answer
+        self.answer, self.most, self.before = answer, most, {}
 
     def __missing__(self, key):
-        out = self.answer(key)
+        out = self.before.get(key)
+        if out is None:
+            out = self.answer(key)
         if len(key) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -202,48 +230,53 @@ def _as_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
 
 
-def _appended(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` and one more column, made from batches of ``column`` in Python."""
-    if out in df.columns:
-        raise ValueError(f"the table already has a column {out}")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+def _appended(df: DataFrame, column: str, out: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` and more columns, made from batches of ``column`` in Python."""
+    if clash := [c for c in out if c in df.columns]:
+        raise ValueError(f"the table already has a column {clash[0]}")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, kind) for c, kind in out.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, column):
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(column))], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(column))], [*part.schema.names, *out])
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of each whole text as ``out_col`` (array of int).
+def _vocabulary(df: DataFrame, ranks_path: str):
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text as ``out_col`` (array of int), and, if ``decoded_col``
+    is given, the bytes that these ids stand for (binary), decoded in the same pass.
 
     A null or empty text has no ids. Rows are independent: copies, ties and other
     columns (null or not) don't matter; an empty table stays empty. The vocabulary
-    (under 1 MB, fixed) is read on the driver and broadcast. A column named ``out_col``
+    (under 1 MB, fixed) is read on the driver and broadcast. A column named like a new one
     that is already there is an error.
     """
-    with open(ranks_path, "rb") as f:
-        raw = df.sparkSession.sparkContext.broadcast(f.read())
+    raw = _vocabulary(df, ranks_path)
+    out = {out_col: T.ArrayType(T.IntegerType(), True)} | ({decoded_col: T.BinaryType()} if decoded_col else {})
 
-    def make(texts: pa.Array) -> pa.Array:
+    def make(texts: pa.Array) -> list[pa.Array]:
         own = codec(raw.value, pattern)
-        return _as_lists([own.encode(t) for t in texts.to_pylist()])
+        ids = _as_lists([own.encode(t) for t in texts.to_pylist()])
+        return [ids, own.decode(ids)] if decoded_col else [ids]
 
-    return _appended(df, text_col, out_col, T.ArrayType(T.IntegerType(), True), make)
+    return _appended(df, text_col, out, make)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that ``ids_col`` stands for as ``out_col`` (binary). Null ids give no bytes."""
-    with open(ranks_path, "rb") as f:
-        raw = df.sparkSession.sparkContext.broadcast(f.read())
+    """``df`` with the bytes that ``ids_col`` stands for as ``out_col`` (binary).
 
-    def make(ids: pa.Array) -> pa.Array:
-        own = codec(raw.value, pattern)
-        return pa.array([own.decode(row or ()) for row in ids.to_pylist()], pa.binary())
-
-    return _appended(df, ids_col, out_col, T.BinaryType(), make)
+    A null row of ids gives no bytes; a null id and one that is not in the vocabulary are errors.
+    Rows are independent; an empty table stays empty; a column named ``out_col`` is an error.
+    """
+    raw = _vocabulary(df, ranks_path)
+    return _appended(df, ids_col, {out_col: T.BinaryType()}, lambda ids: [codec(raw.value, pattern).decode(ids)])
 
 
 def digests(df: DataFrame, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:

@@ -21,8 +21,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks, pattern).drop("text")
-    return bpe.digests(bpe.decode(encoded, ranks, pattern))
+    return bpe.digests(bpe.encode(docs, ranks, pattern, decoded_col="decoded"))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
