@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,38 @@ def _translated(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named by spark.checkpoint.dir.
 
-    Where the setting is absent (tests in local mode) a temporary folder is used.
+    A folder of one machine would lose tables on a cluster, so without the setting this is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(named)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def same(left: DataFrame, right: DataFrame, columns: Iterable[str]) -> Column:
+    """Whether the columns of both tables are equal, nulls being equal to one another."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that further columns can't clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def unpacked(row: str, columns: Iterable[str], **instead: Column) -> list[Column]:
+    """The columns of a struct made by ``packed``, some with another value."""
+    return [instead[c].alias(c) if c in instead else F.col(f"{row}.`{c}`").alias(c) for c in columns]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, written
+from tidemark.llm.common import lower_ascii, packed, unpacked, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -125,10 +125,16 @@ def digests(marked: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns, whatever their names.
+
+    Null and empty texts stay. Every row is judged by its own text: of rows with one doc_id, or a
+    null one, those that hold a window go and the others stay; repeated rows go or stay together.
+    An empty benchmark leaves all rows.
+    """
     bad = mark(docs, benchmark, text_col).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    own = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    own = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    left = own.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left_anti")
+    return left.select(*unpacked("row", docs.columns))
 
 
 ORACLE_SQL = r"""

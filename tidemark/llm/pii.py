@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import packed, unpacked, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "number", "secret")
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 # Private code points that stand for a domain's dot and a number's separator, and the one that text holding them gets.
-DOT, GAP, OTHER = "", "", ""
+DOT, GAP, OTHER = "\ue001", "\ue002", "\ue003"
 LOCAL, DOMAIN = "A-Za-z0-9._%+" + DOT + "-", "A-Za-z0-9-"
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[{DOMAIN}]++{DOT}[{DOMAIN}{DOT}]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -204,18 +204,21 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     Rows are independent: repeated rows get equal spans, other columns play no part, an
     empty table stays empty.
     """
-    rows = written(found(docs, text_col).select(*keep, "pii_base", "pii_candidates"), "pii-candidates")
-    return rows.select(*keep, _accepted(_weights(rows)).alias("pii_spans"))
+    own = docs.select(packed(docs.select(*keep)).alias("row"), F.col(text_col).alias("text"))
+    rows = written(found(own, "text").select("row", "pii_base", "pii_candidates"), "pii-candidates")
+    return rows.select(*unpacked("row", keep), _accepted(_weights(rows)).alias("pii_spans"))
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all personal data of each text replaced, as ``find`` finds and ``redact`` replaces it.
 
     The texts are read twice, once for the votes and once to be written, and never shuffled.
+    All rows and columns stay, whatever their names; a null text stays null, an empty one empty.
+    Repeated rows get equal texts; an empty table stays empty.
     """
-    seen = found(docs, text_col)
+    seen = found(docs.select(packed(docs).alias("row"), F.col(text_col).alias("text")), "text")
     spans = seen.withColumn("pii_spans", _accepted(_weights(seen.select("pii_candidates"))))
-    return redact(spans, text_col).select(*docs.columns)
+    return redact(spans, "text").select(*unpacked("row", docs.columns, **{text_col: F.col("text")}))
 
 
 def joined(spans: Column) -> Column:
