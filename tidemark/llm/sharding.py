@@ -1,10 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows of equal text form a group. Groups are dealt into units: a group with a large share
-of any total is a unit of its own, cut into pieces by document id where it exceeds the
+of any total is a unit of its own, cut into pieces row by row where it exceeds the
 largest unit; all others are hashed into a fixed number of bundles. The units are few by
 construction, so they are placed on the driver, largest first: each goes to the shard
-where the dot product of its vector and the shard's residual capacity is highest.
+where the dot product of its vector and the shard's residual capacity is highest. Bundling
+costs balance: a shard's total can't be met more closely than by a bundle, on average
+1 / MIN_BUNDLES of everything, or 0.6 % of one of 24 shards.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ UNIT_PART = 1 / 64
 #: Bundles of small groups at least, rows that a bundle should have, and bundles at most.
 MIN_BUNDLES, BUNDLE_ROWS, MAX_BUNDLES = 4096, 250_000, 1 << 18
 MEASURES = ("size", "tokens", "one")
+#: What counts as a token where no column says how many a row has: a word, a number, or a run of marks.
+TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
 
-def measured(docs: DataFrame, text: Column) -> DataFrame:
-    """Size, words, checksum and group of each row; the text itself goes no further."""
+def measured(docs: DataFrame, text: Column, tokens: Column | None = None) -> DataFrame:
+    """Size, tokens, checksum and group of each row, and a number of its own; the text itself goes no further."""
     text = F.coalesce(text, F.lit(""))
+    tokens = F.regexp_count(text, F.lit(TOKEN)) if tokens is None else F.coalesce(tokens, F.lit(0))
     return docs.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        (F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1).cast("long").alias("tokens"),
+        tokens.cast("long").alias("tokens"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.md5(F.encode(text, "UTF-8")).alias("group"),
     ).withColumn("one", F.lit(1).cast("long"))
@@ -50,19 +56,19 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    The law is ``bytes``: shards have near equal bytes (and words and rows). Rows of equal
-    text share a shard unless they have more than UNIT_PART of a shard's capacity; then
-    they are cut by doc_id. A null text has no bytes and counts as an empty one. Repeated
-    rows are rows of their own; rows equal in doc_id and text stay together. An empty
-    table gives an empty result. Other columns are ignored. ``slot`` counts from 0 in each
-    shard without gaps.
+    The law is ``bytes``: shards have near equal bytes (and tokens and rows). ``tokens`` says how
+    many tokens a row has; without it, those that TOKEN finds in the text are counted. Rows of equal
+    text share a shard unless they have more than UNIT_PART of a shard's capacity; then they are
+    cut row by row, whatever their ids, null and repeated ones too. A null text has no bytes and
+    counts as an empty one. Repeated rows are rows of their own. An empty table gives an empty
+    result. Other columns are ignored. ``slot`` counts from 0 in each shard without gaps.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    rows = written(measured(docs, F.col(text_col)), "sharding-rows")
+    rows = written(measured(docs, F.col(text_col), tokens), "sharding-rows")
     spark = rows.sparkSession
     total = rows.agg(*(F.sum(m).alias(m) for m in MEASURES)).first()
     bundles = min(MAX_BUNDLES, max(MIN_BUNDLES, (total["one"] or 0) // BUNDLE_ROWS))
@@ -78,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 24, text_col: str = "text") -> DataFram
         first += n
     cut = spark.createDataFrame(pieces, "group string, first_unit long, pieces long")
     unit = F.coalesce(
-        F.col("first_unit") + F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces")),
+        F.col("first_unit") + F.pmod(F.xxhash64(F.lit("piece"), "row"), F.col("pieces")),
         F.pmod(F.xxhash64("group"), F.lit(bundles)),
     )
     dealt = rows.join(F.broadcast(cut), "group", "left").withColumn("unit", unit)
@@ -90,7 +96,7 @@ def shard(docs: DataFrame, shards: int = 24, text_col: str = "text") -> DataFram
         places.append((u["unit"], s, filled[s]))
         filled[s] += u["one"]
     placed = spark.createDataFrame(places, "unit long, shard int, first_slot long")
-    order = Window.partitionBy("unit").orderBy("doc_id", "size", "text_crc32")
+    order = Window.partitionBy("unit").orderBy("doc_id", "size", "text_crc32", "row")
     return dealt.join(F.broadcast(placed), "unit").select(
         "doc_id",
         "size",
