@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": decontaminate.ORACLE_SQL, "op9_ngram_jaccard": jaccard.ORACLE_SQL}
+    return {"op2_decontamination": decontaminate.ORACLE_SQL, "op5_licenses": licenses.ORACLE_SQL, "op9_ngram_jaccard": jaccard.ORACLE_SQL}
