@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shingles
-from tidemark.llm.common import written
+from tidemark.llm.common import packed, unpacked, written
 from tidemark.llm.components import components
 
 #: Similarity for a link, as a fraction: 100 * common >= 75 * all.
@@ -38,8 +38,12 @@ FIRST_BAND, BAND_FACTOR = 128, 4
 PARTS = 0.57
 #: Sets that share a cold signature at most.
 COLD = 16
+#: Tasks over which the members of one hot signature are dealt in joins.
+SLOTS = COLD
 #: Sets of a block that are compared with those of another at once, where buckets stay hot.
 BLOCK = 2048
+#: Signatures that one target partition should hold.
+PART_SIGNATURES = 2_000_000
 #: Hubs that are tried in buckets that stay open before their members are compared in blocks.
 TURNS = 1
 #: Documents whose ids are broadcast to pick their texts; more of them are joined by a shuffle.
@@ -111,7 +115,7 @@ def describe(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
     return source.mapInArrow(run, T.StructType([*kept.fields, *made.fields]))
 
 
-def _packed(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
+def _signatures(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
     """(part, payload): the signatures of each input partition, packed per target partition.
 
     Of a signature that more than COLD sets of one input partition have, COLD + 1 go to its
@@ -312,13 +316,19 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     alone has a null id. Repeated rows get equal results; a repeated doc_id with different
     texts counts for each. An empty table gives an empty result; other columns are ignored.
     """
+    described, roots = _joined(docs, text_col)
+    return _labelled(described, roots)
+
+
+def _joined(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, node, size, bands) of every row, and (node, root) of all nodes with links."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.col(text_col).alias("text")).withColumn("row_key", F.struct("doc_id", F.xxhash64("text").alias("text_key")))
     described = written(describe(source, "text", ("doc_id", "row_key")), "described")
     held = described.filter("node is not null")
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = _packed(source, parts, "text").repartition(parts, "part")
-    found = written(_buckets(packed), "signature-buckets")
+    total = held.agg(F.sum(F.aggregate("bands", F.lit(0).cast("long"), lambda n, b: n + b["signatures"]))).first()[0] or 0
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
+    found = written(_buckets(_signatures(source, parts, "text").repartition(parts, "part")), "signature-buckets")
 
     need = held.select("node", "size", F.explode("bands").alias("b")).groupBy("node", F.col("b.band").alias("band")).agg(F.first("size").alias("size"), F.first("b.signatures").alias("signatures"))
     hot = found.filter(F.col("kind") == HOT).select(F.col("a").alias("node"), "band", F.col("b").alias("signature")).distinct()
@@ -335,7 +345,7 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     # of an unsafe set, the rarest hot signatures that make up for the cold ones it lacks: two linked sets share one of these
     rarity = hot.groupBy("signature").agg(F.count("*").alias("of"))
-    unsafe = hot.join(nodes.filter("margin <= 0"), ["node", "band"]).join(rarity, "signature")
+    unsafe = _by_signature(hot.join(nodes.filter("margin <= 0"), ["node", "band"]), rarity)
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy("of", "signature"))
     members = written(unsafe.withColumn("place", place).filter("place <= 1 - margin").select("node", "signature", "hot"), "hot-members")
 
@@ -358,14 +368,23 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if not members.isEmpty():
         more = written(_verified(_apart(_near(_blocks(members, roots), sets), roots), sets), "links-blocks")
         roots = components(links.union(more))
-    return _labelled(described, roots)
+    return described, roots
+
+
+def _by_signature(members: DataFrame, signatures: DataFrame, how: str = "inner") -> DataFrame:
+    """``members`` joined with a row per hot signature, the members of one dealt over SLOTS tasks.
+
+    A hot signature has more than COLD members, so the other side repeated for each slot is no larger than ``members``.
+    """
+    each = signatures.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    return members.withColumn("_slot", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int")).join(each, ["signature", "_slot"], how).drop("_slot")
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of hot buckets that hold more than one component."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
-    return written(members.join(open_, "signature", "left_semi"), "hot-open")
+    return written(_by_signature(members, open_, "left_semi"), "hot-open")
 
 
 def _spokes(members: DataFrame, turn: int) -> DataFrame:
@@ -376,7 +395,7 @@ def _spokes(members: DataFrame, turn: int) -> DataFrame:
     """
     rank = F.struct(F.col("hot") if turn == 0 else F.xxhash64("node", F.lit(turn)), "node")
     hubs = members.groupBy("signature").agg(F.max(rank)["node"].alias("hub"))
-    met = members.join(hubs, "signature").filter("hub <> node")
+    met = _by_signature(members, hubs).filter("hub <> node")
     return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
@@ -385,7 +404,7 @@ def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).filter("low <> high")
     open_ = open_.groupBy("n", "same").agg(F.min("signature").alias("signature"), F.first("n").alias("of"))
-    return written(rooted.join(open_.select("signature", "of"), "signature").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / BLOCK))), "hot-blocks")
+    return written(_by_signature(rooted, open_.select("signature", "of")).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / BLOCK))), "hot-blocks")
 
 
 #: Bits of the sketch that bounds how much two sets differ.
@@ -452,12 +471,27 @@ def _labelled(described: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` left when of each component only the document with the smallest doc_id stays, with all their columns.
+    """The rows of ``docs`` left when of each component only one stays, with all their columns, whatever their names.
 
-    Rows without a doc_id stay as they are; so do repeated rows of a document that stays.
+    It is the row with the smallest doc_id, a null one coming last; of several texts under that
+    id, that with the smallest hash. Each row goes by its own text: another text under the id of a
+    row that goes is not touched. Of rows equal in doc_id and text one stays. Rows whose text is
+    null, empty or without words have no shingles and all stay. An empty table stays empty.
     """
-    gone = join(docs, text_col).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    described, roots = _joined(docs, text_col)
+    own = described.filter("node is not null").select("node", F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("row_key.text_key").alias("text_key")).alias("row"))
+    rows = own.groupBy("node", "row").agg(F.count("*").alias("times")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows.select("root", "row", "times"), "rows-by-component")
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    key = [F.col("row.doc_id").alias("_doc"), F.col("row.text_key").alias("_key")]
+    judged = written(rows.join(first, "root").select(*key, (F.col("row") == F.col("first")).alias("stays"), "times"), "rows-judged")
+    own = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64(text_col).alias("text_key"))
+    met = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
+    gone, repeated = (judged.filter(f).select("_doc", "_key") for f in ("not stays or times > 1", "stays and times > 1"))
+    left = own.join(F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone, met, "left_anti").select("row")
+    if not repeated.isEmpty():
+        left = left.unionByName(own.join(repeated, met).groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row"))
+    return left.select(*unpacked("row", docs.columns))
 
 
 ORACLE_SQL = r"""
