@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import _slices
+from tidemark.llm.common import written
 
 #: Labelled documents that the space and the neighbours come from, at most.
 SAMPLE = 4000
@@ -32,7 +33,8 @@ REMEMBERED, REMEMBERED_SIZE = 100_000, 200
 #: Symbols of a shape that are one term; a longer shape is as many terms as it has such pieces.
 PIECE = 12
 
-_RUNS = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "U"), (r"[A-ZÀ-ÖØ-Þ]", "C"), (r"[^\W\d_A-ZÀ-ÖØ-ÞCU]+", "a"), (r"[0-9]+", "9"))]
+#: Runs of capitals, single capitals, other letters and digits; a run of capitals is kept apart from one by a control character.
+_RUNS = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "\x01"), (r"[A-ZÀ-ÖØ-Þ]", "C"), (r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a"), (r"[0-9]+", "9"))]
 
 
 class _Shapes(dict):
@@ -40,6 +42,7 @@ class _Shapes(dict):
         shape = token
         for pattern, symbol in _RUNS:
             shape = pattern.sub(symbol, shape)
+        shape = shape.replace("\x01", "U")
         if len(token) > REMEMBERED_SIZE:
             return shape
         if len(self) >= REMEMBERED:
@@ -71,18 +74,23 @@ def terms(text: str | None) -> Counter:
 
 
 class Space:
-    """A latent-semantic space, and the labelled vectors in it."""
+    """A latent-semantic space, and the labelled vectors in it.
 
-    def __init__(self, bags: list[Counter], labels: list[int]):
-        often = Counter(t for bag in bags for t in bag)
-        self.terms = {t: i for i, (t, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:TERMS])}
-        self.idf = np.log1p(len(bags) / np.array([often[t] for t in self.terms] or [1.0]))
-        rows = self.rows(bags)
+    ``often`` has the space's terms and in how many of ``size`` documents each occurs.
+    """
+
+    def __init__(self, often: list[tuple[str, int]], size: int):
+        self.terms = {t: i for i, (t, _) in enumerate(often)}
+        self.idf = np.log1p(size / np.array([n for _, n in often] or [1.0]))
+
+    def learn(self, rows: np.ndarray, labels: np.ndarray) -> Space:
+        """The space with the labelled documents in it; ``rows`` as ``rows()`` gives them."""
         _, _, basis = np.linalg.svd(rows, full_matrices=False)
         self.basis = basis[:DIMENSIONS].T
         self.vectors = self._unit(rows @ self.basis)
         self.labels = np.array(labels, float)
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
+        return self
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -129,20 +137,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", text_col: str = "text", most: int = SAMPLE) -> Space:
     """The space of a sample of at most ``most`` labelled documents for which ``train`` holds.
 
-    Only the sample's terms (some 40 to a document) come to the driver.
+    The terms of the space, those in most of these documents, are counted in Spark; the driver gets
+    them and then a row of TERMS numbers per document. A document that is learned from is
+    read in the same way as one that is scored.
     """
-    sample = labelled_sample(docs, labels, label, train, most, text_col)
+    sample = written(labelled_sample(docs, labels, label, train, most, text_col), "quality-sample")
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, "text"):
-                rows = [terms(t) for t in part.column("text").to_pylist()]
-                most_frequent = [[*zip(*bag.most_common(TERMS), strict=True)] for bag in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([b[0] for b in most_frequent]), pa.array([b[1] for b in most_frequent], pa.list_(pa.int64()))], ["doc_id", "label", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([[*terms(t)] for t in part.column("text").to_pylist()], pa.list_(pa.string()))], ["terms"])
 
-    got = sample.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, terms array<string>, counts array<long>")
-    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
-    return Space([Counter(dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], [r["label"] for r in rows])
+    each = sample.select("text").mapInArrow(listed, "terms array<string>").select(F.explode("terms").alias("term"))
+    often = each.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(TERMS).collect()
+    shared = sample.sparkSession.sparkContext.broadcast(space := Space([(r["term"], r["n"]) for r in often], sample.count()))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                found = shared.value.rows([terms(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([*found], pa.list_(pa.float64()))], ["doc_id", "label", "weights"])
+
+    got = sample.select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label int, weights array<double>").toArrow().sort_by("doc_id")
+    weights = got.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, len(often))
+    return space.learn(weights, got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, space: Space, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -166,7 +184,13 @@ def score(docs: DataFrame, space: Space, text_col: str = "text", out_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, learned from rows not held out."""
+    """doc_id, held_out, score, predicted of every row, learned from rows not held out.
+
+    A null or empty text is compared as one without tokens; a null doc_id is never held out.
+    Repeated rows get equal scores; labels other than 0 and 1, and null ones, are not learned from;
+    of a repeated doc_id the largest label counts, and each of its texts is learned from. An empty
+    table gives an empty result; other columns are ignored.
+    """
     out = held_out(F.col("doc_id"), 4, 2)
     space = fit(docs, labels, ~out, text_col=text_col)
     scored = score(docs.select("doc_id", F.col(text_col).alias("text")), space).drop("text")
