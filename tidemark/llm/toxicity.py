@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause as symbols: insult and threat give
-weight, target strengthens what is near it, negation and reported speech weaken it. They
-run in step as one composed machine; a document's matched clauses are scored, not its
-single words. The insult words and word beginnings are learned with their weights from a
-bounded sample of labelled documents (beginnings, as languages differ in how they build
-words); a logistic model turns a document's clause scores into a probability.
+Five letter-to-letter transducers rewrite the symbols of a clause one after another: reported
+speech and negation weaken what they cover, target finds who is meant, threat asks for a target,
+insult marks what counts. Their arcs carry factors; composed, they are one machine, and a clause
+weighs what its best path does: the lexical weight of each marked word times the factors of its
+arcs. So matched clauses are scored, not single words. The insult words and word beginnings are
+learned with their weights from a bounded sample of labelled documents (beginnings, as languages
+differ in how they build words); a logistic model turns a document's clause scores into a
+probability.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +31,132 @@ from tidemark.llm.quality import held_out, labelled_sample
 SAMPLE = 8000
 #: Learned entries at most, documents that one must occur in, and the least log-odds weight.
 ENTRIES, LEAST_DOCUMENTS, LEAST_WEIGHT = 2000, 4, 2.0
-#: Lengths of the word beginnings that are learned; whole words end in a space.
+#: Lengths of the word beginnings that are learned; whole words (of two letters at least) end in a space.
 SHORTEST, LONGEST = 4, 9
 #: Words between two symbols of a pattern at most.
 REACH = 4
 # What the transducers besides the learned lexicon accept.
 THREATS = "kill hurt destroy burn beat shoot stab punish crush smash töten schlagen tuer frapper matar golpear".split()
-TARGETS = "you your yours u he she they them him her his their these those du dich dir ihr euch tu te toi vous ton votre usted tú ti vosotros".split()
+WILLS = "will shall gonna going i'll we'll werde werden vais allons voy vamos".split()
+TARGETS = "you your yours u he she they them him her his these those du dich dir ihr euch tu te toi vous ton votre usted tú ti vosotros".split()
 NEGATIONS = "not no never neither nor isn't aren't don't doesn't won't wouldn't nicht kein keine nie ne pas jamais nunca jamás sin".split()
+CONTRASTS = "but yet however aber sondern doch mais pourtant pero sino".split()
 REPORTS = "said says say wrote writes quoted called calls claimed reported stated sagte schrieb sagt dit écrit dijo escribió".split()
-THREAT_WEIGHT, TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 2.0, 1.3, 0.5, 0.6
+THREAT_WEIGHT, TARGET_FACTOR, WILL_FACTOR, AGAIN_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 2.0, 1.3, 1.5, 1.1, 0.5, 0.6
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
+#: Symbols of words: insult, threat, will, target, negation, contrast, report, any other.
+SYMBOLS = "IHMTNBRO"
 
 
 class Transducer:
-    """States, symbols and the weight factor that a step gives; ``reach`` steps after its symbol it is back at rest."""
+    """States and arcs: (state, symbol read) -> (next state, symbol written, factor) of each choice; a clause may end in the final states."""
 
-    def __init__(self, symbol: str, factor: float):
-        self.symbol, self.factor = symbol, factor
+    def __init__(self, start, arcs: dict, final: set):
+        self.start, self.arcs, self.final = start, arcs, final
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        """The next state (steps for which it stays awake) and the factor for a weight read now."""
-        state = REACH if symbol == self.symbol else max(0, state - 1)
-        return state, self.factor if state else 1.0
+
+def _made(start, states: list, symbols: str, choices, final) -> Transducer:
+    return Transducer(start, {(q, s): tuple(found) for q in states for s in symbols if (found := choices(q, s))}, set(final))
+
+
+def reported() -> Transducer:
+    """What follows a verb of saying, to the end of the clause, is someone else's."""
+    return _made(0, [0, 1], SYMBOLS, lambda q, s: [(1, "O", 1.0)] if s == "R" else [(q, s, REPORT_FACTOR if q and s in "IH" else 1.0)], [0, 1])
+
+
+def negation() -> Transducer:
+    """The words after a negation, up to a contrast, are denied. A state counts the words that are left."""
+
+    def choices(q, s):
+        if s in "NB":
+            return [(REACH if s == "N" else 0, "O", 1.0)]
+        return [(max(q - 1, 0), s, NEGATION_FACTOR if q and s in "IH" else 1.0)]
+
+    return _made(0, [*range(REACH + 1)], SYMBOLS.replace("R", ""), choices, range(REACH + 1))
+
+
+def target() -> Transducer:
+    """Insults (A) and threats (K) with a target near. State 0: none near; k: one has gone by, which reaches k words further; -k: one is promised within k words."""
+
+    def choices(q, s):
+        if s == "T":
+            return [(REACH, "O", 1.0)]
+        rest = q - 1 if q > 0 else q + 1 if q < -1 else 0
+        aimed = {"I": "A", "H": "K"}.get(s)
+        if q == -1:
+            return []  # the promise was not kept
+        if not aimed:
+            return [(rest, s, 1.0)]
+        if q:
+            return [(rest, aimed, TARGET_FACTOR)]
+        return [(0, s, 1.0), (-REACH, aimed, TARGET_FACTOR)]
+
+    return _made(0, [*range(-REACH, REACH + 1)], "IHMTO", choices, range(REACH + 1))
+
+
+def threat() -> Transducer:
+    """A threat counts (X) only with a target, and more after a word of will. A state counts the words since that one."""
+
+    def choices(q, s):
+        if s == "M":
+            return [(REACH, "O", 1.0)]
+        rest = max(q - 1, 0)
+        if s in "HK":
+            return [(rest, "X" if s == "K" else "O", WILL_FACTOR if q and s == "K" else 1.0)]
+        return [(rest, s, 1.0)]
+
+    return _made(0, [*range(REACH + 1)], "AIHKMO", choices, range(REACH + 1))
+
+
+def insult() -> Transducer:
+    """Marks (E) insults and threats; those after the first of a clause count more."""
+    return _made(0, [0, 1], "AIXO", lambda q, s: [(q, "O", 1.0)] if s == "O" else [(1, "E", AGAIN_FACTOR if q else 1.0)], [0, 1])
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what ``first`` reads and writes what ``second`` makes of what that writes; factors multiply."""
+    start = (first.start, second.start)
+    arcs, left, known = {}, [start], {start}
+    while left:
+        p, q = state = left.pop()
+        for (from_, symbol), choices in first.arcs.items():
+            if from_ != p:
+                continue
+            found = tuple(((p2, q2), out, f * g) for p2, middle, f in choices for q2, out, g in second.arcs.get((q, middle), ()))
+            if found:
+                arcs[state, symbol] = found
+                new = {to for to, _, _ in found} - known
+                known |= new
+                left.extend(new)
+    return Transducer(start, arcs, {s for s in known if s[0] in first.final and s[1] in second.final})
+
+
+PARTS = (reported, negation, target, threat, insult)
+
+
+@lru_cache(maxsize=1)
+def machine() -> Transducer:
+    """All five as one, its states numbered."""
+    whole = reduce(composed, [part() for part in PARTS])
+    number = {s: i for i, s in enumerate(sorted({s for s, _ in whole.arcs} | whole.final, key=repr))}
+    return Transducer(number[whole.start], {(number[s], a): tuple((number[t], out, f) for t, out, f in c if t in number) for (s, a), c in whole.arcs.items()}, {number[s] for s in whole.final})
 
 
 class Grammar:
-    """The composed machine over the symbols of a clause."""
+    """The symbols and weights of words, and the composed machine that weighs a clause of them."""
 
     def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
         self.words = {w[:-1]: v for w, v in lexicon.items() if w.endswith(" ")}
         self.stems = {w: v for w, v in lexicon.items() if not w.endswith(" ")}
-        self.symbols = {w: s for s, group in (("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("H", THREATS)) for w in group}
-        self.modifiers = [Transducer("T", TARGET_FACTOR), Transducer("N", NEGATION_FACTOR), Transducer("R", REPORT_FACTOR)]
+        self.symbols = {w: s for s, group in (("R", REPORTS), ("B", CONTRASTS), ("N", NEGATIONS), ("T", TARGETS), ("M", WILLS), ("H", THREATS)) for w in group}
         self.read = _Read(self)
 
+    def __reduce__(self):
+        return Grammar, (self.lexicon,)
+
     def symbol(self, word: str) -> tuple[str, float]:
         """The word's symbol and weight; I for an insult, O for any other word."""
         found = [self.words[word]] if word in self.words else []
@@ -73,33 +166,30 @@ class Grammar:
         symbol = self.symbols.get(word, "O")
         return symbol, THREAT_WEIGHT if symbol == "H" else 0.0
 
-    def clause(self, symbols: list[tuple[str, float]]) -> float:
-        """Weight of a clause: that of its insults and threats, each times the factors of the machines that are awake.
-
-        Targets work in both directions, so the clause is read both ways for them; a threat without a target has no weight.
-        """
-        total, states = 0.0, [0] * len(self.modifiers)
-        later = [0] * (len(symbols) + 1)
-        for i in range(len(symbols) - 1, -1, -1):
-            later[i] = self.modifiers[0].step(later[i + 1], symbols[i][0])[0]
-        for i, (symbol, weight) in enumerate(symbols):
-            steps = [m.step(s, symbol) for m, s in zip(self.modifiers, states, strict=True)]
-            states = [s for s, _ in steps]
-            if weight:
-                aimed = states[0] or later[i]
-                if symbol == "H" and not aimed:
-                    continue
-                factor = TARGET_FACTOR if aimed else 1.0
-                for _, f in steps[1:]:
-                    factor *= f
-                total += weight * factor
-        return total
+    @staticmethod
+    def clause(symbols: list[tuple[str, float]]) -> float:
+        """Weight of a clause: that of the best path through the machine."""
+        own, plain = machine(), 0
+        alive = {own.start: 0.0}
+        for symbol, weight in symbols:
+            # after so many other words each part is at rest, and more of them change nothing
+            plain = plain + 1 if symbol == "O" else 0
+            if plain > REACH + 1:
+                continue
+            after: dict[int, float] = {}
+            for state, total in alive.items():
+                for to, out, factor in own.arcs.get((state, symbol), ()):
+                    value = total + weight * factor if out == "E" else total
+                    if value > after.get(to, -1.0):
+                        after[to] = value
+            alive = after
+        return max(v for state, v in alive.items() if state in own.final)
 
     def features(self, text: str | None) -> list[float]:
         """Of a whole text: the sum and the largest of its clauses' weights, matched clauses, words (as logarithms), and the weight per root of a word."""
         total = most = 0.0
         matched = words = 0
-        for part in CLAUSE.split((text or "").lower()):
+        for part in CLAUSE.split(normal(text)):
             found = WORD.findall(part)
             words += len(found)
             symbols = [*map(self.read.__getitem__, found)]
@@ -113,6 +203,17 @@ def _WEIGHT(symbol: tuple[str, float]) -> float:
     return symbol[1]
 
 
+def normal(text: str | None) -> str:
+    """Lower case, letters and their marks as one character where there is one."""
+    return unicodedata.normalize("NFC", (text or "").lower())
+
+
+def entries(text: str | None) -> set[str]:
+    """What of a text may become an entry of the lexicon: its words and their beginnings."""
+    words = {w for w in WORD.findall(normal(text)) if len(w) > 1}
+    return {f"{w} " for w in words} | {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+
+
 class _Read(dict):
     def __init__(self, grammar: Grammar):
         super().__init__()
@@ -124,9 +225,6 @@ class _Read(dict):
         out = self[word] = self.grammar.symbol(word)
         return out
 
-    def __reduce__(self):
-        return _Read, (self.grammar,)
-
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Log-odds weight of the words and word beginnings that mark label 1 in ``sample`` (label, text).
@@ -134,12 +232,13 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     Documents are counted in Spark; at most ENTRIES entries come to the driver. A longer
     entry that adds nothing to a shorter beginning of its own is left out.
     """
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+"))
-    keys = F.transform(
-        F.filter(words, lambda w: F.length(w) >= SHORTEST),
-        lambda w: F.concat(F.array(F.concat(w, F.lit(" "))), F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n))),
-    )
-    each = sample.select("label", F.explode(F.array_distinct(F.flatten(keys))).alias("key"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([sorted(entries(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))], ["label", "keys"])
+
+    each = sample.select("label", "text").mapInArrow(listed, "label int, keys array<string>").select("label", F.explode("keys").alias("key"))
     counts = each.groupBy("key").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).filter(F.col("toxic") >= LEAST_DOCUMENTS)
     totals = sample.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     toxic, clean = totals["toxic"] or 0, totals["clean"] or 0
@@ -214,7 +313,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, learned from rows not held out."""
+    """doc_id, held_out, score, predicted of every row, learned from rows not held out.
+
+    A null or empty text has no clauses; a null doc_id is never held out. Repeated rows get equal
+    scores; labels other than 0 and 1, and null ones, are not learned from; of a repeated doc_id the
+    largest label counts. An empty table gives an empty result; other columns are ignored.
+    """
     out = held_out(F.col("doc_id"), 5, 0)
     model = fit(docs, labels, ~out, text_col=text_col)
     scored = score(docs.select("doc_id", F.col(text_col).alias("text")), model).drop("text")
