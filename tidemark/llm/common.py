@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import string
+import tempfile
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -24,12 +26,16 @@ def _translated(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named by spark.checkpoint.dir.
 
-    A folder of one machine would lose tables on a cluster, so without the setting this is an error.
+    Without the setting a local session (tests) gets a temporary folder. On a cluster a folder of
+    one machine would lose tables, so there it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(named)
     return named
 
 
