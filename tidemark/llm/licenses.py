@@ -82,14 +82,16 @@ def scan(docs: DataFrame, given: DataFrame | None = None, text_col: str = "text"
     met = _document_shingles(read, sizes).join(few(least), "key")
     step = F.ceil(F.col("n") / 2).cast("int")
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - 2 * F.col("n")) / step) + 1).cast("int")
-    met = met.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("pos") / step).cast("int")))).withColumn("window", F.col("window") * step)
-    count = F.least(F.col("n") * 2, F.size("own") - F.col("s") + 1 - F.col("window"))
-    inside = F.sequence(F.col("window"), F.col("window") + count - 1)
+    window = lambda i: F.struct((i * step).alias("window"), F.slice("own", i * step + 1, 2 * F.col("n") + F.col("s") - 1).alias("own"))
+    # from here on a row has the words of its window only, not those of the whole text
+    place = ["doc_id", "text_key", "template", "window"]
+    met = met.select("doc_id", "text_key", "template", "s", "key", "bands", F.explode(F.transform(F.sequence(first, F.floor(F.col("pos") / step).cast("int")), window)).alias("w"))
+    met = met.select(*place[:3], "s", "key", "bands", "w.window", "w.own")
+    inside = F.sequence(F.lit(0), F.size("own") - F.col("s"))
     lower = lambda i, b: _banded(_sized_key(F.col("own"), i, F.col("s"), sizes), b) < _banded(F.col("key"), b)
     met = met.filter(F.exists("bands", lambda b: ~F.exists(inside, lambda i: lower(i, b))))
-    place = ["doc_id", "text_key", "template", "window"]
     # a text's windows are made in one task, so that they are reduced to one row each before the shuffle
-    windows = met.groupBy(*place).agg(F.first(F.slice("own", F.col("window") + 1, count + F.col("s") - 1)).alias("own"))
+    windows = met.select(*place, "own").groupBy(*place).agg(F.first("own").alias("own"))
     matched = _document_shingles(windows, sizes).join(few(keys), ["template", "key"])
     matched = written(matched.select(*place, "license_id", "of", "key", (F.col("window") + F.col("pos")).alias("pos")), "license-windows")
 
