@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from tidemark.dialect import ALERT_EXCLUDED, HISTORICAL, LIVE
 from tidemark.functions import js
-from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, risk, schedule, scoring, state
+from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, report, risk, schedule, scoring, state
 from tidemark.operators.ordered import numbered
 from tidemark.plans import historical, live, oracle
+from tidemark.shared import new_path
 from tidemark.sources import candles as source
+from tidemark.streaming import candles as streaming
 
-H4, WEEK, BENCHMARK = oracle.H4, oracle.WEEK, "view"
+H4, M15, WEEK, BENCHMARK, SYMBOLS = oracle.H4, 900_000, oracle.WEEK, "view", oracle.SYMBOLS
 HIST = replace(HISTORICAL, horizon=24, interval_ms=H4)
 NOW = replace(LIVE, interval_ms=H4)
+#: The backtest as it is run in production: bars of 15 minutes, a horizon of 96.
+HIST_15M = replace(HISTORICAL, interval_ms=M15)
 R6 = lambda c: js.js_round(F.col(c), 1e6).alias(c)
 BARS = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trades", "is_closed"]
 
@@ -71,12 +75,21 @@ def _klines(spark, d):
     return bars.select("symbol", F.lit("4h").alias("interval"), wrapped.alias("raw"), "close_time")
 
 
+def _normalized(spark, d, dialect=NOW):
+    rows = _klines(spark, d)
+    return source.normalized(rows.crossJoin(F.broadcast(source.latest_close(rows))), dialect, F.col("now"))
+
+
 @query(f"""WITH {oracle.candles()}, n AS (SELECT max(close_time) AS now FROM candles)
 SELECT symbol, '4h' AS interval, open_time, close_time, open, high, low, close, volume, quote_volume, trades, volume AS taker_buy_volume, quote_volume AS taker_buy_quote_volume, close_time < now AS is_closed FROM candles, n""")
 def normalize_klines(spark, d):
-    rows = _klines(spark, d)
-    now = rows.agg(F.max("close_time")).first()[0]
-    return source.normalized(rows, NOW, now)
+    return _normalized(spark, d)
+
+
+@query(f"""WITH {oracle.candles()}, n AS (SELECT max(close_time) AS now FROM candles)
+SELECT symbol, open_time, close_time <= now AS is_closed FROM candles, n""")
+def normalize_klines_hist(spark, d):
+    return _normalized(spark, d, HIST).select("symbol", "open_time", "is_closed")
 
 
 @query(f"""WITH {oracle.candles()} SELECT symbol, open_time, close + 1 AS close FROM candles WHERE trades % 2 = 0 UNION ALL SELECT symbol, open_time, close FROM candles WHERE trades % 2 = 1""")
@@ -94,9 +107,7 @@ def symbol_universe(spark, d):
 
 @query(f"""WITH {oracle.candles()}, n AS (SELECT max(close_time) AS now FROM candles) SELECT symbol, open_time, close FROM candles, n WHERE close_time < now""")
 def closed_only(spark, d):
-    rows = _klines(spark, d)
-    now = rows.agg(F.max("close_time")).first()[0]
-    return source.normalized(rows, NOW, now).filter("is_closed").select("symbol", "open_time", "close")
+    return _normalized(spark, d).filter("is_closed").select("symbol", "open_time", "close")
 
 
 # indicators
@@ -235,7 +246,7 @@ for _name, _keys, _where in (
 ):
 
     def _summary(spark, d, keys=_keys, only=_where):
-        return metrics.summary(_trades(spark, d).filter(only), keys)
+        return metrics.summary(_trades(spark, d).filter(only), keys, symbols=SYMBOLS)
 
     QUERIES[_name] = _summary
     SQL[_name] = oracle.summary(", ".join(_keys), _where)
@@ -248,12 +259,12 @@ def status_histogram(spark, d):
 
 @query(f"SELECT polling_minutes, max_drawdown FROM ({oracle.summary('polling_minutes')})")
 def max_drawdown(spark, d):
-    return metrics.max_drawdown(_trades(spark, d), ["polling_minutes"])
+    return metrics.max_drawdown(_trades(spark, d), ["polling_minutes"], SYMBOLS)
 
 
 @query(f"SELECT symbol, max_losing_streak FROM ({oracle.summary('symbol')})")
 def losing_streak(spark, d):
-    return metrics.losing_streak(_trades(spark, d), ["symbol"])
+    return metrics.losing_streak(_trades(spark, d), ["symbol"], SYMBOLS)
 
 
 @query(f"WITH {oracle.trades()} SELECT polling_minutes, {oracle.js('median(final_r)')} AS median_r FROM trades GROUP BY ALL")
@@ -266,10 +277,13 @@ def data_coverage(spark, d):
     return metrics.coverage(_candles(spark, d))
 
 
-@query(f"WITH {oracle.trades()} SELECT symbol, CAST(seq AS BIGINT) AS seq, final_status, final_r FROM trades WHERE step = 1 ORDER BY symbol, seq LIMIT 20")
+_ISO = "strftime(make_timestamp({} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+_TRADE = ["time", "symbol", "direction", "level", "score", "final_status", "final_r"]
+
+
+@query(f"WITH {oracle.trades()} SELECT {_ISO.format('open_time')} AS time, {', '.join(_TRADE[1:])} FROM trades WHERE step = 1 ORDER BY {oracle.PLACE}, seq LIMIT 20")
 def sample_trades(spark, d):
-    rows = _trades(spark, d).filter("step = 1").orderBy("symbol", "seq").limit(20)
-    return rows.select("symbol", F.col("seq").cast("bigint").alias("seq"), "final_status", "final_r")
+    return report.first_trades(_trades(spark, d), SYMBOLS).select(*_TRADE)
 
 
 @query(f"WITH {oracle.evaluated()} SELECT count(*) AS generated, CAST(count_if(level IN ('A', 'S')) AS BIGINT) AS qualified, CAST(count_if(level = 'S') AS BIGINT) AS strong, CAST(count_if(lifecycle_status = 'planned') AS BIGINT) AS planned FROM ev")
@@ -299,9 +313,9 @@ def opportunities_upsert(spark, d):
 @query(f"WITH {oracle.candles()}, m AS (SELECT max(open_time) AS t FROM candles) SELECT symbol, open_time, CASE WHEN open_time >= t - {10 * H4} THEN close * 2 ELSE close END AS close, CASE WHEN open_time = t THEN 70 ELSE 100 END AS data_quality_score FROM candles, m")
 def candles_upsert(spark, d):
     bars = _candles(spark, d).select("symbol", "open_time", "close")
-    last = bars.agg(F.max("open_time")).first()[0]
     old = bars.withColumns({"is_closed": F.lit(True), "ingest_seq": F.lit(0)})
-    new = bars.filter(F.col("open_time") >= last - 10 * H4).select("symbol", "open_time", (F.col("close") * 2).alias("close"), (F.col("open_time") < last).alias("is_closed"), F.lit(1).alias("ingest_seq"))
+    new = bars.crossJoin(F.broadcast(bars.agg(F.max("open_time").alias("last")))).filter(F.col("open_time") >= F.col("last") - 10 * H4)
+    new = new.select("symbol", "open_time", (F.col("close") * 2).alias("close"), (F.col("open_time") < F.col("last")).alias("is_closed"), F.lit(1).alias("ingest_seq"))
     return state.candle_quality(state.upserted(old, new, ["symbol", "open_time"], "ingest_seq")).select("symbol", "open_time", "close", "data_quality_score")
 
 
@@ -392,8 +406,7 @@ def recent_signals(spark, d):
 @query(_SIGNALS + " SELECT id, level, score FROM sig WHERE id = (SELECT min(id) FROM sig)")
 def signal_by_id(spark, d):
     rows = _signals(spark, d)
-    first = rows.agg(F.min("id")).first()[0]
-    return readmodel.by_id(rows, first).select("id", "level", "score")
+    return readmodel.by_id(rows, rows.agg(F.min("id").alias("id"))).select("id", "level", "score")
 
 
 @query(_SIGNALS + """, n AS (SELECT * FROM sig ORDER BY created_ms DESC, id LIMIT 50), x AS (SELECT symbol, arg_max(level, (created_ms, id)) AS level, arg_max(relative_strength, (created_ms, id)) AS rs0, arg_max(eligible, (created_ms, id)) AS planned, arg_max(score, (created_ms, id)) AS score FROM n GROUP BY symbol)
@@ -437,23 +450,320 @@ def bar_numbers(spark, d):
     return numbered(_candles(spark, d)).select("symbol", "open_time", F.col("seq").cast("bigint").alias("seq"), "bars")
 
 
+# rows of the store, and what a run reports
+
+
+@query(f"WITH {oracle.candles()} SELECT symbol, {_ISO.format('open_time')} AS open_time, {_ISO.format('close_time')} AS close_time, open, high, low, close, is_closed, CASE WHEN is_closed THEN 100 ELSE 70 END AS data_quality_score FROM (SELECT * REPLACE (trades % 5 > 0 AS is_closed) FROM candles)")
+def candle_rows(spark, d):
+    bars = _candles(spark, d).withColumn("is_closed", F.col("trades") % 5 > 0)
+    return state.candle_rows(bars).select("symbol", "open_time", "close_time", "open", "high", "low", "close", "is_closed", "data_quality_score")
+
+
+_INTERVALS = {"15m": M15, "1h": 3_600_000, "4h": H4}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {oracle.candles(ms)} SELECT symbol, '{name}' AS interval, open_time, close FROM candles QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 120)" for name, ms in _INTERVALS.items()))
+def multi_interval_scan(spark, d):
+    bars = [source.from_events(spark, d, ms).withColumn("interval", F.lit(name)) for name, ms in _INTERVALS.items()]
+    return live.scan(bars[0].unionByName(bars[1]).unionByName(bars[2])).select("symbol", "interval", "open_time", "close")
+
+
+_DIRTY_BARS = f"""{oracle.candles()}, two AS (SELECT *, 0 AS copy FROM candles UNION ALL SELECT *, 1 FROM candles WHERE trades % 7 = 0),
+g AS (SELECT *, trades % 11 = 0 AS is_open, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time, copy) AS previous FROM two),
+q AS (SELECT symbol, open_time, copy, trades, count_if(is_open) OVER w AS opens, count_if(coalesce(open_time = previous, false)) OVER w AS dups, count_if(coalesce(open_time - previous > 1.5 * {H4}, false)) OVER w AS gaps FROM g WINDOW w AS (PARTITION BY symbol ORDER BY open_time, copy ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {_DIRTY_BARS} SELECT symbol, open_time, min(least(100.0, greatest(0.0, 100.0::DOUBLE - 20 * opens - CASE WHEN dups > 0 THEN 25 ELSE 0 END - 10 * gaps - CASE WHEN trades % 3 = 0 THEN 25 ELSE 0 END))) AS quality FROM q GROUP BY ALL")
+def data_quality_full(spark, d):
+    bars = _candles(spark, d).withColumn("is_closed", F.col("trades") % 11 > 0)
+    twice = bars.unionByName(bars.filter("trades % 7 = 0"))
+    now = F.col("close_time") + F.when(F.col("trades") % 3 == 0, 3 * H4).otherwise(H4)
+    rows = indicators.features(twice, HIST, H4, now)
+    return rows.groupBy("symbol", "open_time").agg(F.min("quality").alias("quality"))
+
+
+_NO_PLAN = ["entry_low", "entry_high", "stop_loss", "tp1", "tp2", "tp3", "sl_distance_pct", "sl_atr_ratio"]
+_RULE = f"""'{{"direction":"' || direction || '","noChasePrice":"' || {_price('no_chase_price')} || '"}}'"""
+
+
+@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS} FROM sig) SELECT id, opportunity_id, 'trend_pullback' AS signal_type, lifecycle_status, level, score, CASE WHEN eligible THEN 'pullback_limit' ELSE 'confirmation_wait' END AS entry_mode, {', '.join(f'CASE WHEN eligible THEN {c} END AS {c}' for c in _NO_PLAN)},
+CASE WHEN eligible THEN 1.8 END::DOUBLE AS weighted_rr, quality AS data_quality_score, '["' || replace(why, '；', '","') || '"]' AS reasons, '["' || replace(rules, '；', '","') || '"]' AS invalidation_rules, {_RULE} AS no_chase_rule FROM w""")
+def signal_rows(spark, d):
+    rows = state.signal_rows(_signals(spark, d)).withColumn("weighted_rr", F.round("weighted_rr", 6))
+    return rows.select("id", "opportunity_id", "signal_type", "lifecycle_status", "level", "score", "entry_mode", *_NO_PLAN, "weighted_rr", "data_quality_score", "reasons", "invalidation_rules", "no_chase_rule")
+
+
+@query("""SELECT o_orderkey AS notification_id, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 2 THEN 'queued' WHEN o_orderkey % 3 = 0 THEN 'sent' ELSE 'failed' END AS status,
+CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 = 0 THEN '2023-11-14T22:13:20.000Z' END AS sent_at, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 = 1 THEN 'refused ' || o_orderkey END AS error_message FROM orders""")
+def sent_notifications(spark, d):
+    queued = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("notification_id"), F.lit("queued").alias("status"))
+    k = F.col("notification_id")
+    result = F.when(k % 3 == 0, "sent").when(k % 3 == 1, "failed").otherwise("skipped")
+    return state.sent_notifications(queued, queued.filter(k % 4 > 0), result, F.lit(1_700_000_000_000), F.concat(F.lit("refused "), k.cast("string")))
+
+
+_NEW = """, good AS (SELECT * FROM sig WHERE level IN ('A', 'S')), logged AS (SELECT * FROM (SELECT *, lag(level) OVER w AS l0, lag(lifecycle_status) OVER w AS s0 FROM good WINDOW w AS (PARTITION BY opportunity_id ORDER BY created_ms)) WHERE l0 IS NULL OR l0 <> level OR s0 <> lifecycle_status)"""
+
+
+def _run(spark, d):
+    signals = _signals(spark, d)
+    logged = state.changed(signals.filter(F.col("level").isin("A", "S")))
+    return signals, logged, alerts.strong(logged, ("purchase",))
+
+
+_COUNTS = """SELECT (SELECT count(DISTINCT symbol) FROM candles) AS symbols, (SELECT count(*) FROM candles) AS candles, (SELECT count(*) FROM ev) AS generated, (SELECT count(*) FROM good) AS qualified,
+(SELECT count(*) FROM logged WHERE level = 'S' AND symbol <> 'purchase') AS strong_alerts, (SELECT count(*) FROM logged) AS persisted_signals, (SELECT count(*) FROM logged WHERE level = 'S' AND symbol <> 'purchase') AS persisted_notifications, CAST(1 AS BIGINT) AS sent_emails, CAST(0 AS BIGINT) AS failed_emails"""
+_COUNTERS = ["symbols", "candles", "generated", "qualified", "strong_alerts", "persisted_signals", "persisted_notifications", "sent_emails", "failed_emails"]
+
+
+@query(_SIGNALS + _NEW + " " + _COUNTS)
+def run_counters(spark, d):
+    signals, logged, raised = _run(spark, d)
+    return state.run_counters(_candles(spark, d), signals, logged, raised, 1, 0)
+
+
+_COUNTER_JSON = " || ',' || ".join(f"'\"{c}\":' || {c}" for c in _COUNTERS)
+
+
+@query(_SIGNALS + _NEW + f""", c AS ({_COUNTS}), l AS (SELECT symbol, arg_max(level, open_time) AS level, arg_max(score, open_time) AS score, arg_max(lifecycle_status, open_time) AS status FROM ev GROUP BY symbol)
+SELECT '{{"ok":true,' || {_COUNTER_JSON} || '}}' AS counters, (SELECT '[' || string_agg('{{"symbol":"' || symbol || '","level":"' || level || '","score":' || score || ',"status":"' || status || '"}}', ',' ORDER BY symbol) || ']' FROM l) AS signals FROM c""")
+def scan_answer(spark, d):
+    signals, logged, raised = _run(spark, d)
+    counts = state.run_counters(_candles(spark, d), signals, logged, raised, 1, 0)
+    return report.answer(counts, readmodel.slim(readmodel.latest_per_symbol(signals)))
+
+
+@query(_SIGNALS + " SELECT id, symbol, level, score, lifecycle_status AS status FROM sig WHERE lifecycle_status = 'planned'")
+def planned_signals(spark, d):
+    rows = state.planned(_signals(spark, d))
+    return rows.select("id", "symbol", "level", "score", F.col("lifecycle_status").alias("status"))
+
+
+@query(_SIGNALS + " SELECT symbol, level, score, lifecycle_status AS status FROM sig")
+def slim_signals(spark, d):
+    return readmodel.slim(_signals(spark, d))
+
+
+@query(_SIGNALS + " SELECT id, entry_low, tp3 FROM sig WHERE eligible")
+def runnable_signals(spark, d):
+    return state.runnable(_signals(spark, d)).select("id", "entry_low", "tp3")
+
+
+@query(_SIGNALS + f""" SELECT id, symbol, level, score, CASE WHEN eligible THEN {_price('entry_low')} || '-' || {_price('entry_high')} ELSE '待确认' END AS entry, CASE WHEN eligible THEN {_price('stop_loss')} || '/' || {_price('tp2')} ELSE '待确认' END AS stop_and_target, CASE WHEN eligible THEN '1:1.8' ELSE '待确认' END AS ratio FROM sig""".replace("待确认", readmodel.WAITING))
+def display_strings(spark, d):
+    return readmodel.displayed(_signals(spark, d))
+
+
+@query(_SIGNALS + f" SELECT id, eligible, direction AS rule_direction, {_price('no_chase_price')} AS rule_price FROM sig")
+def no_chase_rule(spark, d):
+    rows = _signals(spark, d)
+    return rows.select("id", "eligible", F.element_at("no_chase_rule", "direction").alias("rule_direction"), F.element_at("no_chase_rule", "noChasePrice").alias("rule_price"))
+
+
+@query(_SIGNALS.replace("WITH", "WITH RECURSIVE", 1).replace(oracle.evaluated(), oracle.outcomes()) + """, o AS (SELECT opportunity_id, min(created_ms) AS first_detected_ms, max(created_ms) AS last_updated_ms FROM sig GROUP BY opportunity_id)
+SELECT s.id, first_detected_ms, last_updated_ms, CAST(CASE WHEN s.level = 'S' THEN 1 ELSE 0 END AS BIGINT) AS notifications, r.final_status, r.final_r FROM sig s JOIN o USING (opportunity_id) LEFT JOIN outc r ON r.symbol = s.symbol AND r.open_time = s.open_time""")
+def stored_relations(spark, d):
+    signals = _signals(spark, d)
+    results = historical.outcomes(_candles(spark, d), HIST, BENCHMARK).join(signals.select("symbol", "open_time", F.col("id").alias("signal_id")), ["symbol", "open_time"])
+    notes = signals.filter("level = 'S'").select(F.col("id").alias("signal_id"))
+    return state.with_relations(signals.select("id", "opportunity_id"), state.opportunities(signals), notes, results).select("id", "first_detected_ms", "last_updated_ms", "notifications", "final_status", "final_r")
+
+
+@query("SELECT * FROM (VALUES ('BTCUSDT', 'S', 91), ('ETHUSDT', 'A', 82)) t(symbol, level, score)")
+def sample_fallback(spark, d):
+    samples = spark.createDataFrame([("BTCUSDT", "S", 91), ("ETHUSDT", "A", 82)], "symbol string, level string, score int")
+    return readmodel.with_fallback(samples.filter("score > 100"), samples)
+
+
+_SUMMARY_EMPTY = f"'{alerts.SUMMARY['subject_empty']}'"
+
+
+@query(_SIGNALS + f" SELECT created_ms, CASE WHEN count_if(level = 'S' AND eligible AND score >= 97) = 0 THEN {_SUMMARY_EMPTY} ELSE 'some' END AS subject FROM sig GROUP BY created_ms")
+def summary_email_empty(spark, d):
+    rows = _signals(spark, d).withColumn("ord", F.col("symbol"))
+    out = alerts.summary(rows.filter("level = 'S' AND eligible AND score >= 97"), "created_ms", runs=rows)
+    return out.select("created_ms", F.when(F.col("subject") == alerts.SUMMARY["subject_empty"], F.col("subject")).otherwise("some").alias("subject"))
+
+
+def _library(spark, d):
+    return metrics.library_summary(_trades(spark, d), ["polling_minutes"], SYMBOLS)
+
+
+_PLAIN = {"win_rate": "count_if(final_r > 0) / CAST(count(*) AS DOUBLE) * 100", "entry_fill_rate": "count_if(entry_hit) / CAST(count(*) AS DOUBLE) * 100", "avg_r": "floor(sum(final_r) * 1e6 + 0.5) / 1e6 / count(*)"}
+
+
+@query(f"""SELECT polling_minutes, total_trades, {', '.join(f'{oracle.r6(c)} AS {c}' for c in _PLAIN)}, profit_factor, max_drawdown, max_losing_streak, 0.0::DOUBLE AS no_chase_rate, 100.0::DOUBLE AS execution_rate
+FROM (SELECT polling_minutes, profit_factor, max_drawdown, max_losing_streak FROM ({oracle.summary('polling_minutes')})) JOIN (WITH {oracle.trades()} SELECT polling_minutes, count(*) AS total_trades, {', '.join(f'{x} AS {c}' for c, x in _PLAIN.items())} FROM trades GROUP BY ALL) USING (polling_minutes)""")
+def library_summary(spark, d):
+    rounded = {c: js.js_round(F.col(c), 1e4).alias(c) for c in ("profit_factor", "max_drawdown")} | {c: R6(c) for c in _PLAIN}
+    rows = _library(spark, d)
+    return rows.select(*(rounded.get(c, F.col(c)) for c in rows.columns))
+
+
+@query(f"""WITH {oracle.outcomes()}, chased AS (SELECT symbol, {oracle.js('count_if(no_chase) / CAST(count(*) AS DOUBLE) * 100')} AS no_chase_rate FROM ev GROUP BY symbol), entered AS (SELECT symbol, {oracle.js('count_if(entry_hit) / CAST(count(*) AS DOUBLE) * 100')} AS execution_rate FROM outc GROUP BY symbol)
+SELECT symbol, no_chase_rate, coalesce(execution_rate, 0.0) AS execution_rate FROM chased LEFT JOIN entered USING (symbol)""")
+def execution_rates(spark, d):
+    return metrics.execution_rates(_evaluated(spark, d), historical.outcomes(_candles(spark, d), HIST, BENCHMARK), ["symbol"])
+
+
+def _report(spark, d, bars, dialect):
+    trades = historical.trades(bars, dialect, BENCHMARK)
+    whole = lambda rows, keys, name, suffix="": report.summaries(metrics.summary(rows, keys, symbols=SYMBOLS), keys, name, suffix)
+    finest = trades.filter(FIRST)
+    sections = [
+        report.coverage(metrics.coverage(bars), SYMBOLS),
+        whole(trades, ["polling_minutes"], "by_polling", "m"),
+        whole(trades.filter(STRONG), ["polling_minutes"], "optimized_by_polling", "m"),
+        whole(finest, ["symbol"], "by_symbol"),
+        whole(finest, ["symbol", "direction"], "by_symbol_direction"),
+        report.samples(report.first_trades(trades, SYMBOLS)),
+    ]
+    return report.report(sections, {"horizonCandles": report.number(F.lit(dialect.horizon)), "feeRate": report.number(F.lit(dialect.fee)), "slippageRate": report.number(F.lit(dialect.slippage))})
+
+
+def _json_summary(keys: str, where: str, name: str) -> str:
+    key = " || ':' || ".join(f"CAST({k.strip()} AS VARCHAR)" for k in keys.split(",")) + (" || 'm'" if keys == "polling_minutes" else "")
+    body = " || ',' || ".join(f"'\"{k}\":' || {_price(f'CAST({c} AS DOUBLE)')}" for k, c in report.MEASURES.items())
+    counts = """'{"' || replace(replace(status_counts, ':', '":'), ',', ',"') || '}'"""
+    return f"""(SELECT '{{' || coalesce(string_agg('"' || {key} || '":{{' || {body} || ',"statusCounts":' || {counts} || '}}', ',' ORDER BY rank), '') || '}}' FROM ({oracle.summary(keys, where)}))"""
+
+
+def _json_samples() -> str:
+    one = f"""'{{"time":"' || {_ISO.format('open_time')} || '","symbol":"' || symbol || '","direction":"' || direction || '","level":"' || level || '","score":' || score || ',"finalStatus":"' || final_status || '","finalR":' || {_price('final_r')} || '}}'"""
+    return f"(SELECT '[' || coalesce(string_agg(x, ',' ORDER BY p, seq), '') || ']' FROM (WITH {oracle.trades()} SELECT {one} AS x, {oracle.PLACE} AS p, seq FROM trades WHERE step = 1 ORDER BY p, seq LIMIT 20))"
+
+
+def _json_coverage() -> str:
+    one = f"""'"' || symbol || '":{{"candles":' || n || ',"first":"' || {_ISO.format('a')} || '","last":"' || {_ISO.format('b')} || '"}}'"""
+    return f"(SELECT '{{' || string_agg({one}, ',' ORDER BY {oracle.PLACE}) || '}}' FROM (WITH {oracle.candles()} SELECT symbol, count(*) AS n, min(open_time) AS a, max(open_time) AS b FROM candles GROUP BY symbol))"
+
+
+@query(f"""SELECT '{{"assumptions":{{"horizonCandles":24,"feeRate":0.0004,"slippageRate":0.0005}},"data_coverage":' || {_json_coverage()} || ',"by_polling":' || {_json_summary('polling_minutes', 'true', '')} || ',"optimized_by_polling":' || {_json_summary('polling_minutes', STRONG, '')}
+|| ',"by_symbol":' || {_json_summary('symbol', FIRST, '')} || ',"by_symbol_direction":' || {_json_summary('symbol, direction', FIRST, '')} || ',"sample_trades":' || {_json_samples()} || '}}' AS report""")
+def backtest_report(spark, d):
+    return _report(spark, d, _candles(spark, d), HIST)
+
+
+@query(f"""SELECT '["' || (WITH {oracle.trades()} SELECT string_agg(DISTINCT symbol, '","' ORDER BY symbol) FROM trades WHERE step = 1) || '"]' AS symbols, '{{"feeRate":0.0004,"slippageRate":0.0005}}' AS cost_model, CAST(total_trades AS BIGINT) AS total_trades, max_losing_streak
+FROM (SELECT trades AS total_trades, max_losing_streak FROM ({oracle.summary('step', FIRST)}))
+UNION ALL SELECT '[]', '{{"feeRate":0.0004,"slippageRate":0.0005}}', 0, 0 WHERE NOT EXISTS (WITH {oracle.trades()} SELECT 1 FROM trades WHERE step = 1)""")
+def backtest_run(spark, d):
+    trades = _trades(spark, d).filter(FIRST)
+    run = report.backtest_run(metrics.library_summary(trades, [], SYMBOLS), trades, HIST.fee, HIST.slippage)
+    value = lambda name: F.get_json_object("result_summary", f"$.{name}").cast("long")
+    return run.select("symbols", "cost_model", value("totalTrades").alias("total_trades"), value("maxLosingStreak").alias("max_losing_streak"))
+
+
+@query(oracle.summary("polling_minutes", "true", 96, M15))
+def summary_by_polling_15m(spark, d):
+    bars = source.from_events(spark, d, M15)
+    return metrics.summary(historical.trades(bars, HIST_15M, BENCHMARK), ["polling_minutes"], symbols=SYMBOLS)
+
+
+# streams
+
+
+def _ticks(spark, d):
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet")
+    return events.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("tie"), F.col("value").alias("price"))
+
+
+@query(f"WITH {oracle.candles()} SELECT {', '.join(BARS)} FROM candles")
+def stream_candles(spark, d):
+    path = new_path(spark, "stream-candles")
+    bars = streaming.candles(_ticks(spark, d), "4 hours", now=F.lit(1 << 60))
+    streaming.started(bars, streaming.upsert_into(f"{path}/table", ["symbol", "open_time"], "trades"), f"{path}/checkpoint", None).awaitTermination()
+    return streaming.current(spark, f"{path}/table", bars.schema).select(*BARS)
+
+
+def stream_signal_log(spark, d):
+    path = new_path(spark, "stream-signals")
+    bars = streaming.candles(_ticks(spark, d), "4 hours", now=F.lit(1 << 60))
+    evaluate = lambda stored: live.signals(historical.evaluated_bars(stored, HIST, BENCHMARK))
+    streaming.started(bars, streaming.signal_stream(path, evaluate), f"{path}/checkpoint", None).awaitTermination()
+    kept = _signals(spark, d).select("opportunity_id", "created_ms", "level", "lifecycle_status").schema
+    return streaming.read_log(spark, path, kept)
+
+
+QUERIES["stream_signal_log"], SQL["stream_signal_log"] = stream_signal_log, SQL["signal_log_on_change"]
+
+
 # declared rules
 
 
-@query(f"WITH {oracle.trades()} SELECT CAST(step AS INTEGER) AS step, symbol, CAST(seq AS BIGINT) AS seq, (count(*) OVER w = 3 AND avg(final_r) OVER w < 0.2) AS paused FROM trades WINDOW w AS (PARTITION BY step, symbol, level ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def _breaker_sql(n: int, least: float) -> str:
+    return f"WITH {oracle.trades()} SELECT CAST(step AS INTEGER) AS step, symbol, CAST(seq AS BIGINT) AS seq, (count(*) OVER w = {n} AND avg(final_r) OVER w < {least}) AS paused FROM trades WINDOW w AS (PARTITION BY step, symbol, level ORDER BY seq ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(_breaker_sql(10, -0.3))
 def circuit_breaker(spark, d):
+    return risk.circuit_breaker(_trades(spark, d)).select("step", "symbol", F.col("seq").cast("bigint").alias("seq"), "paused")
+
+
+@query(_breaker_sql(3, 0.2))
+def circuit_breaker_short(spark, d):
     return risk.circuit_breaker(_trades(spark, d), 3, 0.2).select("step", "symbol", F.col("seq").cast("bigint").alias("seq"), "paused")
 
 
+@query(f"""WITH {oracle.trades()}, n AS (SELECT *, row_number() OVER (PARTITION BY step, symbol ORDER BY seq) AS i FROM trades),
+r AS (SELECT step, symbol, seq, i - coalesce(max(CASE WHEN final_status <> 'hit_sl' THEN i END) OVER (PARTITION BY step, symbol ORDER BY seq), 0) AS stops FROM n)
+SELECT CAST(r.step AS INTEGER) AS step, r.symbol, CAST(r.seq AS BIGINT) AS seq, CAST(stops AS BIGINT) AS stops, stops >= 5 AS only_strong, f.atr >= f.close * 0.3 AS alerts_only, f.quality < 75 AS symbol_paused FROM r JOIN feat f ON f.symbol = r.symbol AND f.seq = r.seq""")
+def risk_guard(spark, d):
+    trades = risk.stops_in_a_row(_trades(spark, d)).select("step", "symbol", "seq", "stops")
+    rows = trades.join(_features(spark, d).select("symbol", "seq", "atr", "close", "quality"), ["symbol", "seq"])
+    out = risk.guarded(rows, F.col("stops"), F.col("atr") >= F.col("close") * 0.3, F.col("quality"))
+    return out.select("step", "symbol", F.col("seq").cast("bigint").alias("seq"), F.col("stops").cast("bigint").alias("stops"), "only_strong", "alerts_only", "symbol_paused")
+
+
 @query(f"WITH {oracle.features(HIST)} SELECT symbol, open_time, {oracle.js('(max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) - close) / close * 100')} AS max_profit_pct_4, {oracle.js('(close - min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)) / close * 100')} AS max_loss_pct_4 FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY open_time)")
 def horizon_excursions(spark, d):
     rows = numbered(_candles(spark, d)).select("symbol", "open_time", "seq", "close", "high", "low")
     return risk.excursions(rows, {"4": 4}).select("symbol", "open_time", "max_profit_pct_4", "max_loss_pct_4")
 
 
-@query(f"WITH {oracle.candles()} SELECT a.symbol, a.open_time, {oracle.js('count_if(b.close <= a.close) / CAST(count(*) AS DOUBLE) * 100')} AS close_percentile FROM candles a JOIN candles b ON a.symbol = b.symbol AND b.open_time BETWEEN a.open_time - {10 * 86_400_000} AND a.open_time GROUP BY ALL")
+def _ahead(span: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY open_time RANGE BETWEEN 1 FOLLOWING AND {span} FOLLOWING)"
+
+
+@query(f"WITH {oracle.candles(300_000)} SELECT symbol, open_time, " + ", ".join(f"{oracle.js(f'(max(high) OVER {_ahead(ms)} - close) / close * 100')} AS max_profit_pct_{name}, {oracle.js(f'(close - min(low) OVER {_ahead(ms)}) / close * 100')} AS max_loss_pct_{name}" for name, ms in risk.HORIZONS.items()) + " FROM candles")
+def excursions_after(spark, d):
+    rows = source.from_events(spark, d, 300_000).select("symbol", "open_time", "close", "high", "low")
+    return risk.excursions_after(rows).drop("close", "high", "low")
+
+
+_METRICS = f"""WITH {oracle.candles()}, m AS (SELECT symbol, open_time, close, quote_volume AS open_interest, CAST((trades * 7 + open_time // {H4}) % 50 - 25 AS DOUBLE) * CAST(0.0001 AS DOUBLE) AS funding_rate FROM candles)"""
+
+
+def _metrics(spark, d):
+    rate = ((F.col("trades") * 7 + F.floor(F.col("open_time") / H4)) % 50 - 25).cast("double") * F.lit(1e-4)
+    return _candles(spark, d).select("symbol", "open_time", "close", F.col("quote_volume").alias("open_interest"), rate.alias("funding_rate"))
+
+
+@query(_METRICS + f" SELECT a.symbol, a.open_time, {oracle.js('count_if(b.funding_rate <= a.funding_rate) / CAST(count(*) AS DOUBLE) * 100')} AS funding_rate_percentile FROM m a JOIN m b ON a.symbol = b.symbol AND b.open_time BETWEEN a.open_time - {10 * 86_400_000} AND a.open_time GROUP BY ALL")
 def funding_percentile(spark, d):
-    return risk.percentile(_candles(spark, d), "close", 10).select("symbol", "open_time", "close_percentile")
+    return risk.percentile(_metrics(spark, d), "funding_rate", 10).select("symbol", "open_time", "funding_rate_percentile")
+
+
+_SPANS = {"4h": H4, "24h": 6 * H4}
+
+
+@query(_METRICS + " SELECT a.symbol, a.open_time, " + ", ".join(f"{oracle.js(f'(a.{v} - {n}.{v}) / {n}.{v} * 100')} AS {v}_change_{k}" for v, spans in (("open_interest", _SPANS), ("close", {"24h": 0})) for k in spans for n in [f"p{k}"]) + " FROM m a " + " ".join(f"LEFT JOIN m p{k} ON p{k}.symbol = a.symbol AND p{k}.open_time = a.open_time - {ms}" for k, ms in _SPANS.items()))
+def market_metrics(spark, d):
+    rows = risk.change(risk.change(_metrics(spark, d), "open_interest", _SPANS), "close", {"24h": _SPANS["24h"]})
+    return rows.select("symbol", "open_time", "open_interest_change_4h", "open_interest_change_24h", "close_change_24h")
+
+
+@query(_METRICS + ", c AS (SELECT a.symbol, a.open_time, " + ", ".join(f"{oracle.js(f'(a.close - p{k}.close) / p{k}.close * 100')} AS c{k}" for k in _SPANS) + " FROM m a " + " ".join(f"LEFT JOIN m p{k} ON p{k}.symbol = a.symbol AND p{k}.open_time = a.open_time - {ms}" for k, ms in _SPANS.items()) + ") SELECT a.symbol, a.open_time, " + ", ".join(f"{oracle.r6(f'a.c{k} - b.c{k}')} AS strength_{k}" for k in _SPANS) + " FROM c a JOIN c b ON a.open_time = b.open_time AND b.symbol = 'view'")
+def strength_spans(spark, d):
+    rows = risk.strength_over(_candles(spark, d).select("symbol", "open_time", "close"), BENCHMARK, _SPANS)
+    return rows.select("symbol", "open_time", *(R6(f"strength_{k}") for k in _SPANS))
+
+
+@query(f"""SELECT f.open_time, f.direction, s.direction AS slow_direction, CASE WHEN f.atr >= f.close * 0.3 THEN 'volatile' WHEN f.direction = 'LONG' AND s.direction = 'LONG' THEN 'bull' WHEN f.direction = 'SHORT' AND s.direction = 'SHORT' THEN 'bear' ELSE 'range' END AS state
+FROM (WITH {oracle.features(HIST, 3_600_000)} SELECT * FROM feat WHERE symbol = 'view') f LEFT JOIN (WITH {oracle.features(HIST)} SELECT * FROM feat WHERE symbol = 'view') s ON s.open_time + {H4} = f.open_time // {H4} * {H4}""")
+def benchmark_trend(spark, d):
+    own = lambda ms: indicators.features(source.from_events(spark, d, ms).filter(F.col("symbol") == BENCHMARK), HIST, ms)
+    return risk.benchmark_trend(own(3_600_000), own(H4), H4, 0.3)
 
 
 @query(_SIGNALS + " SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY symbol, CAST(floor(created_ms / 86400000.0) AS BIGINT) ORDER BY score DESC, created_ms) AS n FROM sig) WHERE n <= 2")

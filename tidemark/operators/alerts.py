@@ -90,8 +90,11 @@ def single(signals: DataFrame) -> DataFrame:
     return signals.withColumns({"subject": F.when(plan, filled(SINGLE["subject"], v)).otherwise(filled(SINGLE["subject_without"], v)), "body": body})
 
 
-def summary(signals: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
-    """One message per run: its signals by score, then by ``order``. A run's alerts are a handful."""
+def summary(signals: DataFrame, run: str = "run_id", order: str = "ord", runs: DataFrame | None = None) -> DataFrame:
+    """One message per run: its signals by score, then by ``order``. A run's alerts are a handful.
+
+    ``runs`` lists all runs; those without a signal get the message of an empty run.
+    """
     v, plan = _values(), F.col("entry_low").isNotNull()
     ranked = v | {"rank": F.lit("\x01")}
     line = lambda a, b: filled(a, ranked) if b is None else F.when(plan, filled(a, ranked)).otherwise(filled(b, ranked))
@@ -101,7 +104,11 @@ def summary(signals: DataFrame, run: str = "run_id", order: str = "ord") -> Data
     out = rows.groupBy(run).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     n = F.size("xs").cast("string")
     blocks = F.transform("xs", lambda x, i: F.replace(x["block"], F.lit("\x01"), (i + 1).cast("string")))
-    return out.select(run, F.replace(F.get("xs", F.lit(0))["head"], F.lit("\x02"), n).alias("subject"), F.concat_ws("\n", filled(SUMMARY["head"], {"n": n}), F.lit(""), blocks, *map(F.lit, CLOSING)).alias("body"))
+    if runs is not None:  # a run without alerts has a message of its own
+        out = runs.select(run).distinct().join(out, run, "left").withColumn("xs", F.coalesce("xs", F.array().cast(out.schema["xs"].dataType)))
+        n = F.size("xs").cast("string")
+    head = F.when(F.size("xs") == 0, F.lit(SUMMARY["subject_empty"])).otherwise(F.replace(F.get("xs", F.lit(0))["head"], F.lit("\x02"), n))
+    return out.select(run, head.alias("subject"), F.concat_ws("\n", filled(SUMMARY["head"], {"n": n}), F.lit(""), blocks, *map(F.lit, CLOSING)).alias("body"))
 
 
 def mime(sender: Column, sender_name: Column, to: Column, subject: Column, body: Column) -> Column:

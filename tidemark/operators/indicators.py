@@ -14,8 +14,8 @@ HALO = 120
 
 
 def series() -> WindowSpec:
-    """The one window of all indicators: a block of a series in time order."""
-    return Window.partitionBy("symbol", "block").orderBy("open_time")
+    """The one window of all indicators: a block of a series in time order, bars of one time as they are numbered."""
+    return Window.partitionBy("symbol", "block").orderBy("seq")
 
 
 def true_range() -> Column:
@@ -56,11 +56,13 @@ def quality(open_bars: Column, duplicates: Column, gaps: Column, stale: Column |
     return clamp(F.lit(100.0) - open_bars * 20 - F.when(duplicates > 0, 25).otherwise(0) - gaps * 10 - F.when(stale, 25).otherwise(0), 0, 100)
 
 
-def features(candles: DataFrame, dialect: Dialect, interval_ms: int, live_bars: bool = False) -> DataFrame:
+def features(candles: DataFrame, dialect: Dialect, interval_ms: int, now: Column | None = None) -> DataFrame:
     """Candles with seq, bars and every indicator; ``quality`` over the dialect's frame.
 
-    One exchange carries all bounded frames. Open bars are kept (see ``quality``).
+    One exchange carries all bounded frames. Open bars are kept (see ``quality``). With ``now``
+    (ms), a bar that ended more than two intervals before is stale.
     """
+    stale = None if now is None else now - F.col("close_time") > 2 * interval_ms
     df = blocked(numbered(candles), HALO)
     df = df.withColumn("true_range", true_range())
     step = F.col("open_time") - F.lag("open_time").over(series())
@@ -76,12 +78,12 @@ def features(candles: DataFrame, dialect: Dialect, interval_ms: int, live_bars:
     if dialect.quality_bars:
         n = dialect.quality_bars
         frame, pairs = series().rowsBetween(-(n - 1), 0), series().rowsBetween(-(n - 2), 0)
-        columns["quality"] = quality(F.sum("_open").over(frame), F.sum("_dup").over(pairs), F.sum("_gap").over(pairs))
+        columns["quality"] = quality(F.sum("_open").over(frame), F.sum("_dup").over(pairs), F.sum("_gap").over(pairs), stale)
     out = df.withColumns(columns).filter("own").drop("own")
     if not dialect.quality_bars:
         totals = {name: ("sum", F.col(name)) for name in ("_gap", "_open", "_dup")}
-        out = running(out, ["symbol"], ["open_time"], ["block"], {f"{k}s": v for k, v in totals.items()})
-        out = out.withColumn("quality", quality(F.col("_opens"), F.col("_dups"), F.col("_gaps"))).drop("_gaps", "_opens", "_dups")
+        out = running(out, ["symbol"], ["seq"], ["block"], {f"{k}s": v for k, v in totals.items()})
+        out = out.withColumn("quality", quality(F.col("_opens"), F.col("_dups"), F.col("_gaps"), stale)).drop("_gaps", "_opens", "_dups")
     return out.drop("_gap", "_open", "_dup", "block")
 
 

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.dialect import DEFAULT_SYMBOLS
 from tidemark.functions.js import iso_time, js_round
 
-#: The order in which trades were appended: pieces of series one after another, then time.
-PIECE, WITHIN = ["step", "symbol", "piece"], ["seq"]
+# What a trade may end as, in alphabetical order.
+FINAL_STATUSES = ("expired", "hit_sl", "hit_tp1", "hit_tp2", "hit_tp3")
+#: The order in which trades were appended: by step, then symbol as configured, then time; a series in pieces one after another.
+PIECE, WITHIN = ["step", "symbol_place", "symbol", "piece"], ["seq"]
 
 
-def pieces(trades: DataFrame) -> DataFrame:
-    return trades.withColumn("piece", F.floor(F.col("seq") / 4096))
+def symbol_place(symbols: tuple[str, ...]) -> Column:
+    """A symbol's place in the configured list; those that aren't in it come last."""
+    listed = F.array(*map(F.lit, symbols)) if symbols else F.array().cast("array<string>")
+    at = F.array_position(listed, F.col("symbol")).cast("int")
+    return F.when(at > 0, at).otherwise(len(symbols) + 1)
 
 
-def path_measures(trades: DataFrame, keys: list[str], scale: float | None = 1e4) -> DataFrame:
+def pieces(trades: DataFrame, symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    return trades.withColumns({"piece": F.floor(F.col("seq") / 4096), "symbol_place": symbol_place(symbols)})
+
+
+def path_measures(trades: DataFrame, keys: list[str], scale: float | None = 1e4, symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
     """max_drawdown and max_losing_streak per ``keys``, in the order in which trades were appended.
 
     Each piece of a series is measured on its own (its total, highest and lowest sum so far, fall
@@ -24,7 +34,7 @@ def path_measures(trades: DataFrame, keys: list[str], scale: float | None = 1e4)
     """
     w = Window.partitionBy(*keys, *PIECE).orderBy(*WITHIN).rowsBetween(Window.unboundedPreceding, 0)
     lost = F.col("final_r") < 0
-    rows = pieces(trades).withColumns({"_sum": F.sum("final_r").over(w), "_run": F.sum(F.when(lost, 0).otherwise(1)).over(w)})
+    rows = pieces(trades, symbols).withColumns({"_sum": F.sum("final_r").over(w), "_run": F.sum(F.when(lost, 0).otherwise(1)).over(w)})
     island = Window.partitionBy(*keys, *PIECE, "_run").orderBy(*WITHIN).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_peak": F.max("_sum").over(w), "_losses": F.sum(F.when(lost, 1).otherwise(0)).over(island)})
     parts = rows.groupBy(*dict.fromkeys([*keys, *PIECE])).agg(
@@ -56,12 +66,12 @@ def path_measures(trades: DataFrame, keys: list[str], scale: float | None = 1e4)
     return joined.select(*keys, drawdown.alias("max_drawdown"), F.col("_m.longest").alias("max_losing_streak"))
 
 
-def max_drawdown(trades: DataFrame, keys: list[str]) -> DataFrame:
-    return path_measures(trades, keys).select(*keys, "max_drawdown")
+def max_drawdown(trades: DataFrame, keys: list[str], symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    return path_measures(trades, keys, symbols=symbols).select(*keys, "max_drawdown")
 
 
-def losing_streak(trades: DataFrame, keys: list[str]) -> DataFrame:
-    return path_measures(trades, keys).select(*keys, "max_losing_streak")
+def losing_streak(trades: DataFrame, keys: list[str], symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    return path_measures(trades, keys, symbols=symbols).select(*keys, "max_losing_streak")
 
 
 def basic(scale: float | None) -> dict[str, Column]:
@@ -86,12 +96,20 @@ def basic(scale: float | None) -> dict[str, Column]:
     }
 
 
-def summary(trades: DataFrame, keys: list[str], scale: float | None = 1e4) -> DataFrame:
-    """One row per ``keys``: counts, rates, results, drawdown, streak, statuses, and the rank by total result."""
-    trades = trades.persist()  # read once for each kind of measure
-    base = trades.groupBy(*keys).agg(*(c.alias(k) for k, c in basic(scale).items()))
-    status = status_histogram(trades, keys).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "final_status", F.col("n").cast("string")))), ",").alias("status_counts"))
-    out = base.join(path_measures(trades, keys, scale), keys).join(status, keys)
+def status_counts() -> Column:
+    """``status:count`` of each final status that occurs, comma-joined."""
+    n = lambda s: F.count_if(F.col("final_status") == s)
+    return F.concat_ws(",", *(F.when(n(s) > 0, F.concat(F.lit(f"{s}:"), n(s).cast("string"))) for s in FINAL_STATUSES))
+
+
+def summary(trades: DataFrame, keys: list[str], scale: float | None = 1e4, symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    """One row per ``keys``: counts, rates, results, drawdown, streak, statuses, and the rank by total result.
+
+    The trades are read twice, in any order and in that in which they were appended; what makes
+    them is one exchange, which the plan uses for both.
+    """
+    base = trades.groupBy(*keys).agg(*(c.alias(k) for k, c in basic(scale).items()), status_counts().alias("status_counts"))
+    out = base.join(path_measures(trades, keys, scale, symbols), keys)
     # a row per group: few, so one task may rank them
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_r"), *keys)))
 
@@ -100,6 +118,21 @@ def status_histogram(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.groupBy(*keys, "final_status").agg(F.count("*").alias("n"))
 
 
+def library_summary(trades: DataFrame, keys: list[str], symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    """The nine measures of a backtest run, none rounded: two of them are constants, as every trade of a run is executed and none is chased."""
+    base = trades.groupBy(*keys).agg(*(basic(None)[k].alias(k) for k in ("trades", "win_rate", "avg_r", "profit_factor", "entry_fill_rate")))
+    out = base.join(path_measures(trades, keys, None, symbols), keys) if keys else base.crossJoin(path_measures(trades, keys, None, symbols))
+    constants = {"no_chase_rate": F.lit(0.0), "execution_rate": F.when(F.col("total_trades") > 0, 100.0).otherwise(0.0)}
+    return out.withColumnRenamed("trades", "total_trades").withColumns(constants)
+
+
+def execution_rates(evaluations: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys``: the share of evaluations whose price has run away, and of planned ones whose entry was reached, in percent."""
+    chased = evaluations.groupBy(*keys).agg(js_round(F.count_if("no_chase") / F.count("*") * 100, 1e4).alias("no_chase_rate"))
+    entered = outcomes.groupBy(*keys).agg(js_round(F.count_if("entry_hit") / F.count("*") * 100, 1e4).alias("execution_rate"))
+    return chased.join(entered, keys, "left").select(*keys, "no_chase_rate", F.coalesce("execution_rate", F.lit(0.0)).alias("execution_rate"))
+
+
 def coverage(candles: DataFrame) -> DataFrame:
     out = candles.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("open_time").alias("a"), F.max("open_time").alias("b"))
     return out.select("symbol", "bars", iso_time(F.col("a")).alias("first_open"), iso_time(F.col("b")).alias("last_open"))

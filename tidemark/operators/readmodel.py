@@ -10,7 +10,8 @@ from tidemark.functions import js
 # What enumerations allow.
 LIFECYCLES = ("detected", "watching", "setup_confirmed", "planned", "waiting_entry", "entered", "no_chase", "expired", "invalidated", "hit_tp1", "hit_tp2", "hit_tp3", "hit_sl", "archived")
 SIGNAL_TYPES = ("trend_pullback", "volume_breakout", "risk_anomaly")
-PENDING, NOT_CONNECTED, NORMAL = "待确认", "未接入", "normal_vol"
+ENTRY_MODES = ("pullback_limit", "breakout_confirm", "confirmation_wait")
+PENDING, WAITING, NOT_CONNECTED, NORMAL = "待确认", "等待确认", "未接入", "normal_vol"
 
 
 def recent(signals: DataFrame, n: int = 20) -> DataFrame:
@@ -18,7 +19,10 @@ def recent(signals: DataFrame, n: int = 20) -> DataFrame:
     return signals.orderBy(F.desc("created_ms"), "id").limit(n)
 
 
-def by_id(signals: DataFrame, wanted: str) -> DataFrame:
+def by_id(signals: DataFrame, wanted: str | DataFrame) -> DataFrame:
+    """The signal with an id, given as text or as a table of one row."""
+    if isinstance(wanted, DataFrame):
+        return signals.join(F.broadcast(wanted.select("id")), "id", "left_semi").limit(1)
     return signals.filter(F.col("id") == wanted).limit(1)
 
 
@@ -72,5 +76,27 @@ def badge(value: Column) -> Column:
 
 
 def with_fallback(rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """The rows, or the samples where there is none."""
-    return samples if rows.isEmpty() else rows
+    """The rows, or the samples where there is none; decided in the plan, by a count of at most one row."""
+    some = rows.limit(1).agg(F.count("*").alias("_some"))
+    shown = samples.select(*rows.columns).crossJoin(F.broadcast(some)).filter("_some = 0").drop("_some")
+    return rows.unionByName(shown)
+
+
+def displayed(signals: DataFrame) -> DataFrame:
+    """Signals as texts for a page: entry zone, stop and second target, ratio; WAITING where there is no plan."""
+    text = js.number_text
+    joined = lambda a, between, b: F.coalesce(F.concat(text(F.col(a)), F.lit(between), text(F.col(b))), F.lit(WAITING))
+    return signals.select(
+        "id",
+        "symbol",
+        "level",
+        "score",
+        joined("entry_low", "-", "entry_high").alias("entry"),
+        joined("stop_loss", "/", "tp2").alias("stop_and_target"),
+        F.coalesce(F.concat(F.lit("1:"), js.fixed_text(F.col("weighted_rr"), 1)), F.lit(WAITING)).alias("ratio"),
+    )
+
+
+def slim(signals: DataFrame) -> DataFrame:
+    """What a run answers with, per signal."""
+    return signals.select("symbol", "level", "score", F.col("lifecycle_status").alias("status"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dialect import MAJORS
+from tidemark.functions.js import iso_time
+from tidemark.operators.ordered import before
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -28,11 +30,14 @@ def opportunity_id(symbol: Column, direction: Column, kind: Column, regime: Colu
     return F.concat_ws(":", symbol, direction, kind, regime, F.lit(interval))
 
 
-def changed(signals: DataFrame, key: str = "opportunity_id", order: str = "created_ms") -> DataFrame:
+#: Span of time (ms) whose signals of one opportunity are put in order together.
+CHUNK = 4096 * 900_000
+
+
+def changed(signals: DataFrame, key: str = "opportunity_id", order: str = "created_ms", chunk: int = CHUNK) -> DataFrame:
     """Signals whose level or status differs from the one before of the same opportunity: what a log that skips repetitions keeps."""
-    w = Window.partitionBy(key).orderBy(order)
     state = F.struct("level", "lifecycle_status")
-    return signals.withColumn("_before", F.lag(state).over(w)).filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before")
+    return before(signals, [key], order, state, "_before", chunk).filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before")
 
 
 def opportunities(signals: DataFrame, key: str = "opportunity_id", order: str = "created_ms") -> DataFrame:
@@ -48,6 +53,49 @@ def with_latest(signals: DataFrame, stored: DataFrame, key: str = "opportunity_i
     return signals.join(latest, key, "left").select(*signals.columns, F.col("latest.level").alias("latest_level"), F.col("latest.lifecycle_status").alias("latest_status"))
 
 
+#: The way of entry of a signal without a plan.
+NO_ENTRY = "confirmation_wait"
+
+
+def candle_rows(candles: DataFrame) -> DataFrame:
+    """Candles as rows of the store: times as ISO text, and their quality."""
+    return candle_quality(candles).withColumns({"open_time": iso_time(F.col("open_time")), "close_time": iso_time(F.col("close_time"))})
+
+
+def signal_rows(signals: DataFrame) -> DataFrame:
+    """Signals as rows of the store: the plan's fields flat, NO_ENTRY where there is no plan, lists and the no-chase rule as JSON."""
+    return signals.select(
+        "id", "opportunity_id", "symbol", "direction", "signal_type", "lifecycle_status", "level", "score",
+        F.coalesce("entry_mode", F.lit(NO_ENTRY)).alias("entry_mode"),
+        "entry_low", "entry_high", "stop_loss", "tp1", "tp2", "tp3", "theoretical_rr", "weighted_rr", "cost_adjusted_rr", "sl_distance_pct", "sl_atr_ratio", "btc_state", "market_regime",
+        F.col("relative_strength").alias("relative_strength_score"),
+        F.col("quality").alias("data_quality_score"),
+        F.to_json("reasons").alias("reasons"),
+        F.to_json("invalidation_rules").alias("invalidation_rules"),
+        F.to_json("no_chase_rule").alias("no_chase_rule"),
+        "created_ms",
+    )
+
+
+def with_relations(signals: DataFrame, opportunities_: DataFrame, notifications: DataFrame, results: DataFrame) -> DataFrame:
+    """Signals with what refers to them: the opportunity they belong to, how many notifications, and the result if there is one."""
+    sent = notifications.groupBy(F.col("signal_id").alias("id")).agg(F.count("*").alias("notifications"))
+    ended = results.select(F.col("signal_id").alias("id"), "final_status", "final_r")
+    own = opportunities_.select("opportunity_id", "first_detected_ms", "last_updated_ms")
+    return signals.join(own, "opportunity_id").join(sent, "id", "left").join(ended, "id", "left").withColumn("notifications", F.coalesce("notifications", F.lit(0).cast("long")))
+
+
+def sent_notifications(queued: DataFrame, ids: DataFrame, result: Column, at_ms: Column, error: Column) -> DataFrame:
+    """Notifications after their message was sent, failed or skipped (``result``): those of ``ids`` get status, time and error; skipped ones stay queued."""
+    hit = queued.join(ids.select("notification_id", F.lit(True).alias("_hit")).distinct(), "notification_id", "left")
+    done = F.col("_hit").isNotNull() & result.isin("sent", "failed")
+    return hit.withColumns({
+        "status": F.when(done, result).otherwise(F.col("status")),
+        "sent_at": F.when(done & (result == "sent"), iso_time(at_ms)),
+        "error_message": F.when(done & (result == "failed"), error),
+    }).drop("_hit")
+
+
 def notification_status(queued: DataFrame, sent: DataFrame, failed: DataFrame) -> DataFrame:
     """Notifications with the status after sending; what is in neither table stays queued."""
     marks = sent.select("notification_id", F.lit("sent").alias("_s")).unionByName(failed.select("notification_id", F.lit("failed").alias("_s")))
@@ -56,6 +104,32 @@ def notification_status(queued: DataFrame, sent: DataFrame, failed: DataFrame) -
 
 
 def counters(evaluations: DataFrame) -> DataFrame:
-    """One row of counts for a run's audit event."""
+    """One row of counts of evaluations."""
     good = F.col("level").isin("A", "S")
     return evaluations.agg(F.count("*").alias("generated"), F.count_if(good).alias("qualified"), F.count_if(F.col("level") == "S").alias("strong"), F.count_if(F.col("lifecycle_status") == "planned").alias("planned"))
+
+
+def run_counters(candles: DataFrame, evaluations: DataFrame, logged: DataFrame, alerts: DataFrame, sent: int, failed: int) -> DataFrame:
+    """The nine counters of a run's audit event, one row: ``logged`` are the signals that were new, ``alerts`` those of them that raise one."""
+    good = F.col("level").isin("A", "S")
+    counts = [
+        candles.agg(F.count_distinct("symbol").alias("symbols"), F.count("*").alias("candles")),
+        evaluations.agg(F.count("*").alias("generated"), F.count_if(good).alias("qualified")),
+        alerts.agg(F.count("*").alias("strong_alerts")),
+        logged.agg(F.count("*").alias("persisted_signals")),
+        alerts.agg(F.count("*").alias("persisted_notifications")),
+    ]
+    out = counts[0]
+    for one in counts[1:]:  # rows of one each
+        out = out.crossJoin(one)
+    return out.withColumns({"sent_emails": F.lit(sent).cast("long"), "failed_emails": F.lit(failed).cast("long")})
+
+
+def planned(signals: DataFrame) -> DataFrame:
+    """Signals whose plan is ready."""
+    return signals.filter(F.col("lifecycle_status") == "planned")
+
+
+def runnable(signals: DataFrame) -> DataFrame:
+    """Signals that have a plan."""
+    return signals.filter(F.col("entry_low").isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.dialect import GOOD_LEVELS, Dialect
 from tidemark.operators import indicators, outcome, plan, schedule
+from tidemark.operators.ordered import numbered
 
 
 def evaluated_bars(candles: DataFrame, dialect: Dialect, benchmark: str) -> DataFrame:
@@ -27,8 +28,6 @@ CARRIED = ["symbol", "seq", "open_time", "direction", "level", "score", "entry_l
 
 def outcomes(candles: DataFrame, dialect: Dialect, benchmark: str) -> DataFrame:
     """Each candidate with its outcome; evaluated once for all polling steps."""
-    from tidemark.operators.ordered import numbered
-
     chosen = candidates(evaluated_bars(candles, dialect, benchmark), dialect).select(*CARRIED)
     bars = numbered(candles).select("symbol", "seq", "high", "low")
     return outcome.simulated(chosen, bars, dialect.horizon, dialect)
@@ -36,5 +35,5 @@ def outcomes(candles: DataFrame, dialect: Dialect, benchmark: str) -> DataFrame:
 
 def trades(candles: DataFrame, dialect: Dialect, benchmark: str) -> DataFrame:
     """Taken trades per polling step, in minutes."""
-    rows = schedule.greedy(schedule.strided(outcomes(candles, dialect, benchmark), dialect))
+    rows = schedule.greedy(schedule.strided(outcomes(candles, dialect, benchmark), dialect), dialect.horizon)
     return rows.withColumn("polling_minutes", (F.col("step") * (dialect.interval_ms // 60_000)).cast("int"))

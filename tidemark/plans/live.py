@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dialect import Dialect
-from tidemark.functions.js import clamp
+from tidemark.functions.js import number_text
 from tidemark.operators import indicators, plan
+from tidemark.operators.ordered import numbered
 from tidemark.operators.state import opportunity_id
 
 # When a signal no longer holds.
@@ -16,18 +17,22 @@ INVALIDATION = ("15m 收盘跌破结构位", "价格远离入场区超过 1R", "
 
 def latest(candles: DataFrame, dialect: Dialect, benchmark: str, now_ms: int | None = None) -> DataFrame:
     """The evaluation of each symbol's last closed bar beside the benchmark's last one, without regard to their times."""
-    rows = indicators.features(candles.filter("is_closed"), dialect, dialect.interval_ms)
+    now = None if now_ms is None else F.lit(now_ms)
+    rows = indicators.features(candles.filter("is_closed"), dialect, dialect.interval_ms, now)
     rows = rows.filter(F.col("bars") > dialect.least_seq)
     last = rows.filter(F.col("seq") == F.col("bars") - 1)
     # one row, so a cross join is a projection
     base = last.filter(F.col("symbol") == benchmark).select(F.col("move").alias("benchmark_move"))
     out = last.filter(F.col("symbol") != benchmark).crossJoin(F.broadcast(base)).withColumn("relative_strength", F.col("move") - F.col("benchmark_move"))
-    if now_ms is not None:
-        stale = F.lit(now_ms) - F.col("close_time") > 2 * dialect.interval_ms
-        out = out.withColumn("quality", clamp(F.col("quality") - F.when(stale, 25).otherwise(0), 0, 100))
     return plan.evaluated(out, dialect)
 
 
+def scan(candles: DataFrame, newest: int = 120) -> DataFrame:
+    """The newest bars of each symbol and interval, as a scan over several intervals fetches and stores them."""
+    rows = numbered(candles, ["symbol", "interval"], "open_time")
+    return rows.filter(F.col("seq") >= F.col("bars") - newest).drop("seq", "bars")
+
+
 def signals(evaluations: DataFrame) -> DataFrame:
     """Evaluations as signals: reasons, rules, the opportunity they belong to; plan fields only where eligible."""
     out = evaluations.withColumns({
@@ -38,4 +43,7 @@ def signals(evaluations: DataFrame) -> DataFrame:
     })
     out = out.withColumn("opportunity_id", opportunity_id(F.col("symbol"), F.col("direction"), F.col("signal_type"), F.col("market_regime")))
     out = out.withColumn("id", F.concat_ws("@", "opportunity_id", F.col("created_ms").cast("string")))
+    # the price not to chase is kept as a rule of its own, also where the plan is dropped
+    rule = F.create_map(F.lit("direction"), F.col("direction"), F.lit("noChasePrice"), number_text(F.col("no_chase_price")))
+    out = out.withColumn("no_chase_rule", F.when(F.col("no_chase_price").isNotNull(), rule).otherwise(F.create_map().cast("map<string,string>")))
     return out.withColumns({c: F.when(F.col("eligible"), F.col(c)) for c in plan.PLAN_FIELDS})

@@ -64,8 +64,8 @@ ev AS (SELECT *, CASE WHEN eligible THEN 'planned' WHEN score >= 65 THEN 'watchi
   CASE WHEN volume_ratio >= 2 THEN 'expansion' ELSE 'trend' END AS market_regime FROM s5)"""
 
 
-def evaluated(d: Dialect = HISTORICAL) -> str:
-    return features(d) + f""",
+def evaluated(d: Dialect = HISTORICAL, interval: int = H4) -> str:
+    return features(d, interval) + f""",
 j AS (SELECT a.*, a.move - b.move AS relative_strength, b.seq AS benchmark_seq FROM feat a JOIN feat b ON a.open_time = b.open_time AND b.symbol = 'view'
   WHERE a.symbol <> 'view' AND a.seq >= {d.least_seq} AND b.seq >= {d.least_seq})""" + scored(d, "j")
 
@@ -76,10 +76,10 @@ l AS (SELECT * FROM feat WHERE seq = bars - 1 AND bars > {d.least_seq}),
 j AS (SELECT a.*, a.move - b.move AS relative_strength FROM l a, l b WHERE b.symbol = 'view' AND a.symbol <> 'view')""" + scored(d, "j")
 
 
-def outcomes(d: Dialect = HISTORICAL, horizon: int = 24) -> str:
+def outcomes(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4) -> str:
     up = lambda col: f"(CASE WHEN k.direction = 'LONG' THEN b.high >= k.{col} ELSE b.low <= k.{col} END)"
     sl = "(CASE WHEN k.direction = 'LONG' THEN b.low <= k.stop_loss ELSE b.high >= k.stop_loss END)"
-    return evaluated(d) + f""",
+    return evaluated(d, interval) + f""",
 k AS (SELECT * FROM ev WHERE eligible AND seq < bars - {horizon}),
 e AS (SELECT k.symbol, k.seq, min(b.seq) AS entry FROM k JOIN feat b ON b.symbol = k.symbol AND b.seq > k.seq AND b.seq <= k.seq + {horizon} AND b.low <= k.entry_high AND b.high >= k.entry_low GROUP BY ALL),
 x AS (SELECT k.symbol, k.seq, min(b.seq) AS hit FROM k JOIN e USING (symbol, seq) JOIN feat b ON b.symbol = k.symbol AND b.seq >= e.entry AND b.seq <= k.seq + {horizon} AND ({sl} OR {up('tp1')} OR {up('tp2')} OR {up('tp3')}) GROUP BY ALL),
@@ -94,21 +94,26 @@ o1 AS (SELECT *, CAST(CASE final_status WHEN 'hit_sl' THEN -1 WHEN 'hit_tp1' THE
 outc AS (SELECT * EXCLUDE (r0), {js(f'r0 - sign(r0) * (CAST({d.fee} AS DOUBLE) + CAST({d.slippage} AS DOUBLE)) * 2')} AS final_r FROM o1)"""
 
 
-def trades(d: Dialect = HISTORICAL, horizon: int = 24) -> str:
-    return outcomes(d, horizon).replace("c0 AS", "RECURSIVE c0 AS", 1) + f""",
+def trades(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4) -> str:
+    return outcomes(d, horizon, interval).replace("c0 AS", "RECURSIVE c0 AS", 1) + f""",
 st AS (SELECT o.*, s.step FROM outc o, (SELECT unnest([1, 2, 4]) AS step) s WHERE (seq - {d.least_seq}) % s.step = 0),
 pick AS (SELECT step, symbol, min(seq) AS seq FROM st GROUP BY ALL
   UNION ALL SELECT p.step, p.symbol, (SELECT min(n.seq) FROM st n WHERE n.step = p.step AND n.symbol = p.symbol AND n.seq >= p.seq + 1 + c.duration) AS seq
   FROM pick p JOIN st c ON c.step = p.step AND c.symbol = p.symbol AND c.seq = p.seq WHERE p.seq IS NOT NULL),
-trades AS (SELECT st.*, CAST(st.step * {H4 // 60_000} AS INTEGER) AS polling_minutes FROM st JOIN (SELECT DISTINCT * FROM pick WHERE seq IS NOT NULL) USING (step, symbol, seq))"""
+trades AS (SELECT st.*, CAST(st.step * {interval // 60_000} AS INTEGER) AS polling_minutes FROM st JOIN (SELECT DISTINCT * FROM pick WHERE seq IS NOT NULL) USING (step, symbol, seq))"""
+
+
+#: The configured order of the symbols, in which a backtest appends their trades.
+SYMBOLS = ("view", "purchase", "signup", "click", "error")
+PLACE = f"list_position([{', '.join(repr(s) for s in SYMBOLS)}], symbol)"
 
 
-def summary(keys: str, where: str = "true") -> str:
+def summary(keys: str, where: str = "true", horizon: int = 24, interval: int = H4) -> str:
     k = keys
-    over = f"PARTITION BY {k} ORDER BY step, symbol, seq"
+    over = f"PARTITION BY {k} ORDER BY step, {PLACE}, seq"
     gains, losses = "sum(CASE WHEN final_r > 0 THEN final_r ELSE 0.0 END)", "abs(sum(CASE WHEN final_r < 0 THEN final_r ELSE 0.0 END))"
     mean = lambda c: js(f"floor(sum({c}) * 1e6 + 0.5) / 1e6 / count(*)")
-    return f"""WITH {trades()},
+    return f"""WITH {trades(horizon=horizon, interval=interval)},
 t AS (SELECT * FROM trades WHERE {where}),
 base AS (SELECT {k}, count(*) AS trades, {js('count_if(final_r > 0) / CAST(count(*) AS DOUBLE) * 100')} AS win_rate, {js('count_if(entry_hit) / CAST(count(*) AS DOUBLE) * 100')} AS entry_fill_rate,
   {mean('final_r')} AS avg_r, {js('sum(final_r)')} AS total_r, {js('median(final_r)')} AS median_r, {js(f'CASE WHEN {losses} = 0 THEN {gains} ELSE {gains} / {losses} END')} AS profit_factor,

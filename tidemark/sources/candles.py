@@ -11,13 +11,14 @@ from tidemark.functions.js import js_round
 CANDLE = "symbol string, interval string, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, trades int, taker_buy_volume double, taker_buy_quote_volume double, is_closed boolean"
 
 
-def bucketed(rows: DataFrame, symbol: Column, ts: Column, tie: Column, price: Column, interval_ms: int, now_ms: int | None = None) -> DataFrame:
-    """Candles of ``interval_ms`` from single prices; the first and last by (ts, tie) open and close a bar."""
-    at = F.unix_millis(ts.cast("timestamp"))
-    rows = rows.select(symbol.alias("symbol"), at.alias("at"), tie.alias("tie"), price.cast("double").alias("price")).filter("price is not null and at is not null")
-    rows = rows.withColumn("open_time", F.floor(F.col("at") / interval_ms) * interval_ms)
-    when = F.struct("at", "tie")
-    out = rows.groupBy("symbol", "open_time").agg(
+def latest_close(candles: DataFrame) -> DataFrame:
+    """One row: ``now``, the last close time."""
+    return candles.agg(F.max("close_time").alias("now"))
+
+
+def ohlc(when: Column) -> list[Column]:
+    """The aggregates that make a candle of prices; ``when`` orders them."""
+    return [
         F.min_by("price", when).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -25,7 +26,16 @@ def bucketed(rows: DataFrame, symbol: Column, ts: Column, tie: Column, price: Co
         F.count("*").cast("double").alias("volume"),
         js_round(F.sum("price"), 1e6).alias("quote_volume"),
         F.count("*").cast("int").alias("trades"),
-    )
+    ]
+
+
+def bucketed(rows: DataFrame, symbol: Column, ts: Column, tie: Column, price: Column, interval_ms: int, now_ms: int | None = None) -> DataFrame:
+    """Candles of ``interval_ms`` from single prices; the first and last by (ts, tie) open and close a bar."""
+    at = F.unix_millis(ts.cast("timestamp"))
+    rows = rows.select(symbol.alias("symbol"), at.alias("at"), tie.alias("tie"), price.cast("double").alias("price")).filter("price is not null and at is not null")
+    rows = rows.withColumn("open_time", F.floor(F.col("at") / interval_ms) * interval_ms)
+    when = F.struct("at", "tie")
+    out = rows.groupBy("symbol", "open_time").agg(*ohlc(when))
     closed = F.lit(True) if now_ms is None else F.col("open_time") + interval_ms <= now_ms
     return out.withColumn("close_time", F.col("open_time") + interval_ms - 1).withColumn("is_closed", closed)
 
@@ -42,15 +52,19 @@ def from_orders(spark: SparkSession, sf_dir: str, interval_ms: int) -> DataFrame
     return bucketed(joined, F.col("c_mktsegment"), F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_totalprice"), interval_ms)
 
 
-def normalized(klines: DataFrame, dialect: Dialect, now_ms: int, raw_col: str = "raw") -> DataFrame:
-    """Candles from (symbol, interval, raw): ``raw`` is a JSON array of klines, each twelve values by position, or an object that holds one as ``value``."""
+def normalized(klines: DataFrame, dialect: Dialect, now_ms: int | Column, raw_col: str = "raw") -> DataFrame:
+    """Candles from (symbol, interval, raw): ``raw`` is a JSON array of klines, each twelve values by position, or an object that holds one as ``value``.
+
+    ``now_ms`` is a number or a column of ``klines``.
+    """
+    now_ms = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
     kind = "array<array<string>>"
     raw = F.col(raw_col)
-    rows = klines.select("symbol", "interval", F.explode(F.coalesce(F.from_json(raw, kind), F.from_json(F.get_json_object(raw, "$.value"), kind))).alias("k"))
+    rows = klines.select("symbol", "interval", now_ms.alias("_now"), F.explode(F.coalesce(F.from_json(raw, kind), F.from_json(F.get_json_object(raw, "$.value"), kind))).alias("k"))
     at = lambda i, kind: F.get("k", F.lit(i)).try_cast(kind)
     end = at(6, "long")
     names = {"open_time": (0, "long"), "close_time": (6, "long"), "open": (1, "double"), "high": (2, "double"), "low": (3, "double"), "close": (4, "double"), "volume": (5, "double"), "quote_volume": (7, "double"), "trades": (8, "int"), "taker_buy_volume": (9, "double"), "taker_buy_quote_volume": (10, "double")}
-    return rows.select("symbol", "interval", *(at(*v).alias(k) for k, v in names.items()), (end <= now_ms if dialect.closed_at_now else end < now_ms).alias("is_closed"))
+    return rows.select("symbol", "interval", *(at(*v).alias(k) for k, v in names.items()), (end <= F.col("_now") if dialect.closed_at_now else end < F.col("_now")).alias("is_closed"))
 
 
 def read_klines(spark: SparkSession, path: str, dialect: Dialect, now_ms: int) -> DataFrame:
@@ -58,9 +72,26 @@ def read_klines(spark: SparkSession, path: str, dialect: Dialect, now_ms: int) -
     return normalized(spark.read.schema("symbol string, interval string, raw string").json(path), dialect, now_ms)
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Candles as a cache of JSON lines keeps them; rows without an open time are dropped."""
-    return spark.read.schema(CANDLE).json(path).filter("open_time is not null")
+#: Candles that a cache must have more than to be used.
+CACHE_LEAST = 100
+
+
+def write_cache(candles: DataFrame, path: str) -> None:
+    """Candles as JSON lines."""
+    candles.write.mode("overwrite").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, refetch: DataFrame | None = None) -> DataFrame:
+    """Candles as a cache of JSON lines keeps them; rows without an open time are dropped.
+
+    A cache with CACHE_LEAST rows or fewer, or whose first bar has no open time, isn't used:
+    then ``refetch`` takes its place (or nothing). A count of the file decides, before anything is read on.
+    """
+    kept = spark.read.schema(CANDLE).json(path)
+    facts = kept.agg(F.count("*").alias("n"), F.count("open_time").alias("good")).first()
+    if facts["n"] > CACHE_LEAST and facts["good"] > 0:
+        return kept.filter("open_time is not null")
+    return kept.limit(0) if refetch is None else refetch
 
 
 def deduped(candles: DataFrame, keys: tuple[str, ...] = ("symbol", "open_time"), order: str = "ingest_seq") -> DataFrame:

@@ -1,55 +1,117 @@
-"""Structured Streaming: ticks to candles, and candles to a log of changed signals."""
+"""Structured Streaming: ticks to candles, and candles to a log of changed signals.
+
+Tables that streams keep are Parquet folders, ``version=<batch>/bucket=<k>``: a batch writes the
+buckets that it touches anew, and of each bucket the highest version counts. A batch that is run
+again reads versions below its own only and overwrites its own, so each takes effect once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.state import changed, upserted
+from tidemark.sources.candles import ohlc
+
+#: Buckets of a stored table.
+BUCKETS = 64
 
 
-def candles(ticks: DataFrame, width: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
-    """Ticks (symbol, ts, price) as candles. In append mode a bar comes out once, when the watermark has closed it; in update mode open bars come out too."""
-    own = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price"))
-    bars = own.withWatermark("ts", late).groupBy("symbol", F.window("ts", width)).agg(
-        F.min_by("price", "ts").alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
-        F.count("*").alias("trades"),
-        F.sum("price").alias("quote_volume"),
-    )
+def candles(ticks: DataFrame, width: str = "15 minutes", late: str = "30 minutes", now: Column | None = None) -> DataFrame:
+    """Ticks (symbol, ts, tie, price) as candles with the columns of batch candles.
+
+    In append mode a bar comes out once, when the watermark has closed it. In update mode open bars
+    come out too; ``now`` (ms) then tells which are closed. Of ticks of one time, ``tie`` decides which is first.
+    """
+    own = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "tie", F.col("price").cast("double").alias("price")).filter("price is not null and ts is not null")
+    bars = own.withWatermark("ts", late).groupBy("symbol", F.window("ts", width)).agg(*ohlc(F.struct("ts", "tie")))
     at = F.unix_millis
-    return bars.select("symbol", at("window.start").alias("open_time"), (at("window.end") - 1).alias("close_time"), "open", "high", "low", "close", "trades", "quote_volume")
+    out = bars.withColumns({"open_time": at("window.start"), "close_time": at("window.end") - 1})
+    return out.withColumn("is_closed", F.lit(True) if now is None else F.col("close_time") < now).drop("window")
 
 
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps one row per key in a Parquet table: versions are folders, the highest one counts.
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-    A batch that is run again writes the same version again, so each batch takes effect once.
-    """
+
+def current(spark: SparkSession, path: str, schema: T.StructType, below: int | None = None) -> DataFrame:
+    """The rows of a stored table that count, with their bucket; with ``below``, as they were before that batch."""
+    kept = T.StructType([*schema.fields, T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(kept).parquet(path)
+    if below is not None:
+        rows = rows.filter(F.col("version") < below)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # BUCKETS rows at most
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").select(*schema.names, "bucket")
+
+
+def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps one row per key in a stored table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = batch.limit(0) if batch_id == 0 else spark.read.parquet(f"{path}/version={batch_id - 1}")
-        upserted(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        new = batch.withColumn("bucket", _bucket(keys))
+        if batch_id > 0:
+            touched = new.select("bucket").distinct()
+            old = current(batch.sparkSession, path, batch.schema, batch_id).join(F.broadcast(touched), "bucket", "left_semi")
+            new = upserted(old.select(*new.columns), new, [*keys, "bucket"], order)
+        else:
+            new = upserted(new.limit(0), new, [*keys, "bucket"], order)
+        new.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
 def log_changes(path: str, key: str = "opportunity_id", order: str = "created_ms") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends signals whose state differs from the last one logged; it shares its rule with the batch log."""
+    """A ``foreachBatch`` function that appends signals whose state differs from the last one logged to ``path/log``.
+
+    It shares its rule with the batch log. The last state of each key is a stored table, so a batch
+    reads the buckets that it touches and no earlier log.
+    """
+    columns = [key, order, "level", "lifecycle_status"]
+    keep = upsert_into(f"{path}/last", [key], order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = [key, order, "level", "lifecycle_status"]
         fresh = batch.select(*columns).withColumn("_new", F.lit(True))
         if batch_id > 0:
-            earlier = spark.read.schema(batch.select(*columns).schema).parquet(*(f"{path}/batch={i}" for i in range(batch_id)))
-            last = earlier.groupBy(key).agg(F.max_by(F.struct(order, "level", "lifecycle_status"), order).alias("s")).select(key, "s.*").withColumn("_new", F.lit(False))
-            fresh = fresh.unionByName(last)
-        changed(fresh, key, order).filter("_new").select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            touched = fresh.select(_bucket([key]).alias("bucket")).distinct()
+            last = current(spark, f"{path}/last", batch.select(*columns).schema, batch_id).join(F.broadcast(touched), "bucket", "left_semi")
+            fresh = fresh.unionByName(last.select(*columns).withColumn("_new", F.lit(False)))
+        changed(fresh, key, order).filter("_new").select(*columns).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        keep(batch.select(*columns), batch_id)
+
+    return write
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All signals logged so far."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/log")
+
+
+def started(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "15 minutes", mode: str = "update") -> StreamingQuery:
+    """The running stream: every so often, or with ``every`` None once over all that there is."""
+    out = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if every is None else out.trigger(processingTime=every)).start()
+
+
+def signal_stream(path: str, evaluate: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function from candles to logged signals.
+
+    A batch's bars are put into the stored candles; ``evaluate`` makes signals of the stored candles, of
+    which those of the batch's bars go to the log.
+    """
+    keep = upsert_into(f"{path}/candles", ["symbol", "open_time"], "close_time")
+    log = log_changes(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read for the table and for the log
+        keep(batch, batch_id)
+        stored = current(batch.sparkSession, f"{path}/candles", batch.schema, batch_id + 1).drop("bucket")
+        bars = batch.filter("is_closed").select("symbol", "open_time")
+        log(evaluate(stored.filter("is_closed")).join(bars, ["symbol", "open_time"], "left_semi"), batch_id)
+        batch.unpersist()
 
     return write
