@@ -1,12 +1,15 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a similarity of 0.75 or more.
 
-Candidates come from PartEnum signatures. Sets are dealt into bands of near equal size;
-a band's hash partitions the domain of shingles, and the shingles of a set in one part are
-one signature. Two sets with similarity J differ in at most a third of the smaller one's
-size (at J = 0.75), so as many of its parts can differ at most: if more of its signatures
-than that are *cold* (shared by few sets), a linked set shares a cold one, and all pairs in
-cold buckets are looked at. How many cold signatures a pair shares, against how many a
-linked pair must share, drops almost all other pairs before any set is read.
+Candidates come from PartEnum signatures. Sets are dealt into bands of near equal size. A band's
+hash divides the domain of shingles into partitions of three parts each, and of each partition
+all subsets of two parts are enumerated: what a set holds in such a subset is one signature. Two
+linked sets differ in at most k shingles, k following from their sizes, so at most k / 2
+partitions can differ in two of their parts; in all others the sets share a whole signature. In
+the first band, of small sets, each shingle is a partition of one part, whose only subset is itself.
+
+How many signatures a set surely shares with a linked one, less those that are *hot* (had by many
+sets), is how many cold ones they share at least: all pairs in cold buckets are looked at, and
+those that share fewer are dropped before any set is read.
 
 Sets with too few cold signatures (large groups of near copies, texts made of passages that
 are everywhere) go another exact way: in every hot bucket they are compared with one hub after
@@ -32,10 +35,12 @@ from tidemark.llm.components import components
 
 #: Similarity for a link, as a fraction: 100 * common >= 75 * all.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Upper bounds of the size bands; in the first, each shingle is a part of its own. Above the last, bands go on by the same factor.
-FIRST_BAND, BAND_FACTOR = 128, 4
-#: Parts of a band per shingle of its largest set.
-PARTS = 0.57
+#: Upper bounds of the size bands; in the first, each shingle is a partition of its own. Above it, bands go on by the factor.
+FIRST_BAND, BAND_FACTOR = 128, 2
+#: Partitions of a band per shingle of its largest set: linked sets differ in k <= 1/3 of these, so k / 2 partitions are fewer.
+PARTITIONS = 0.22
+#: Parts of a partition, and the subsets of them that are signatures.
+PARTS, SUBSETS = 3, ((0, 1), (1, 2), (0, 2))
 #: Sets that share a cold signature at most.
 COLD = 16
 #: Tasks over which the members of one hot signature are dealt in joins.
@@ -51,7 +56,7 @@ BROADCAST_DOCS = 1_000_000
 
 U = np.uint64
 #: A signature's highest bits, which name its band; of a signature, its highest 48 bits go on.
-BAND_BITS, KEPT_BITS = U(4), U(48)
+BAND_BITS, KEPT_BITS = U(5), U(48)
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
@@ -63,8 +68,8 @@ def top_of(band: np.ndarray) -> np.ndarray:
     return FIRST_BAND * BAND_FACTOR ** np.asarray(band, np.int64)
 
 
-def families(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each of the one or two bands that a set takes part in: the sets' numbers and bands, and the signatures with their sets.
+def families(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the one or two bands that a set takes part in: the sets' numbers, their bands, how many signatures each shares at least with a linked set, and the signatures with their sets.
 
     A set also takes part in the band below if a set there can be linked with it.
     """
@@ -75,24 +80,59 @@ def families(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
         there = (size > 0) & (band >= 0)
         if lower:
             there &= size * NUMERATOR <= top_of(np.maximum(band, 0)) * DENOMINATOR
-        use = there[owner]
-        own, h, b = owner[use], hashes[use], band[owner[use]]
-        # the first band has each shingle as its own part; else a second hash deals shingles into parts
-        count = np.where(b == 0, 1, np.ceil(top_of(b) * PARTS)).astype(U)
-        part = np.where(b == 0, h, shingles.mix(h ^ U(0x2545F4914F6CDD1D)) % count)
-        order = np.lexsort((part, own))
-        own, part, h, b = own[order], part[order], h[order], b[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(new)
-        content = np.add.reduceat(shingles.mix(h), first) if len(first) else np.empty(0, U)
-        signature = shingles.mix(content + shingles.mix(part[first])) >> BAND_BITS | b[first].astype(U) << (U(64) - BAND_BITS)
+        shared = np.zeros(len(size), np.int64)
+        found = []
+        use = np.flatnonzero((there & (band == 0))[owner])
+        if len(use):
+            own, h = owner[use], hashes[use]
+            found.append((own, shingles.mix(shingles.mix(h) + shingles.mix(h))))
+            shared += np.where(band == 0, np.bincount(own, minlength=len(size)) - size // 3, 0)
+        use = np.flatnonzero((there & (band > 0))[owner])
+        if len(use):
+            own, h = owner[use], hashes[use]
+            found.extend(_subsets(own, h, band, size, shared))
+        own = np.concatenate([o for o, _ in found]) if found else np.empty(0, np.int64)
+        signature = np.concatenate([x for _, x in found]) if found else np.empty(0, U)
+        signature = signature >> BAND_BITS | band[own].astype(U) << (U(64) - BAND_BITS)
         numbers = np.flatnonzero(there)
-        yield numbers, band[numbers], signature, own[first]
+        yield numbers, band[numbers], shared[numbers], signature, own
+
+
+def _subsets(own: np.ndarray, h: np.ndarray, band: np.ndarray, size: np.ndarray, shared: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(set, signature) of all subsets of parts that aren't empty, for shingles ``h`` of the sets ``own``; sets ``shared`` of these sets."""
+    top = top_of(np.maximum(band, 0))
+    partitions = np.ceil(top * PARTITIONS).astype(np.int64)
+    part = (shingles.mix(h ^ U(0x2545F4914F6CDD1D)) % (partitions[own] * PARTS).astype(U)).astype(np.int64)
+    order = np.argsort(own * (int(partitions.max()) * PARTS + 1) + part, kind="stable")
+    own, part, h = own[order], part[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (part[1:] != part[:-1])]))
+    content = np.add.reduceat(shingles.mix(h), first)
+    own, part = own[first], part[first]
+    partition = part // PARTS
+    at = np.concatenate([[True], (own[1:] != own[:-1]) | (partition[1:] != partition[:-1])])
+    held, row = np.zeros((int(at.sum()), PARTS), U), np.cumsum(at) - 1
+    held[row, part % PARTS] = content
+    there = held != 0
+    of, number = own[at], partition[at].astype(U)
+    # a partition with two parts or more that aren't empty has no empty subset
+    whole = np.bincount(of[there.sum(1) >= 2], minlength=len(size))
+    differ = np.where(size <= top, size // 3, (size + top) // 7)
+    least = whole - differ // 2
+    mine = np.zeros(len(size), bool)
+    mine[own] = True
+    shared[mine] = np.maximum(least, 1)[mine]
+    out = []
+    for k, (i, j) in enumerate(SUBSETS):
+        some = there[:, i] | there[:, j]
+        out.append((of[some], shingles.mix(shingles.mix(held[some, i] + U(k)) + held[some, j] + shingles.mix(number[some] * U(4) + U(k)))))
+    # the few sets with too many empty subsets to be sure of a shared one: among themselves they share single parts
+    thin = (least < 1)[own]
+    out.append((own[thin], shingles.mix(content[thin] + shingles.mix(part[thin].astype(U) + U(1 << 40)))))
+    return out
 
 
 def describe(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, node (key of the shingle set; null if it is empty), size, and bands: (band, number of signatures)."""
+    """``keep``, node (key of the shingle set; null if it is empty), size, and bands: (band, how many signatures a linked set shares at least)."""
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = source.select(*keep).schema
 
@@ -103,15 +143,14 @@ def describe(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
                 hashes, bounds = shingles.sets(texts.slice(a, b - a))
                 size, node = np.diff(bounds), shingles.set_keys(hashes, bounds)
                 bands: list[list[dict]] = [[] for _ in range(b - a)]
-                for numbers, band, _, owner in families(hashes, bounds):
-                    found = np.bincount(owner, minlength=b - a)
-                    for i, k in zip(numbers.tolist(), band.tolist(), strict=True):
-                        bands[i].append({"band": k, "signatures": int(found[i])})
+                for numbers, band, shared, _, _ in families(hashes, bounds):
+                    for i, k, n in zip(numbers.tolist(), band.tolist(), shared.tolist(), strict=True):
+                        bands[i].append({"band": k, "shared": n})
                 columns = [batch.column(c).slice(a, b - a) for c in keep]
-                kind = pa.list_(pa.struct([("band", pa.int32()), ("signatures", pa.int32())]))
+                kind = pa.list_(pa.struct([("band", pa.int32()), ("shared", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(node, mask=size == 0), pa.array(size), pa.array(bands, kind)], [*keep, "node", "size", "bands"])
 
-    made = T.StructType.fromDDL("node long, size long, bands array<struct<band:int,signatures:int>>")
+    made = T.StructType.fromDDL("node long, size long, bands array<struct<band:int,shared:int>>")
     return source.mapInArrow(run, T.StructType([*kept.fields, *made.fields]))
 
 
@@ -135,7 +174,7 @@ def _signatures(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
                 fresh = np.zeros(len(keys), bool)
                 fresh[np.unique(number, return_index=True)[1]] = True
                 fresh &= number >= before  # an equal set has been seen
-                for _, _, signature, owner in families(hashes, bounds):
+                for _, _, _, signature, owner in families(hashes, bounds):
                     use = fresh[owner]
                     signatures.append(signature[use])
                     nodes.append(number[owner[use]].astype(np.uint32))
@@ -326,16 +365,16 @@ def _joined(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     source = docs.select("doc_id", F.col(text_col).alias("text")).withColumn("row_key", F.struct("doc_id", F.xxhash64("text").alias("text_key")))
     described = written(describe(source, "text", ("doc_id", "row_key")), "described")
     held = described.filter("node is not null")
-    total = held.agg(F.sum(F.aggregate("bands", F.lit(0).cast("long"), lambda n, b: n + b["signatures"]))).first()[0] or 0
+    total = held.agg(F.sum("size")).first()[0] or 0  # about one signature per shingle
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
     found = written(_buckets(_signatures(source, parts, "text").repartition(parts, "part")), "signature-buckets")
 
-    need = held.select("node", "size", F.explode("bands").alias("b")).groupBy("node", F.col("b.band").alias("band")).agg(F.first("size").alias("size"), F.first("b.signatures").alias("signatures"))
+    need = held.select("node", F.explode("bands").alias("b")).groupBy("node", F.col("b.band").alias("band")).agg(F.first("b.shared").alias("shared"))
     hot = found.filter(F.col("kind") == HOT).select(F.col("a").alias("node"), "band", F.col("b").alias("signature")).distinct()
     hot = written(hot, "hot-signatures")
     heat = hot.groupBy("node", "band").agg(F.count("*").alias("hot"))
-    # a linked set's signatures differ in a third of its size at most, so it shares this many cold ones
-    margin = F.col("signatures") - F.coalesce("hot", F.lit(0)) - F.floor(F.col("size") / 3)
+    # of the signatures that a linked set shares at least, so many are cold
+    margin = F.col("shared") - F.coalesce("hot", F.lit(0))
     nodes = written(need.join(heat, ["node", "band"], "left").select("node", "band", margin.alias("margin"), F.coalesce("hot", F.lit(0)).alias("hot")), "nodes")
 
     pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
