@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, jaccard, licenses, lm, ppm, quality, sharding, toxicity
+from tidemark.llm import ann, bpe, decontaminate, jaccard, licenses, lm, pii, ppm, quality, sharding, toxicity
 from tidemark.llm.components import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -152,6 +152,93 @@ def test_sharding(spark):
     assert sharding.shard(table(spark, []), 8).count() == 0
 
 
+def test_sharding_spreads_hot_rows_whatever_their_ids(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randint(1, 40))) for i in range(500)] + [(None, "the same text again")] * 800 + [(7, "another hot text")] * 700
+    got = sharding.shard(table(spark, rows), 8).collect()
+    for measure in (lambda r: r["size"], lambda r: 1):
+        shards = Counter()
+        for r in got:
+            shards[r.shard] += measure(r)
+        assert len(shards) == 8 and max(shards.values()) <= 1.1 * sum(shards.values()) / 8
+    words = {zlib.crc32((t or "").encode()): len((t or "").split()) for _, t in rows}
+    tokens = Counter()
+    for r in got:
+        tokens[r.shard] += words[r.text_crc32]
+    assert max(tokens.values()) <= 1.1 * sum(tokens.values()) / 8
+    one = sharding.shard(table(spark, rows), 1)
+    assert {r.shard for r in one.collect()} == {0} and one.count() == len(rows)
+    with pytest.raises(ValueError):
+        sharding.shard(table(spark, rows), 0)
+
+
+def test_copies_go_by_their_text_whatever_their_ids(spark):
+    a, b, c = ("word " * 3 + f"{x} the quick brown fox jumps over lazy dogs {x}" for x in "abc")
+    rows = [(1, a), (2, a), (2, "something else altogether that nobody has"), (None, b), (None, b), (3, c), (3, c), (4, None), (4, None), (5, ""), (6, c), (None, c)]
+    docs = table(spark, rows).withColumnsRenamed({"score": "row", "node": "text_key"})
+    got = jaccard.dedupe(docs)
+    assert got.columns == docs.columns
+    want = [(1, a), (2, "something else altogether that nobody has"), (None, b), (3, c), (4, None), (4, None), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard.dedupe(docs.limit(0)).isEmpty()
+
+
+def test_signatures_are_shared_by_linked_sets():
+    rng = np.random.default_rng(15)
+    new = lambda n: rng.integers(1, 1 << 63, n).astype(np.uint64)
+    for size in [3, 8, 40, 127, 128, 129, 150, 171, 256, 257, 300, 341, 512, 700] * 3:
+        x = np.sort(new(size))
+        for add, gone in ((size // 3, 0), (0, size // 4), (size // 7, size // 7)):
+            y = np.sort(np.concatenate([rng.permutation(x)[gone:], new(add)]))
+            if not jaccard.linked(x, y):
+                continue
+            had, least = ({}, {}), ({}, {})
+            for numbers, band, shared, signature, owner in jaccard.families(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])):
+                for i, k, n in zip(numbers, band, shared):
+                    had[i][k], least[i][k] = set(signature[owner == i].tolist()), n
+            both = had[0].keys() & had[1].keys()
+            assert both and all(len(had[0][k] & had[1][k]) >= max(least[0][k], least[1][k]) >= 1 for k in both)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_email", "_candidates", "pii_base", "pii_spans", "row", "text_key", "_key", "_doc", "own", "n_tokens"]
+    rows = [(1, "write to a@b.co now", *names), (None, None, *names), (2, "", *names), (1, "again 10.0.0.1", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    benchmark = spark.createDataFrame([(1, "again 10.0.0.1")], "item_id long, text string")
+    cleaned = pii.clean(docs)
+    assert cleaned.columns == docs.columns
+    assert sorted(map(tuple, cleaned.collect()), key=repr) == sorted([(1, "write to [EMAIL] now", *names), (None, None, *names), (2, "", *names), (1, "again [IP]", *names)], key=repr)
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns and sorted((r.text for r in left.collect()), key=repr) == sorted([None, "", "write to a@b.co now"], key=repr)
+    assert {tuple(r)[2:] for r in jaccard.dedupe(docs).collect()} == {tuple(names)}
+    with pytest.raises(ValueError):
+        bpe.encode(docs, RANKS, public_tokenizers.PATTERN, out_col="n_tokens")
+
+
+def test_joins_beyond_the_broadcast_limits(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [(i, prose(rng, 14)) for i in range(5)]
+    rows = [(i, f"{prose(rng, 9)} {items[i % 5][1]} {prose(rng, 5)}") for i in range(20)] + odd()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    few = sorted(map(str, decontaminate.mark(table(spark, rows), benchmark).collect()))
+    licensed = [(i, f"{prose(rng, 9)} {licenses.TEMPLATES[i][1]} {prose(rng, 5)}") for i in range(12)] + odd()
+    found = sorted(map(str, licenses.label(table(spark, licensed)).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(licenses, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_DOCS", 0)
+    assert sorted(map(str, decontaminate.mark(table(spark, rows), benchmark).collect())) == few
+    assert sorted(map(str, licenses.label(table(spark, licensed)).collect())) == found
+    assert jaccard.dedupe(table(spark, [*rows, *rows])).count() == len(rows) + 3  # those without words stay
+
+
+def test_native_operators_have_no_python(spark):
+    docs = table(spark, [(1, "Licensed under the MIT License.")])
+    benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for df in (licenses.scan(docs), licenses.label(docs), decontaminate.mark(docs, benchmark), decontaminate.clean(docs, benchmark), pii.clean(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 16))
@@ -238,6 +325,75 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
         assert module.classify(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_quality_votes_are_those_of_all_pairs(spark):
+    rng = random.Random(12)
+    rows, labels = odd(), []
+    for i in range(160):
+        good = rng.random() < 0.6
+        text = prose(rng, rng.randint(5, 60)).capitalize() + "."
+        rows.append((i, text if good else rng.choice([text.upper(), " | ".join(text.split()), text + " 12 34 56 " * 9])))
+        labels.append((i, int(good)))
+    rows += [(900 + i, " ".join(f"x{'Y' * (j % 40)}{j}" for j in range(i, i + 900))) for i in range(2)]  # more terms than the space has
+    labels += [(900, 1), (901, 0), (3, None), (500, 1)]
+    docs, marks = table(spark, rows).drop("score"), spark.createDataFrame(labels, "doc_id long, quality int")
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    truth = {}
+    for d, q in labels:
+        if q is not None and not held(d):
+            truth[d] = max(q, truth.get(d, 0))
+    learned = sorted(((d, t) for d, t in rows if d in truth), key=lambda x: x[0])
+    bags = [quality.terms(t) for _, t in learned]
+    often = sorted(Counter(t for bag in bags for t in bag).items(), key=lambda x: (-x[1], x[0]))[: quality.TERMS]
+    names, idf = [t for t, _ in often], np.array([math.log1p(len(bags) / n) for _, n in often])
+    vector = lambda bag: np.array([math.sqrt(bag.get(t, 0) / sum(bag.values())) for t in names]) * idf
+    basis = np.linalg.svd(np.array([vector(b) for b in bags]), full_matrices=False)[2][: quality.DIMENSIONS]
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    near = [unit(basis @ vector(b)) for b in bags]
+    for r in quality.classify(docs, marks).collect():
+        options = [t for d, t in rows if d == r.doc_id]
+        votes = []
+        for text in options:
+            mine = unit(basis @ vector(quality.terms(text)))
+            order = sorted(range(len(near)), key=lambda i: -float(near[i] @ mine))[: quality.NEIGHBOURS]
+            weight = [max(0.0, min(1.0, float(near[i] @ mine))) ** quality.SHARPNESS + 1e-6 for i in order]
+            votes.append(sum(w * truth[learned[i][0]] for w, i in zip(weight, order)) / sum(weight))
+        assert any(r.score == pytest.approx(v, abs=0.05) for v in votes) and r.held_out == held(r.doc_id)
+
+
+def test_composed_grammar_is_all_paths_of_its_parts():
+    rng = random.Random(13)
+    parts = [part() for part in toxicity.PARTS]
+
+    def paths(states, symbol, factor=1.0, done=()):
+        if not (rest := parts[len(done) :]):
+            yield done, symbol, factor
+            return
+        for to, out, f in rest[0].arcs.get((states[len(done)], symbol), ()):
+            yield from paths(states, out, factor * f, (*done, to))
+
+    def best(states, clause):
+        if not clause:
+            return 0.0 if all(q in part.final for q, part in zip(states, parts)) else -math.inf
+        (symbol, weight), rest = clause[0], clause[1:]
+        found = [(weight * f if out == "E" else 0.0) + best(to, rest) for to, out, f in paths(states, symbol)]
+        return max(found, default=-math.inf)
+
+    for _ in range(300):
+        clause = [(s, {"I": rng.choice([1.0, 2.5]), "H": 2.0}.get(s, 0.0)) for s in rng.choices(toxicity.SYMBOLS, [4, 3, 1, 3, 2, 1, 1, 6], k=rng.randint(1, 7))]
+        assert toxicity.Grammar.clause(clause) == pytest.approx(best(tuple(p.start for p in parts), clause))
+    long = [("I", 2.0), *[("O", 0.0)] * 5000, ("T", 0.0)]
+    assert toxicity.Grammar.clause(long) == toxicity.Grammar.clause([("I", 2.0), *[("O", 0.0)] * 9, ("T", 0.0)]) == 2.0
+
+
+def test_grammar_reads_clauses_not_words():
+    g = toxicity.Grammar({"idiot ": 3.0})
+    weight = lambda t: g.features(t)[0]
+    assert weight("I kill time") == 0 < weight("they kill you") < weight("they will kill you")
+    assert weight("you are not nice but an idiot") > weight("you are not a nice idiot")
+    assert weight("idiot. you") < weight("idiot you")
+    assert weight("ide\u0301e") == weight("id\u00e9e") == 0
+
+
 def test_grammar_weighs_clauses():
     g = toxicity.Grammar({"idiot ": 3.0, "snark": 2.0})
     plain, aimed, negated, reported = (g.features(t)[0] for t in ("an idiot came", "you idiot came", "he is not an idiot", "Ann said an idiot came"))
@@ -302,7 +458,9 @@ def test_quality_reads_a_long_token_to_its_end():
     bags = [quality.terms(plain + plain), quality.terms(plain + junk)]
     assert bags[0] != bags[1]  # equal in their first 4,000 characters
     assert quality.terms("日本語" * 3000 + "!x9") == quality.terms("a!a9")
-    space = quality.Space([quality.terms(t * n) for n in range(1, 40) for t in (plain, junk)], [1, 0] * 39)
+    learned = [quality.terms(t * n) for n in range(1, 40) for t in (plain, junk)]
+    space = quality.Space([*Counter(t for bag in learned for t in bag).items()], len(learned))
+    space.learn(space.rows(learned), np.array([1, 0] * 39))
     scores = space.scores([quality.terms(plain + junk * k) for k in (0, 1, 50)])
     assert scores[0] > scores[1] or scores[1] > scores[2]
     assert scores[0] > 0.7 > scores[2]

@@ -69,7 +69,7 @@ def scan(docs: DataFrame, given: DataFrame | None = None, text_col: str = "text"
     own = prepare(templates(spark) if given is None else given)
     sizes = sorted(r["s"] for r in own.select("s").distinct().collect())
     if not sizes:
-        return spark.createDataFrame([], docs.select("doc_id").schema.add("text_key", "long").add("license_id", "string").add("template", "long").add("begin", "int").add("end", "int").add("containment", "double"))
+        return spark.createDataFrame([], docs.select("doc_id").schema.add("text_key", "long").add("license_id", "string").add("template", "long").add("begin", "integer").add("end", "integer").add("containment", "double"))
     text = F.col(text_col)
     read = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), words(text).alias("own"))
 
