@@ -358,33 +358,29 @@ _WORDS = """CASE WHEN direction = 'LONG' THEN '做多' ELSE '做空' END AS act,
 '15m 收盘跌破结构位；价格远离入场区超过 1R；数据质量低于 75' AS rules"""
 
 
-def _sql_filled(pattern: str, columns: dict[str, str]) -> str:
-    parts = []
-    for i, piece in enumerate(pattern.replace("}", "{").split("{")):
-        if i % 2:
-            parts.append(columns[piece])
-        elif piece:
-            parts.append("'" + piece.replace("'", "''") + "'")
-    return " || ".join(parts) or "''"
-
-
-def _sql_lines(lines, columns) -> str:
-    one = lambda a, b: _sql_filled(a, columns) if b is None else f"CASE WHEN eligible THEN {_sql_filled(a, columns)} ELSE {_sql_filled(b, columns)} END"
-    return " || chr(10) || ".join(f"({one(a, b)})" for a, b in lines)
-
-
-_COLUMNS = {c: c for c in ("symbol", "act", "strength", "why", "rules")} | {"move": "moves"} | {"score": "CAST(score AS VARCHAR)"} | {p: _price(p) for p in alerts.PRICES}
-_CLOSING = " || chr(10) || ".join(f"'{x}'" for x in alerts.CLOSING)
-
-
-@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS} FROM sig) SELECT id, CASE WHEN eligible THEN {_sql_filled(alerts.SINGLE['subject'], _COLUMNS)} ELSE {_sql_filled(alerts.SINGLE['subject_without'], _COLUMNS)} END AS subject, {_sql_lines(alerts.SINGLE['lines'], _COLUMNS)} || chr(10) || {_CLOSING} AS body FROM w""")
+# The wording of messages, written out for comparison.
+_ENTRY, _STOP, _TARGETS = f"{_price('entry_low')} || ' - ' || {_price('entry_high')}", _price("stop_loss"), [_price(f"tp{i}") for i in (1, 2, 3)]
+_CLOSING = "'这不是自动买入提醒，也不是保证赚钱。它只是提醒你：这里可能有机会，但需要你自己确认仓位和风险。' || chr(10) || '合约波动很大，请控制仓位；看不懂或来不及判断时，宁可错过。'"
+_SINGLE_BODY = f"""concat_ws(chr(10), '币种：' || symbol, '方向：关注' || act || '，也就是判断后面可能' || moves || '。', '强度：' || strength || '，系统评分 ' || score || '/100。', '',
+CASE WHEN eligible THEN '建议观察价格区间：' || {_ENTRY} || '。价格进入这个区间再考虑，不要追。' ELSE '现在还没有合适的价格区间，只适合先观察，不建议马上行动。' END,
+CASE WHEN eligible THEN '风险价：' || {_STOP} || '。如果价格碰到这里，说明这次判断可能错了。' ELSE '风险价：等待确认。' END,
+CASE WHEN eligible THEN '第一目标：' || {_TARGETS[0]} || '；第二目标：' || {_TARGETS[1]} || '；第三目标：' || {_TARGETS[2]} || '。' ELSE '目标价：等待确认。' END,
+CASE WHEN eligible THEN '如果价格已经超过 ' || {_price('no_chase_price')} || '，就不要追了，容易买在高位或卖在低位。' ELSE '不追价位置：等待确认。' END,
+'', '为什么提醒：' || why, '什么时候放弃：' || rules, '', {_CLOSING})"""
+_SUMMARY_BLOCK = f"""concat_ws(chr(10), rk || '. ' || symbol || '｜' || strength || '｜' || score || '/100｜关注' || act, '   判断：后面可能' || moves || '。',
+CASE WHEN eligible THEN '   观察价格：' || {_ENTRY} || '；风险价：' || {_STOP} || '；目标：' || {_TARGETS[0]} || ' / ' || {_TARGETS[1]} || ' / ' || {_TARGETS[2]} || '。' ELSE '   观察价格：暂未形成合适区间，先观察。' END,
+CASE WHEN eligible THEN '   不要追：如果价格已经超过 ' || {_price('no_chase_price')} || '，这次就先放过。' ELSE '   不要追：等待更清楚的位置。' END,
+'   原因：' || why, '   放弃条件：' || rules, '')"""
+
+
+@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS} FROM sig) SELECT id, act || moves || '提醒｜' || score || ' 分｜' || symbol || CASE WHEN eligible THEN '｜风险价 ' || {_STOP} ELSE '｜先观察' END AS subject, {_SINGLE_BODY} AS body FROM w""")
 def signal_email(spark, d):
     return alerts.single(_signals(spark, d)).select("id", "subject", "body")
 
 
-@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS}, CAST(row_number() OVER (PARTITION BY created_ms ORDER BY score DESC, symbol) AS VARCHAR) AS rk, CAST(count(*) OVER (PARTITION BY created_ms) AS VARCHAR) AS n FROM sig),
-b AS (SELECT created_ms, rk, n, {_sql_filled(alerts.SUMMARY['subject'], _COLUMNS | {'n': 'n'})} AS head, {_sql_lines(alerts.SUMMARY['lines'], _COLUMNS | {'rank': 'rk'})} AS block FROM w)
-SELECT created_ms, max(CASE WHEN rk = '1' THEN head END) AS subject, {_sql_filled(alerts.SUMMARY['head'], {'n': 'max(n)'})} || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY CAST(rk AS INTEGER)) || chr(10) || {_CLOSING} AS body FROM b GROUP BY created_ms""")
+@query(_SIGNALS + f""", w AS (SELECT *, {_WORDS}, row_number() OVER (PARTITION BY created_ms ORDER BY score DESC, symbol) AS rk, count(*) OVER (PARTITION BY created_ms) AS n FROM sig),
+b AS (SELECT created_ms, rk, n, act || moves || '强提醒｜' || n || ' 个S级机会｜最高 ' || score || ' 分｜' || symbol AS head, {_SUMMARY_BLOCK} AS block FROM w)
+SELECT created_ms, max(CASE WHEN rk = 1 THEN head END) AS subject, '本轮共发现 ' || max(n) || ' 个强提醒机会，已按评分从高到低排列。' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY rk) || chr(10) || {_CLOSING} AS body FROM b GROUP BY created_ms""")
 def summary_email(spark, d):
     return alerts.summary(_signals(spark, d).withColumn("ord", F.col("symbol")), "created_ms")
 
@@ -575,7 +571,7 @@ def sample_fallback(spark, d):
     return readmodel.with_fallback(samples.filter("score > 100"), samples)
 
 
-_SUMMARY_EMPTY = f"'{alerts.SUMMARY['subject_empty']}'"
+_SUMMARY_EMPTY = "'暂无新机会提醒'"
 
 
 @query(_SIGNALS + f" SELECT created_ms, CASE WHEN count_if(level = 'S' AND eligible AND score >= 97) = 0 THEN {_SUMMARY_EMPTY} ELSE 'some' END AS subject FROM sig GROUP BY created_ms")
