@@ -473,3 +473,19 @@ def test_nearest_neighbours_are_as_many_as_there_are(spark, monkeypatch):
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
         got = Counter(r.query_id for r in ann.search(df, lambda v: v % 5 == 0).collect())
         assert got == {q: min(20, n - 1) for q in range(0, n, 5)}
+
+
+def test_nearest_neighbours_of_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect() if r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in ann.search(df, lambda v: v % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        near = {int(ids[i]) for i in np.argsort(-score, kind="stable")[:20]}
+        hit, total = hit + len(near & got[int(ids[q])]), total + len(near)
+    assert hit / total >= 0.9

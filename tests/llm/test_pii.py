@@ -72,3 +72,27 @@ def test_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.digests(pii.find(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_estimates_are_those_of_every_candidate_by_itself():
+    rng = random.Random(9)
+    counts = [{"kind": "number", "shape": a, "gazetteer": b, "context": c, "long": d, "n": rng.randint(1, 40)} for a in (0, 1) for b in (0, 1) for c in (0, 1) for d in (0, 1)]
+    votes = [tuple(r[f] for f in pii.LABELERS) for r in counts for _ in range(r["n"])]
+    prior, hit = 0.5, {1: [0.8] * 3, 0: [0.2] * 3}
+    for _ in range(pii.ROUNDS):
+        post = []
+        for v in votes:
+            like = {c: (prior if c else 1 - prior) for c in (0, 1)}
+            for c in (0, 1):
+                for x, h in zip(v, hit[c]):
+                    like[c] *= h if x else 1 - h
+            post.append(like[1] / (like[0] + like[1]))
+        for c, base in ((1, 0.8), (0, 0.2)):
+            weight = [p if c else 1 - p for p in post]
+            hit[c] = [(sum(w for w, v in zip(weight, votes) if v[j]) + 2 * base) / (sum(weight) + 2) for j in range(3)]
+        prior = (sum(post) + 1) / (len(post) + 2)
+    each = dict(zip(votes, post))
+    for row, p in zip(counts, pii.estimate(counts)):
+        assert abs(p - each[tuple(row[f] for f in pii.LABELERS)]) < 1e-9
+    weights = pii.train(counts)
+    assert set(weights) == set(pii.ADDED) and any(weights["number"]) and not any(weights["secret"])
