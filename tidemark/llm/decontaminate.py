@@ -64,6 +64,18 @@ def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return at.withColumn("key", F.explode(F.array(*keys))).filter("key is not null").drop("_word")
 
 
+def _matched(docs: DataFrame, sizes: list[int], keys: DataFrame, small: bool) -> DataFrame:
+    """The shingles of ``docs`` (doc_id, text_key, own) that have a row in ``keys``, with the columns of both.
+
+    Where ``keys`` is too large to be broadcast, only ids, places and keys are shuffled, and the words are fetched for what matches.
+    """
+    at = _document_shingles(docs, sizes)
+    if small:
+        return at.join(F.broadcast(keys), "key")
+    met = at.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "pos", "key").distinct().join(keys, "key")
+    return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).drop("_doc", "_key")
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, text_key (a hash of the text), n_words, n_hit, n_items,
     item_ids (sorted as strings) and contaminated.
@@ -90,8 +102,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     prefix = written(rarest.select("window", "prefix.*").join(own, "window").select("window", "window_words", "n", "key", "offset"), "benchmark-prefixes")
     start = F.col("pos") - F.col("offset")
     hits = (
-        _document_shingles(read, sizes)
-        .join(few(prefix), "key")
+        _matched(read, sizes, prefix, small)
         .filter((start >= 0) & (start + F.col("n") <= F.size("own")))
         .filter(F.slice("own", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window_words"))
         .select("doc_id", "text_key", "window", start.alias("start"), (start + F.col("n")).alias("end"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import same, written
-from tidemark.llm.decontaminate import _document_shingles, _key, words
+from tidemark.llm.decontaminate import _document_shingles, _key, _matched, words
 from tidemark.llm.license_texts import TEMPLATES
 
 BANDS = 32
@@ -77,9 +77,10 @@ def scan(docs: DataFrame, given: DataFrame | None = None, text_col: str = "text"
     least = bands.select("*", F.explode("keys").alias("key")).groupBy("template", "s", "n", "band").agg(F.min_by("key", _banded(F.col("key"), F.col("band"))).alias("key"))
     least = written(least.groupBy("key", "template", "s", "n").agg(F.collect_list("band").alias("bands")), "license-bands")
     keys = written(own.select("template", "license_id", F.size("keys").alias("of"), F.explode("keys").alias("key")), "license-keys")
-    few = F.broadcast if keys.count() <= BROADCAST_KEYS and least.count() <= BROADCAST_KEYS else (lambda df: df)
+    small = keys.count() <= BROADCAST_KEYS and least.count() <= BROADCAST_KEYS
+    few = F.broadcast if small else (lambda df: df)
 
-    met = _document_shingles(read, sizes).join(few(least), "key")
+    met = _matched(read, sizes, least, small)
     step = F.ceil(F.col("n") / 2).cast("int")
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - 2 * F.col("n")) / step) + 1).cast("int")
     window = lambda i: F.struct((i * step).alias("window"), F.slice("own", i * step + 1, 2 * F.col("n") + F.col("s") - 1).alias("own"))
