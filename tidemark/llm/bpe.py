@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import lean
+
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries of the generation that a worker fills for chunks of text; it keeps this one and the one before.
-CACHE_ENTRIES = 200_000
+#: Entries of the generation that a worker fills for chunks of text (it keeps this one and the one before), and of neighbouring tokens.
+CACHE_ENTRIES, PAIR_ENTRIES = 60_000, 120_000
 #: Above every rank.
 NEVER = 1 << 60
 #: Bytes of text that a worker encodes before it hands a batch on.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -66,6 +68,14 @@ class Codec:
         # the vocabulary by rank, for decoding whole arrays: what no rank has is null
         self.entries = pa.array([self.bytes_of.get(i) for i in range(len(self.size))], pa.large_binary())
 
+    def forget(self) -> None:
+        """Drop what was kept of texts; the vocabulary stays."""
+        for memo in (self.piece, self.first, self.spaced):
+            memo.clear()
+            memo.before = {}
+        for kept in (self.fits, self.shorter, *self.edges):
+            kept.clear()
+
     def merged(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """Plain merging, lowest rank first, down to so many parts; for the few bytes of one token."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -91,7 +101,7 @@ class Codec:
         """
         if (known := self.fits.get((left, right))) is not None:
             return known
-        if len(self.fits) > CACHE_ENTRIES:
+        if len(self.fits) > PAIR_ENTRIES:
             self.fits.clear()
         before, after, ranks = self._edge(self.bytes_of[left], True), self._edge(self.bytes_of[right], False), self.ranks
         answer = True
@@ -230,8 +240,8 @@ def _as_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
 
 
-def _appended(df: DataFrame, column: str, out: dict[str, T.DataType], make) -> DataFrame:
-    """``df`` and more columns, made from batches of ``column`` in Python."""
+def _appended(df: DataFrame, column: str, out: dict[str, T.DataType], make, forget) -> DataFrame:
+    """``df`` and more columns, made from batches of ``column`` in Python; ``forget`` is called after a task's last one."""
     if clash := [c for c in out if c in df.columns]:
         raise ValueError(f"the table already has a column {clash[0]}")
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, kind) for c, kind in out.items())])
@@ -240,8 +250,9 @@ def _appended(df: DataFrame, column: str, out: dict[str, T.DataType], make) -> D
         for batch in batches:
             for part in _slices(batch, column):
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(column))], [*part.schema.names, *out])
+        forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _vocabulary(df: DataFrame, ranks_path: str):
@@ -266,7 +277,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         ids = _as_lists([own.encode(t) for t in texts.to_pylist()])
         return [ids, own.decode(ids)] if decoded_col else [ids]
 
-    return _appended(df, text_col, out, make)
+    return _appended(df, text_col, out, make, lambda: codec(raw.value, pattern).forget())
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -276,7 +287,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_i
     Rows are independent; an empty table stays empty; a column named ``out_col`` is an error.
     """
     raw = _vocabulary(df, ranks_path)
-    return _appended(df, ids_col, {out_col: T.BinaryType()}, lambda ids: [codec(raw.value, pattern).decode(ids)])
+    return _appended(df, ids_col, {out_col: T.BinaryType()}, lambda ids: [codec(raw.value, pattern).decode(ids)], lambda: None)
 
 
 def digests(df: DataFrame, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:

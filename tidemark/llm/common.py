@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import string
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker, which Spark keeps for other tasks, gives free memory back to the machine."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it as long as the table has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import shingles
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import lean, packed, unpacked, written
 from tidemark.llm.components import components
 
 #: Similarity for a link, as a fraction: 100 * common >= 75 * all.
@@ -47,8 +47,8 @@ COLD = 16
 SLOTS = COLD
 #: Sets of a block that are compared with those of another at once, where buckets stay hot.
 BLOCK = 2048
-#: Signatures that one target partition should hold.
-PART_SIGNATURES = 2_000_000
+#: Signatures that a worker packs at once, and that one target partition should hold.
+PACKED_AT_ONCE, PART_SIGNATURES = 1_000_000, 2_000_000
 #: Hubs that are tried in buckets that stay open before their members are compared in blocks.
 TURNS = 1
 #: Documents whose ids are broadcast to pick their texts; more of them are joined by a shuffle.
@@ -151,7 +151,7 @@ def describe(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(node, mask=size == 0), pa.array(size), pa.array(bands, kind)], [*keep, "node", "size", "bands"])
 
     made = T.StructType.fromDDL("node long, size long, bands array<struct<band:int,shared:int>>")
-    return source.mapInArrow(run, T.StructType([*kept.fields, *made.fields]))
+    return source.mapInArrow(lean(run), T.StructType([*kept.fields, *made.fields]))
 
 
 def _signatures(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
@@ -179,13 +179,13 @@ def _signatures(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
                     signatures.append(signature[use])
                     nodes.append(number[owner[use]].astype(np.uint32))
                     known += int(use.sum())
-            if known > 5_000_000:  # bounds a worker's memory; the rest of the partition is packed apart
+            if known > PACKED_AT_ONCE:  # bounds a worker's memory; the rest of the partition is packed apart
                 yield from _pack(index, nodes, signatures, parts)
                 nodes, signatures, known, index = [], [], 0, {}
         if known:
             yield from _pack(index, nodes, signatures, parts)
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "part int, payload binary")
+    return docs.select(F.col(text_col)).mapInArrow(lean(run), "part int, payload binary")
 
 
 def _pack(index: dict[int, int], nodes: list, signatures: list, parts: int) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ def _buckets(packed: DataFrame) -> DataFrame:
             if len(hot_node):
                 yield _rows(HOT, hot_node, hot_sig.view(np.int64), _band(hot_sig), np.ones(len(hot_node), np.int64))
 
-    return packed.mapInArrow(run, "kind int, a long, b long, band int, n long")
+    return packed.mapInArrow(lean(run), "kind int, a long, b long, band int, n long")
 
 
 def _band(signature: np.ndarray) -> np.ndarray:
@@ -310,7 +310,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, described: DataFrame, text_col:
                 ends = pa.array((bounds * 8).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([node.slice(a, b - a), pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, ends.buffers()[1], pa.py_buffer(hashes.tobytes())])], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.mapInArrow(lean(run), "node long, shingles binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -329,7 +329,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fine = [linked(np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return there.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return there.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -467,7 +467,7 @@ def _near(blocks: DataFrame, sets: DataFrame) -> DataFrame:
                 rows.append((np.packbits(np.bincount((h % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes(), len(h)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["node", "sketch", "size"])
 
-    sketched = written(sets.join(blocks.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(sketch, "node long, sketch binary, size long"), "sketches")
+    sketched = written(sets.join(blocks.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(lean(sketch), "node long, sketch binary, size long"), "sketches")
     rows = blocks.join(sketched, "node")
     count = F.ceil(F.col("of") / BLOCK).cast("int")
     # block i meets j >= i: each row goes to as many places as its bucket has blocks

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import _slices
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 
 #: Labelled documents that the space and the neighbours come from, at most.
 SAMPLE = 4000
 #: Terms of the space, its dimensions, neighbours that vote, and documents compared at once.
-TERMS, DIMENSIONS, NEIGHBOURS, BLOCK = 512, 16, 25, 2048
+TERMS, DIMENSIONS, NEIGHBOURS, BLOCK = 512, 16, 25, 512
 #: The power of the similarity that weighs a vote.
 SHARPNESS = 16
 #: Token shapes that a worker remembers, and the longest tokens of which it does.
@@ -180,7 +180,7 @@ def score(docs: DataFrame, space: Space, text_col: str = "text", out_col: str =
                 scores = shared.value.scores([terms(t) for t in part.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

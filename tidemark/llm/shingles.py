@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SIZE = 5
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 
 U = np.uint64
 _MUL = 0x9E3779B97F4A7C15

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import _slices
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 from tidemark.llm.quality import held_out, labelled_sample
 
 #: Labelled documents that the lexicon and the model are learned from, at most.
@@ -309,7 +309,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             for part in _slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(text_col).to_pylist()))], [*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
