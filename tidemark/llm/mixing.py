@@ -12,9 +12,10 @@ shards of fixed length. Thereby the numbers of blocks that a shard gets from eac
 multinomial draw given the totals: drawn for each shard alone, they would miss the targets of small
 sources by some percent and exceed the cap of those that reach it.
 
-Permutations are swap-or-not shuffles: in each round a number and its mirror image (key - x) mod n
-change places if a hash of the larger one says so. That is a permutation of any range of numbers, of
-which each row computes its own value, without sorting or lists. Blocks and slots meet by a join on
+Permutations alternate two steps that permute any range of numbers: x -> (x * prime + key) mod n, with
+a prime that doesn't divide n, and a swap-or-not round, in which x and its mirror image (key - x) mod n
+change places if a hash of the larger one says so. Each row computes its own value, without sorting or
+lists. A source's last block, if it is short, leads each pass. Slots and blocks meet by a join on
 (source, block), whose keys are spread evenly however large a source is.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 #: Words of a block; slots of an output shard; rounds of a permutation.
-BLOCK, SHARD, ROUNDS = 128, 4096, 24
+BLOCK, SHARD, ROUNDS = 128, 4096, 6
 #: Weights of the sources in order, repeating; the mix's size as a multiple of all words; how often a source may be taken at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Parts into which the documents of a source are packed side by side; slots that are made together.
@@ -39,25 +40,35 @@ SMALL = 4 << 20
 PRIME, SEED = (1 << 31) - 1, 13
 
 
-def _keys(rounds: int = ROUNDS) -> list[tuple[int, int, int, int]]:
-    """For each round three factors and a term of its hash."""
-    rng = random.Random(SEED)
-    return [tuple(rng.randrange(1 << 20, PRIME) for _ in range(4)) for _ in range(rounds)]
+def _primes(n: int, below: int = 1 << 26) -> list[int]:
+    """The n largest primes below a bound; a number of a range up to 2^36 times one of them fits into 64 bits."""
+    out, x = [], below - 1
+    while len(out) < n:
+        if all(x % k for k in range(3, int(x**0.5) + 1, 2)):
+            out.append(x)
+        x -= 2
+    return out
 
 
-def shuffled(x: Column, n: Column, salt: Column, inverse: bool = False) -> Column:
-    """The place of ``x`` among the numbers below ``n`` after a pseudorandom permutation, one for each ``salt``; or back."""
-    keys = _keys()[::-1] if inverse else _keys()
-    rounds = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abcd", key, strict=True))) for key in keys))
+def _keys(rounds: int = ROUNDS) -> list[tuple[int, int, int, int, int]]:
+    """For each round two primes, the second for ranges that the first divides, and three factors."""
+    rng, primes = random.Random(SEED), _primes(rounds + 1)
+    return [(primes[i], primes[i + 1], *(rng.randrange(1 << 20, PRIME) for _ in range(3))) for i in range(rounds)]
 
-    def turn(now: Column, key: Column) -> Column:
-        mirror = F.pmod((salt % PRIME * key["a"] + key["d"]) % PRIME * key["b"] - now, n)
-        larger = F.greatest(now, mirror)
-        mixed = ((larger % PRIME).bitwiseXOR(F.shiftright(larger, 17)) % PRIME * key["c"] + salt % PRIME * key["b"] % PRIME + key["d"]) % PRIME
-        again = mixed.bitwiseXOR(F.shiftright(mixed, 15)) % PRIME * key["a"] % PRIME
-        return F.when(F.shiftright(again, 14).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(now)
 
-    return F.aggregate(rounds, x.cast("long"), turn)
+def shuffled(df: DataFrame, name: str, x: Column, n: Column, salt: Column) -> DataFrame:
+    """``df`` with ``name``, the place of ``x`` among the numbers below ``n`` (at most 2^36) after a pseudorandom permutation, one for each ``salt``.
+
+    Each round is a projection of its own, so that all run as compiled code.
+    """
+    df = df.withColumns({name: x.cast("long"), "_n": F.greatest(n, F.lit(1)).cast("long"), "_salt": salt.cast("long") % PRIME})
+    for p, q, a, b, c in _keys():
+        df = df.withColumns({"_key": (F.col("_salt") * a + b) % PRIME, name: (F.col(name) * F.when(F.col("_n") % p == 0, q).otherwise(p) + F.col("_salt") * b % PRIME) % F.col("_n")})
+        df = df.withColumn("_mirror", F.pmod(F.col("_key") - F.col(name), F.col("_n")))
+        larger = F.greatest(name, "_mirror")
+        bit = F.shiftright((larger % PRIME * c + F.col("_key")) % PRIME, 15).bitwiseAND(F.lit(1))
+        df = df.withColumn(name, F.when(bit == 1, F.col("_mirror")).otherwise(F.col(name)))
+    return df.drop("_n", "_salt", "_key", "_mirror")
 
 
 def n_words(text: Column) -> Column:
@@ -92,21 +103,18 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def slotted(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``targets`` with blocks, their number; last, the words of the last one; slots; cut, the words of the last slot if it is cut; and first, the slots of sources before."""
+    """``targets`` with full and tail, the number of full blocks and the words of a last, short one; blocks, both; slots; cut, the words of the last slot if it is cut; and first, the slots of sources before."""
     size, words = F.col("source_size"), F.floor("target")
-    rows = sources.filter(size > 0).withColumns({"blocks": F.ceil(size / block).cast("long"), "_passes": F.floor(words / size), "_rest": F.pmod(words, size)})
-    rows = rows.withColumn("last", size - (F.col("blocks") - 1) * block)
-    # where the pass that isn't whole takes the last, short block
-    rows = rows.withColumns({"_short": shuffled(F.col("blocks") - 1, F.col("blocks"), _salt(F.col("number"), F.col("_passes")), inverse=True), "_least": F.ceil(F.col("_rest") / block)})
-    missing = lambda slots: F.when(F.col("_short") < slots, block - F.col("last")).otherwise(0)
-    rows = rows.withColumn("_some", F.when(F.col("_least") * block - missing(F.col("_least")) < F.col("_rest"), F.col("_least") + 1).otherwise(F.col("_least")))
-    before = F.col("_some") - 1
-    rows = rows.withColumns({
-        "slots": F.col("_passes") * F.col("blocks") + F.col("_some"),
-        "cut": F.when(F.col("_some") > 0, F.col("_rest") - (before * block - missing(before))),
-    })
+    rows = sources.filter(size > 0).withColumns({"full": F.floor(size / block), "tail": F.pmod(size, F.lit(block)), "_passes": F.floor(words / size), "_rest": F.pmod(words, size)})
+    # the pass that isn't whole: its first slot is the short block, if there is one
+    lead = F.col("tail") > 0
+    after = F.when(lead, F.col("_rest") - F.col("tail")).otherwise(F.col("_rest"))
+    more = F.greatest(F.ceil(after / block), F.lit(0))
+    rows = rows.withColumns({"blocks": F.col("full") + F.when(lead, 1).otherwise(0), "_some": F.when(F.col("_rest") > 0, more + F.when(lead, 1).otherwise(0)).otherwise(0)})
+    cut = F.when(after <= 0, F.col("_rest")).otherwise(after - (more - 1) * block)
+    rows = rows.withColumns({"slots": F.col("_passes") * F.col("blocks") + F.col("_some"), "cut": F.when(F.col("_some") > 0, cut)})
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("first", F.coalesce(F.sum("slots").over(upto), F.lit(0))).drop("_passes", "_rest", "_short", "_least", "_some")
+    return rows.withColumn("first", F.coalesce(F.sum("slots").over(upto), F.lit(0))).drop("_passes", "_rest", "_some")
 
 
 def _salt(number: Column, passed: Column) -> Column:
@@ -122,15 +130,18 @@ def drawn(slotted_: DataFrame, total: int, block: int = BLOCK, shard: int = SHAR
     rows = rows.repartition(max(8, total >> 18), "number", "_chunk")  # by number, as AQE would join the few rows to one task
     rows = rows.withColumn("_k", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("slots"), (F.col("_chunk") + 1) * CHUNK) - 1)))
     passed, within = F.floor(F.col("_k") / F.col("blocks")), F.pmod(F.col("_k"), F.col("blocks"))
-    rows = rows.withColumn("block", shuffled(within, F.col("blocks"), _salt(F.col("number"), passed)))
-    length = F.when(F.col("block") == F.col("blocks") - 1, F.col("last")).otherwise(block)
-    place = shuffled(F.col("first") + F.col("_k"), F.lit(total).cast("long"), F.lit(0).cast("long"))
-    rows = rows.withColumn("take", F.when((F.col("_k") == F.col("slots") - 1) & F.col("cut").isNotNull(), F.col("cut")).otherwise(length)).withColumn("_place", place)
+    lead = F.when(F.col("tail") > 0, 1).otherwise(0)
+    rows = rows.withColumn("_within", within - lead)
+    rows = shuffled(rows, "block", F.col("_within"), F.col("full"), _salt(F.col("number"), passed))
+    rows = rows.withColumn("block", F.when(F.col("_within") < 0, F.col("full")).otherwise(F.col("block")))
+    length = F.when(F.col("_within") < 0, F.col("tail")).otherwise(block)
+    rows = rows.withColumn("take", F.when((F.col("_k") == F.col("slots") - 1) & F.col("cut").isNotNull(), F.col("cut")).otherwise(length))
+    rows = shuffled(rows, "_place", F.col("first") + F.col("_k"), F.lit(total), F.lit(0))
     return rows.select(F.floor(F.col("_place") / shard).alias("shard"), F.pmod("_place", F.lit(shard)).cast("int").alias("slot"), "number", "block", "take")
 
 
 def _part(doc_id: Column, size: Column) -> Column:
-    a, b, c, _ = _keys()[0]
+    _, _, a, b, c = _keys()[0]
     return F.pmod((F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(PRIME)) * a + size % PRIME * c) % PRIME * b % PRIME, F.lit(PARTS))
 
 
@@ -156,7 +167,8 @@ def joined(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
     rows = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     base = F.col("block") * block
     rows = rows.withColumns({"begin": F.greatest(F.col("at"), base) - base, "_end": F.least(F.col("at") + F.col("size"), base + block) - base})
-    rows = rows.join(slots, ["number", "block"])
+    # neither side has a bound, so none is broadcast, however small its estimate is
+    rows = rows.join(slots.hint("merge"), ["number", "block"])
     rows = rows.withColumns({"words": F.least("_end", "take") - F.col("begin"), "start": base + F.col("begin") - F.col("at")})
     return rows.filter("words > 0").drop("_end", "take")
 
@@ -179,7 +191,8 @@ def mix(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), blo
     placed = written(packed_words(sized, sources, small), "placed")
     slots = slotted(sources, block)
     total = slots.agg(F.sum("slots").alias("n")).first().n or 0
-    return placed, joined(placed, drawn(slots, max(1, total), block, shard), block)
+    # written, so that no filter of the join is pushed through the rounds of the permutations, each of which would repeat the one before
+    return placed, joined(placed, written(drawn(slots, max(1, total), block, shard), "slots"), block)
 
 
 def texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -204,22 +217,19 @@ def taken(placed: DataFrame, mixed: DataFrame) -> DataFrame:
     return placed.join(sums, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_shard")
 
 
-def _turns(name: str, source: str, x: str, n: str, salt: str, inverse: bool = False) -> str:
+def _turns(name: str, source: str, x: str, n: str, salt: str) -> str:
     """Common table expressions that end in ``name``: ``source`` with v, the value of ``shuffled``."""
-    keys = _keys()[::-1] if inverse else _keys()
-    steps, now = [f"{name}_0 AS (SELECT *, CAST({x} AS BIGINT) AS v, CAST({n} AS BIGINT) AS vn, CAST({salt} AS BIGINT) AS vs FROM {source})"], f"{name}_0"
-    for i, (a, b, c, d) in enumerate(keys):
-        mirror = f"((((vs % {PRIME} * {a} + {d}) % {PRIME} * {b} - v) % vn) + vn) % vn"
-        mixed = f"(xor(g % {PRIME}, g >> 17) % {PRIME} * {c} + vs % {PRIME} * {b} % {PRIME} + {d}) % {PRIME}"
-        following = name if i == len(keys) - 1 else f"{name}_{i + 1}"
-        steps.append(f"{following} AS (SELECT * EXCLUDE (m, g, h) REPLACE (CASE WHEN ((xor(h, h >> 15) % {PRIME} * {a} % {PRIME}) >> 14) & 1 = 1 THEN m ELSE v END AS v) FROM (SELECT *, {mixed} AS h FROM (SELECT *, greatest(v, m) AS g FROM (SELECT *, {mirror} AS m FROM {now}))))")
+    steps, now = [f"{name}_0 AS (SELECT *, CAST({x} AS BIGINT) AS v, CAST(greatest({n}, 1) AS BIGINT) AS vn, CAST({salt} AS BIGINT) AS vs FROM {source})"], f"{name}_0"
+    for i, (p, q, a, b, c) in enumerate(_keys()):
+        key, turned = f"(vs * {a} + {b}) % {PRIME}", f"(v * (CASE WHEN vn % {p} = 0 THEN {q} ELSE {p} END) + vs * {b} % {PRIME}) % vn"
+        following = name if i == ROUNDS - 1 else f"{name}_{i + 1}"
+        steps.append(f"{following} AS (SELECT * EXCLUDE (m, y) REPLACE (CASE WHEN ((greatest(v, m) % {PRIME} * {c} + y) % {PRIME} >> 15) & 1 = 1 THEN m ELSE v END AS v) FROM (SELECT *, ((y - v) % vn + vn) % vn AS m FROM (SELECT * REPLACE ({turned} AS v), {key} AS y FROM {now})))")
         now = following
     return ",\n".join(steps)
 
 
 def _oracle(block: int = BLOCK, shard: int = SHARD) -> str:
-    a, b, c, _ = _keys()[0]
-    missing = lambda slots: f"(CASE WHEN v < {slots} THEN {block} - last ELSE 0 END)"
+    _, _, a, b, c = _keys()[0]
     return rf"""WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number, source_size * {MOST} AS cap FROM s0),
@@ -228,15 +238,15 @@ s3 AS (SELECT *, row_number() OVER o AS p, (sum(source_size) OVER ())::DOUBLE *
   (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS weights FROM s2 WINDOW o AS (ORDER BY cap::DOUBLE / weight, number)),
 lv AS (SELECT min(p) AS p, arg_min(rest, p) AS rest, arg_min(weights, p) AS weights FROM s3 WHERE rest * weight < cap * weights),
 s AS (SELECT source, number, source_size, CASE WHEN s3.p >= lv.p THEN lv.rest * weight / lv.weights ELSE cap::DOUBLE END AS target FROM s3, lv),
-b0 AS (SELECT *, (source_size + {block - 1}) // {block} AS blocks, CAST(floor(target) AS BIGINT) // source_size AS passes, CAST(floor(target) AS BIGINT) % source_size AS part FROM s WHERE source_size > 0),
-{_turns('b1', 'b0', 'blocks - 1', 'blocks', f'number * {MOST} + passes + 1', True)},
-b2 AS (SELECT * EXCLUDE (vn, vs), source_size - (blocks - 1) * {block} AS last, (part + {block - 1}) // {block} AS least FROM b1),
-b3 AS (SELECT *, least + (CASE WHEN least * {block} - {missing('least')} < part THEN 1 ELSE 0 END) AS extra FROM b2),
-b AS (SELECT number, blocks, last, passes * blocks + extra AS slots, CASE WHEN extra > 0 THEN part - ((extra - 1) * {block} - {missing('extra - 1')}) END AS cut,
+b0 AS (SELECT *, source_size // {block} AS whole, source_size % {block} AS tail, CAST(floor(target) AS BIGINT) // source_size AS passes, CAST(floor(target) AS BIGINT) % source_size AS part FROM s WHERE source_size > 0),
+b1 AS (SELECT *, CASE WHEN tail > 0 THEN 1 ELSE 0 END AS lead_, part - tail AS behind FROM b0),
+b2 AS (SELECT *, whole + lead_ AS blocks, greatest((behind + {block - 1}) // {block}, 0) AS more FROM b1),
+b3 AS (SELECT *, CASE WHEN part > 0 THEN more + lead_ ELSE 0 END AS extra FROM b2),
+b AS (SELECT number, blocks, whole, tail, lead_, passes * blocks + extra AS slots, CASE WHEN extra > 0 THEN CASE WHEN behind <= 0 THEN part ELSE behind - (more - 1) * {block} END END AS cut,
   coalesce(sum(passes * blocks + extra) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, sum(passes * blocks + extra) OVER () AS total FROM b3),
 k0 AS (SELECT *, unnest(range(slots)) AS k FROM b),
-{_turns('k1', 'k0', 'k % blocks', 'blocks', f'number * {MOST} + k // blocks + 1')},
-k2 AS (SELECT number, v AS block, first + k AS place, total, CASE WHEN k = slots - 1 AND cut IS NOT NULL THEN cut WHEN v = blocks - 1 THEN last ELSE {block} END AS take FROM k1),
+{_turns('k1', 'k0', 'k % blocks - lead_', 'whole', f'number * {MOST} + k // blocks + 1')},
+k2 AS (SELECT number, CASE WHEN k % blocks < lead_ THEN whole ELSE v END AS block, first + k AS place, total, CASE WHEN k = slots - 1 AND cut IS NOT NULL THEN cut WHEN k % blocks < lead_ THEN tail ELSE {block} END AS take FROM k1),
 {_turns('k', 'k2', 'place', 'total', '0')},
 q0 AS (SELECT row_number() OVER () AS r, d.doc_id, d.size, s.number, s.source_size, s.target, ((((coalesce(d.doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME} * {a} + d.size % {PRIME} * {c}) % {PRIME} * {b} % {PRIME}) % {PARTS} AS part FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 q AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY number ORDER BY part, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun FROM q0),
