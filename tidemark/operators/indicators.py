@@ -62,8 +62,12 @@ def features(candles: DataFrame, dialect: Dialect, interval_ms: int, now: Column
     One exchange carries all bounded frames. Open bars are kept (see ``quality``). With ``now``
     (ms), a bar that ended more than two intervals before is stale.
     """
+    return in_blocks(blocked(numbered(candles), HALO), dialect, interval_ms, now)
+
+
+def in_blocks(df: DataFrame, dialect: Dialect, interval_ms: int, now: Column | None = None) -> DataFrame:
+    """``features`` of bars that have seq, block and own: the own ones, of which each block holds the HALO bars before."""
     stale = None if now is None else now - F.col("close_time") > 2 * interval_ms
-    df = blocked(numbered(candles), HALO)
     df = df.withColumn("true_range", true_range())
     step = F.col("open_time") - F.lag("open_time").over(series())
     df = df.withColumns({"_gap": F.when(step > 1.5 * interval_ms, 1).otherwise(0), "_open": F.when(F.col("is_closed"), 0).otherwise(1), "_dup": F.when(step == 0, 1).otherwise(0)})

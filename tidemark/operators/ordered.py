@@ -74,3 +74,14 @@ def before(df: DataFrame, keys: list[str], order: str, value: Column, name: str,
     last = last.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_last"))
     inner = Window.partitionBy(*keys, "_chunk").orderBy(order, "_tie")
     return df.join(last, [*keys, "_chunk"]).withColumn(name, F.coalesce(F.lag("_value").over(inner), "_last")["v"]).drop("_chunk", "_tie", "_value", "_last")
+
+
+def followed(starts: DataFrame, bars: DataFrame, ahead: int, key: str = "symbol") -> DataFrame:
+    """Each of ``starts`` (with seq) beside each of the ``ahead`` rows of ``bars`` (seq and others) after it: their columns, bar (a struct) and at, the bar's seq.
+
+    An equi-join on buckets as wide as ``ahead``: a start meets two of them, whatever the length of a series.
+    """
+    size = F.lit(ahead)
+    left = starts.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("seq") + 1) / size), F.floor((F.col("seq") + size) / size))))
+    right = bars.select(key, F.floor(F.col("seq") / size).alias("_bucket"), F.col("seq").alias("at"), F.struct(*(c for c in bars.columns if c not in (key, "seq"))).alias("bar"))
+    return left.join(right, [key, "_bucket"]).filter((F.col("at") > F.col("seq")) & (F.col("at") <= F.col("seq") + size)).drop("_bucket")

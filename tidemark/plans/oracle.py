@@ -22,10 +22,18 @@ candles AS (SELECT symbol, open_time, open_time + {interval} - 1 AS close_time,
   CAST(count(*) AS DOUBLE) AS volume, {r6('sum(price)')} AS quote_volume, CAST(count(*) AS INTEGER) AS trades, true AS is_closed FROM c0 GROUP BY ALL)"""
 
 
-def features(d: Dialect, interval: int = H4) -> str:
+def rough(interval: int) -> str:
+    """Unclean bars: one symbol's price is coarse, so that it stands still for long; busy bars are open; hours without events are gaps."""
+    text = candles(interval).replace("value AS price", "CASE WHEN event_type = 'error' THEN floor(value / 200) * 200 ELSE value END AS price")
+    return text.replace("true AS is_closed", "count(*) < 7 AS is_closed")
+
+
+def features(d: Dialect, interval: int = H4, bars: str | None = None) -> str:
+    """``bars`` are other candles than those of the events, with open ones among them."""
     frame = f"rows between {d.quality_bars - 1} preceding and current row" if d.quality_bars else "rows between unbounded preceding and current row"
     pairs = f"rows between {d.quality_bars - 2} preceding and current row" if d.quality_bars else frame
-    return candles(interval) + f""",
+    opened = f" - 20 * coalesce(sum(CASE WHEN is_closed THEN 0 ELSE 1 END) OVER (w {frame}), 0)" if bars else ""
+    return (bars or candles(interval)) + f""",
 f0 AS (SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY symbol) AS bars, lag(close) OVER w AS previous, lag(open_time) OVER w AS previous_time, lag(close, 9) OVER w AS close9,
   first(close) OVER (w ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS close15, min(low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS structure_low, max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS structure_high,
   avg(quote_volume) OVER (w ROWS BETWEEN {d.volume_bars} PRECEDING AND 1 PRECEDING) AS base FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
@@ -35,7 +43,7 @@ feat AS (SELECT *, coalesce(avg(true_range) OVER (w ROWS BETWEEN 13 PRECEDING AN
   CASE WHEN coalesce(base, 0) = 0 THEN CAST({d.volume_default} AS DOUBLE) ELSE quote_volume / base END AS volume_ratio,
   CASE WHEN close15 = 0 THEN 0.0 ELSE (close - close15) / close15 * 100 END AS move,
   CASE WHEN close >= close9 THEN 'LONG' ELSE 'SHORT' END AS direction,
-  least(100.0, greatest(0.0, 100.0 - 10 * coalesce(sum(gap) OVER (w {pairs if d.quality_bars else frame}), 0))) AS quality
+  least(100.0, greatest(0.0, 100.0{opened} - 10 * coalesce(sum(gap) OVER (w {pairs if d.quality_bars else frame}), 0))) AS quality
   FROM f1 WINDOW w AS (PARTITION BY symbol ORDER BY open_time))"""
 
 
@@ -64,8 +72,8 @@ ev AS (SELECT *, CASE WHEN eligible THEN 'planned' WHEN score >= 65 THEN 'watchi
   CASE WHEN volume_ratio >= 2 THEN 'expansion' ELSE 'trend' END AS market_regime FROM s5)"""
 
 
-def evaluated(d: Dialect = HISTORICAL, interval: int = H4) -> str:
-    return features(d, interval) + f""",
+def evaluated(d: Dialect = HISTORICAL, interval: int = H4, bars: str | None = None) -> str:
+    return features(d, interval, bars) + f""",
 j AS (SELECT a.*, a.move - b.move AS relative_strength, b.seq AS benchmark_seq FROM feat a JOIN feat b ON a.open_time = b.open_time AND b.symbol = 'view'
   WHERE a.symbol <> 'view' AND a.seq >= {d.least_seq} AND b.seq >= {d.least_seq})""" + scored(d, "j")
 
@@ -76,10 +84,10 @@ l AS (SELECT * FROM feat WHERE seq = bars - 1 AND bars > {d.least_seq}),
 j AS (SELECT a.*, a.move - b.move AS relative_strength FROM l a, l b WHERE b.symbol = 'view' AND a.symbol <> 'view')""" + scored(d, "j")
 
 
-def outcomes(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4) -> str:
+def outcomes(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4, bars: str | None = None) -> str:
     up = lambda col: f"(CASE WHEN k.direction = 'LONG' THEN b.high >= k.{col} ELSE b.low <= k.{col} END)"
     sl = "(CASE WHEN k.direction = 'LONG' THEN b.low <= k.stop_loss ELSE b.high >= k.stop_loss END)"
-    return evaluated(d, interval) + f""",
+    return evaluated(d, interval, bars) + f""",
 k AS (SELECT * FROM ev WHERE eligible AND seq < bars - {horizon}),
 e AS (SELECT k.symbol, k.seq, min(b.seq) AS entry FROM k JOIN feat b ON b.symbol = k.symbol AND b.seq > k.seq AND b.seq <= k.seq + {horizon} AND b.low <= k.entry_high AND b.high >= k.entry_low GROUP BY ALL),
 x AS (SELECT k.symbol, k.seq, min(b.seq) AS hit FROM k JOIN e USING (symbol, seq) JOIN feat b ON b.symbol = k.symbol AND b.seq >= e.entry AND b.seq <= k.seq + {horizon} AND ({sl} OR {up('tp1')} OR {up('tp2')} OR {up('tp3')}) GROUP BY ALL),
@@ -94,8 +102,8 @@ o1 AS (SELECT *, CAST(CASE final_status WHEN 'hit_sl' THEN -1 WHEN 'hit_tp1' THE
 outc AS (SELECT * EXCLUDE (r0), {js(f'r0 - sign(r0) * (CAST({d.fee} AS DOUBLE) + CAST({d.slippage} AS DOUBLE)) * 2')} AS final_r FROM o1)"""
 
 
-def trades(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4) -> str:
-    return outcomes(d, horizon, interval).replace("c0 AS", "RECURSIVE c0 AS", 1) + f""",
+def trades(d: Dialect = HISTORICAL, horizon: int = 24, interval: int = H4, bars: str | None = None) -> str:
+    return outcomes(d, horizon, interval, bars).replace("c0 AS", "RECURSIVE c0 AS", 1) + f""",
 st AS (SELECT o.*, s.step FROM outc o, (SELECT unnest([1, 2, 4]) AS step) s WHERE (seq - {d.least_seq}) % s.step = 0),
 pick AS (SELECT step, symbol, min(seq) AS seq FROM st GROUP BY ALL
   UNION ALL SELECT p.step, p.symbol, (SELECT min(n.seq) FROM st n WHERE n.step = p.step AND n.symbol = p.symbol AND n.seq >= p.seq + 1 + c.duration) AS seq
@@ -108,12 +116,12 @@ SYMBOLS = ("view", "purchase", "signup", "click", "error")
 PLACE = f"list_position([{', '.join(repr(s) for s in SYMBOLS)}], symbol)"
 
 
-def summary(keys: str, where: str = "true", horizon: int = 24, interval: int = H4) -> str:
+def summary(keys: str, where: str = "true", horizon: int = 24, interval: int = H4, d: Dialect = HISTORICAL, bars: str | None = None) -> str:
     k = keys
     over = f"PARTITION BY {k} ORDER BY step, {PLACE}, seq"
     gains, losses = "sum(CASE WHEN final_r > 0 THEN final_r ELSE 0.0 END)", "abs(sum(CASE WHEN final_r < 0 THEN final_r ELSE 0.0 END))"
     mean = lambda c: js(f"floor(sum({c}) * 1e6 + 0.5) / 1e6 / count(*)")
-    return f"""WITH {trades(horizon=horizon, interval=interval)},
+    return f"""WITH {trades(d, horizon, interval, bars)},
 t AS (SELECT * FROM trades WHERE {where}),
 base AS (SELECT {k}, count(*) AS trades, {js('count_if(final_r > 0) / CAST(count(*) AS DOUBLE) * 100')} AS win_rate, {js('count_if(entry_hit) / CAST(count(*) AS DOUBLE) * 100')} AS entry_fill_rate,
   {mean('final_r')} AS avg_r, {js('sum(final_r)')} AS total_r, {js('median(final_r)')} AS median_r, {js(f'CASE WHEN {losses} = 0 THEN {gains} ELSE {gains} / {losses} END')} AS profit_factor,
