@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog as base
 from tidemark.dialect import HISTORICAL
-from tidemark.operators import alerts, breakout, indicators, lifecycle, metrics, propagate, readmodel, state
+from tidemark.operators import alerts, asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, readmodel, state
+from tidemark.operators.ordered import numbered
 from tidemark.plans import historical, live, oracle
-from tidemark.shared import new_path
+from tidemark.shared import new_path, written
 from tidemark.sources import candles as source
+from tidemark.streaming import candles as streaming
 from tidemark.streaming import keyed
+from tidemark.streaming import outcomes as later
 
 HOUR, BENCHMARK, SYMBOLS = 3_600_000, base.BENCHMARK, base.SYMBOLS
 #: Bars of an hour, of which some are missing, open or flat; quality over half a day.
@@ -242,6 +245,148 @@ def stream_keyed_log(spark, d):
     return spark.read.schema(keyed.SIGNAL).parquet(f"{path}/log")
 
 
+# order statistics, joins in time
+
+SPANS = (7, 30, 90)
+_METRICS = base._METRICS.replace(oracle.candles(), oracle.candles(HOUR)).replace(f"open_time // {base.H4}", f"open_time // {HOUR}")
+
+
+@query(_METRICS + " SELECT a.symbol, a.open_time, " + ", ".join(f"{oracle.js(f'count_if(b.{v} <= a.{v} AND b.open_time >= a.open_time - {d * 86_400_000}) / CAST(count_if(b.open_time >= a.open_time - {d * 86_400_000}) AS DOUBLE) * 100')} AS {v}_percentile_{d}d" for v in ("funding_rate", "open_interest") for d in SPANS) + " FROM m a JOIN m b ON a.symbol = b.symbol AND b.open_time <= a.open_time GROUP BY ALL")
+def metric_percentiles(spark, d):
+    rate = ((F.col("trades") * 7 + F.floor(F.col("open_time") / HOUR)) % 50 - 25).cast("double") * F.lit(1e-4)
+    rows = source.from_events(spark, d, HOUR).select("symbol", "open_time", F.col("quote_volume").alias("open_interest"), rate.alias("funding_rate"))
+    return orderstat.percentiles(rows, ["funding_rate", "open_interest"], list(SPANS)).drop("open_interest", "funding_rate")
+
+
+_QUOTES = "q AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS quoted_at, arg_max(value, event_id) AS rate, max(event_id) AS quote FROM events WHERE event_id % 7 = 0 AND value IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {oracle.candles(HOUR)}, {_QUOTES} SELECT c.symbol, c.open_time, c.close, q.quoted_at, q.rate, q.quote FROM candles c ASOF LEFT JOIN q ON c.symbol = q.symbol AND c.open_time >= q.quoted_at")
+def quotes_asof(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 7 = 0 and value is not null")
+    quotes = events.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("quoted_at"), F.col("value").alias("rate"), F.col("event_id").alias("quote"))
+    return asof.asof(source.from_events(spark, d, HOUR).select("symbol", "open_time", "close"), quotes, ["symbol"], "open_time", "quoted_at", "quote")
+
+
+_ACTIVE = f"{oracle.trades()}, active AS (SELECT CAST(step AS INTEGER) AS step, symbol, direction, open_time AS begins, open_time + duration * {base.H4} AS ends FROM trades)"
+
+
+def _active(spark, d):
+    return base._trades(spark, d).select("step", "symbol", "direction", F.col("open_time").alias("begins"), (F.col("open_time") + F.col("duration") * base.H4).alias("ends"))
+
+
+@query(f"""WITH {_ACTIVE}, s AS (SELECT step, begins AS "at", 1 AS n, CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END AS net FROM active UNION ALL SELECT step, ends + 1, -1, CASE WHEN direction = 'LONG' THEN -1 ELSE 1 END FROM active),
+t AS (SELECT step, "at", sum(n) AS n, sum(net) AS net FROM s GROUP BY ALL) SELECT step, "at", CAST(sum(n) OVER w AS BIGINT) AS trades_active, CAST(sum(net) OVER w AS BIGINT) AS net_active FROM t WINDOW w AS (PARTITION BY step ORDER BY "at")""")
+def trade_exposure(spark, d):
+    return asof.exposure(_active(spark, d), "begins", "ends", {"trades": F.lit(1), "net": F.when(F.col("direction") == "LONG", 1).otherwise(-1)}, ["step"])
+
+
+@query(f"""WITH {_ACTIVE} SELECT a.step, a.symbol AS one, b.symbol AS other, count(*) AS pairs, CAST(sum(least(a.ends, b.ends) - greatest(a.begins, b.begins) + 1) AS BIGINT) AS common_ms
+FROM active a JOIN active b ON a.step = b.step AND a.symbol < b.symbol AND a.begins <= b.ends AND b.begins <= a.ends GROUP BY ALL""")
+def trades_together(spark, d):
+    rows = written(_active(spark, d), "active")
+    met = asof.overlapping(rows, rows, "begins", "ends", 24 * base.H4).filter((F.col("l.step") == F.col("r.step")) & (F.col("l.symbol") < F.col("r.symbol")))
+    common = F.least("l.ends", "r.ends") - F.greatest("l.begins", "r.begins") + 1
+    return met.groupBy(F.col("l.step").alias("step"), F.col("l.symbol").alias("one"), F.col("r.symbol").alias("other")).agg(F.count("*").alias("pairs"), F.sum(common).alias("common_ms"))
+
+
+# all summaries in one pass
+
+_SETS = {
+    "by_polling": (["polling_minutes"], "true"),
+    "optimized_by_polling": (["polling_minutes"], base.STRONG),
+    "by_symbol": (["symbol"], base.FIRST),
+    "optimized_by_symbol": (["symbol"], f"{base.FIRST} AND {base.STRONG}"),
+    "by_level": (["level"], base.FIRST),
+    "by_direction": (["direction"], base.FIRST),
+    "by_symbol_direction": (["symbol", "direction"], base.FIRST),
+}
+_BY = {"polling_minutes": "INTEGER", "symbol": "VARCHAR", "level": "VARCHAR", "direction": "VARCHAR"}
+_MEASURED = "trades, win_rate, entry_fill_rate, avg_r, total_r, median_r, profit_factor, avg_mfe, avg_mae, avg_score, status_counts, max_drawdown, max_losing_streak, rank"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS grouping, {', '.join(k if k in keys else f'CAST(NULL AS {kind}) AS {k}' for k, kind in _BY.items())}, {_MEASURED} FROM ({oracle.summary(', '.join(keys), where)})" for name, (keys, where) in _SETS.items()))
+def summary_sets(spark, d):
+    sets = {name: (keys, F.expr(where)) for name, (keys, where) in _SETS.items()}
+    return metrics.summary_sets(written(base._trades(spark, d), "trades"), sets, symbols=SYMBOLS)
+
+
+# moving and session windows
+
+
+def _batch_ticks(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("tie"), F.col("value").alias("price"))
+
+
+HOP = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trades"]
+_T0 = "t0 AS (SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ms, event_id AS tie, value AS price FROM events WHERE value IS NOT NULL)"
+_HOPPED = f"""WITH {_T0}, h AS (SELECT *, unnest(range(4)) AS back FROM t0), g AS (SELECT *, CAST(floor(ms / 900000.0) * 900000 AS BIGINT) - back * 900000 AS open_time FROM h)
+SELECT symbol, open_time, open_time + 3599999 AS close_time, arg_min(price, (ts, tie)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, tie)) AS close, CAST(count(*) AS DOUBLE) AS volume, {oracle.r6('sum(price)')} AS quote_volume, CAST(count(*) AS INTEGER) AS trades FROM g GROUP BY symbol, open_time"""
+_SESSIONS = f"""WITH {_T0}, n AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS begins FROM t0 WINDOW w AS (PARTITION BY symbol ORDER BY ts, tie)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY symbol ORDER BY ts, tie) AS run FROM n) SELECT symbol, min(ms) AS "start", max(ms) + 7200000 AS "end", count(*) AS ticks, min(price) AS low, max(price) AS high FROM r GROUP BY symbol, run"""
+#: What a stream has closed by its end: windows up to the newest tick less the time that ticks may be late.
+_UNTIL = "(SELECT epoch_us(max(ts)) // 1000 - 1800000 FROM events WHERE value IS NOT NULL)"
+
+
+@query(_HOPPED)
+def hopping_bars(spark, d):
+    return streaming.hopping(_batch_ticks(spark, d)).select(*HOP)
+
+
+@query(_SESSIONS)
+def session_runs(spark, d):
+    return streaming.sessions(_batch_ticks(spark, d))
+
+
+def _streamed(spark, d, made, name):
+    """The rows that a stream in append mode gives over the slices, stopped and started again between two."""
+    path = new_path(spark, name)
+    arrive, ticks = _arriving(spark, d, path)
+    for first, end in ((0, RESTART), (RESTART, SLICES)):
+        arrive(first, end)
+        rows = made(ticks())
+        rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@query(f"SELECT * FROM ({_HOPPED}) WHERE close_time + 1 <= {_UNTIL}")
+def stream_hopping_bars(spark, d):
+    return _streamed(spark, d, streaming.hopping, "hopping").select(*HOP)
+
+
+@query(f'SELECT * FROM ({_SESSIONS}) WHERE "end" <= {_UNTIL}')
+def stream_session_runs(spark, d):
+    return _streamed(spark, d, streaming.sessions, "sessions")
+
+
+# outcomes as a stream
+
+
+@query(f"WITH {oracle.outcomes()} SELECT {base._OUT.replace('level, score, ', '')} FROM outc")
+def stream_outcomes(spark, d):
+    path = new_path(spark, "stream-outcomes")
+    bars = written(numbered(base._candles(spark, d)).select("symbol", "seq", "open_time", "high", "low"), "bars")
+    raised = written(historical.candidates(base._evaluated(spark, d), base.HIST).select(*later.PLAN, "open_time"), "raised")
+    low, high = bars.agg(F.min("open_time"), F.max("open_time")).first()
+    width = ((high - low) // SLICES + 1) if low is not None else 1
+    ahead = 10 * base.HIST.horizon * base.H4
+
+    def arrive(rows, name, first, end, last):
+        for i in range(first, end):
+            rows.filter(F.floor((F.col("open_time") - low) / width) == i).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+        if last and high is not None:  # the end of the stream: a later row of a symbol that the other stream doesn't have
+            rows.limit(1).withColumns({"symbol": F.lit(f"end of {name}"), "open_time": F.lit(high + ahead)}).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+
+    read = lambda rows, name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    for first, end in ((0, RESTART), (RESTART, SLICES)):
+        arrive(raised, "signals", first, end, end == SLICES)
+        arrive(bars, "bars", first, end, end == SLICES)
+        out = later.outcomes(read(raised, "signals"), read(bars, "bars"), base.HIST)
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    names = [c for c in base.OUTCOME if c not in ("level", "score")]
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select(*(_long(c) if c == "seq" else F.col(c) for c in names))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -114,6 +114,26 @@ def summary(trades: DataFrame, keys: list[str], scale: float | None = 1e4, symbo
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_r"), *keys)))
 
 
+def summary_sets(trades: DataFrame, sets: dict[str, tuple[list[str], Column]], scale: float | None = 1e4, symbols: tuple[str, ...] = DEFAULT_SYMBOLS) -> DataFrame:
+    """Several summaries in one pass: grouping (the name in ``sets``), the columns that any of them groups by (null where it doesn't), and the columns of ``summary``.
+
+    A trade is repeated for each set whose condition it meets. Sets are told apart by name and groups by
+    the text of their keys, so nulls don't clash; a rank counts the groups of one set. Order-free and
+    ordered measures both start from the repeated rows, so let ``trades`` be a stored table.
+    """
+    every = list(dict.fromkeys(k for keys, _ in sets.values() for k in keys))
+    ids = {name: F.struct(F.lit(name).alias("grouping"), *((F.col(k) if k in keys else F.lit(None).cast(trades.schema[k].dataType)).alias(f"by_{k}") for k in every)) for name, (keys, _) in sets.items()}
+    rows = trades.withColumn("_set", F.explode(F.array_compact(F.array(*(F.when(only, ids[name]) for name, (_, only) in sets.items())))))
+    rows = rows.withColumns({"grouping": F.col("_set.grouping"), "_group": F.to_json("_set")})
+    keys = ["grouping", "_group"]
+    own = F.first("_set").alias("_set")
+    base = rows.groupBy(*keys).agg(own, *(c.alias(k) for k, c in basic(scale).items()), status_counts().alias("status_counts"))
+    out = base.join(path_measures(rows, keys, scale, symbols), keys)
+    order = Window.partitionBy("grouping").orderBy(F.desc("total_r"), *(F.col(f"_set.by_{k}") for k in every))
+    out = out.withColumn("rank", F.row_number().over(order))
+    return out.select("grouping", *(F.col(f"_set.by_{k}").alias(k) for k in every), *(c for c in out.columns if c not in ("grouping", "_group", "_set")))
+
+
 def status_histogram(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.groupBy(*keys, "final_status").agg(F.count("*").alias("n"))
 

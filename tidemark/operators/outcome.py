@@ -27,6 +27,11 @@ def simulated(candidates: DataFrame, bars: DataFrame, horizon: int, dialect: Dia
     met = left.join(right, ["symbol", "_bucket"]).filter((F.col("_bar.at") > F.col("seq")) & (F.col("_bar.at") <= F.col("seq") + size))
     key = [c for c in candidates.columns]
     gathered = met.groupBy("symbol", "seq", "direction").agg(*(F.first(c).alias(c) for c in key if c not in ("symbol", "seq", "direction")), F.array_sort(F.collect_list("_bar")).alias("_bars"))
+    return folded(gathered, key, dialect)
+
+
+def folded(gathered: DataFrame, key: list[str], dialect: Dialect) -> DataFrame:
+    """The columns ``key`` of candidates and their outcomes, from ``_bars``, the bars (at, high, low) after each in order."""
     long = F.col("direction") == "LONG"
     unit = F.abs(F.col("entry_high") - F.col("stop_loss"))
     none = F.lit(None).cast("string")
