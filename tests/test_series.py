@@ -3,16 +3,18 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog, catalog_series
 from tidemark.dialect import HISTORICAL
-from tidemark.operators import breakout, indicators, lifecycle, propagate, state
+from tidemark.operators import asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, state
 from tidemark.operators.machine import Machine, replayed
 from tidemark.plans import historical, live
-from tidemark.streaming import keyed
+from tidemark.sources import candles as source
+from tidemark.streaming import candles, keyed
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 HOUR = catalog_series.HOUR
@@ -164,8 +166,6 @@ def test_keyed_stream_over_batches_restarts_and_late_ticks(spark, tmp_path):
     for part in parts[3:]:
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert sum(p["numInputRows"] > 0 for p in run().recentProgress) == 3
-    from tidemark.sources import candles as source
-
     df = spark.createDataFrame(ticks, kind)
     bars = source.bucketed(df, F.col("symbol"), F.timestamp_micros((F.col("s") * 1e6).cast("long")), F.col("tie"), F.col("price"), HOUR)
     closed = bars.join(bars.agg((F.max("close_time") - HOUR).alias("until")), F.col("close_time") <= F.col("until")).drop("until")
@@ -199,10 +199,144 @@ def test_every_branch_occurs(name):
         assert {*rows.outcome} == {*breakout.OUTCOMES, "pending"}
 
 
-@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "rough_summary", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes"])
+@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "rough_summary", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes", "metric_percentiles", "quotes_asof", "trade_exposure", "trades_together", "hopping_bars", "session_runs"])
 def test_same_as_sql(spark, name):
     want = sql(name, SF)
     got = catalog_series.queries()[name](spark, SF).toPandas()[want.columns.tolist()]
     plain = lambda x: int(x) if isinstance(x, float) and x.is_integer() else x
     rows = lambda d: sorted(repr([plain(x) for x in r]) for r in d.astype(object).where(pd.notna(d), None).values.tolist())
     assert rows(got) == rows(want)
+
+
+# order statistics, joins in time, windows, outcomes as a stream
+
+
+def test_wavelet_counts_are_those_of_a_loop():
+    rng = np.random.default_rng(1)
+    for n, kinds in ((1, 1), (50, 3), (400, 400), (300, 1)):
+        ranks = np.unique(rng.integers(0, kinds, n), return_inverse=True)[1].astype(np.int64)
+        low = rng.integers(0, n + 1, 200)
+        high = low + (rng.random(200) * (n + 1 - low)).astype(np.int64)
+        bound = rng.integers(0, ranks.max() + 2, 200)
+        want = [int((ranks[a:b] < k).sum()) for a, b, k in zip(low, high, bound, strict=True)]
+        assert orderstat.Wavelet(ranks).below(low, high, bound).tolist() == want
+    assert orderstat.Wavelet(np.empty(0, np.int64)).below(np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64)).tolist() == [0]
+
+
+def test_a_million_rows_of_ninety_days_take_seconds():
+    import time
+
+    x, span, began = np.random.default_rng(2).random(1_000_000), 90 * 96, time.time()
+    for at in range(0, len(x), span):  # the blocks of one series of 15 minutes
+        part = x[max(0, at - span) : at + span]
+        ranks = np.unique(part, return_inverse=True)[1].astype(np.int64)
+        own = np.arange(min(at, span), len(part))
+        out = orderstat.Wavelet(ranks).below(np.maximum(own - span, 0), own + 1, ranks[own] + 1)
+        assert (out >= 1).all()
+    assert time.time() - began < 60
+
+
+def test_percentiles_are_those_of_a_loop(spark):
+    rng, day = random.Random(8), 86_400_000
+    rows = [(s, rng.randrange(60 * 24) * HOUR, rng.choice([None, float("nan"), float("inf"), 1.0, 2.0, rng.random()]), float(rng.randint(0, 5))) for s in "AB" for _ in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, x double, y double")
+    got = orderstat.percentiles(df, ["x", "y"], [2, 9]).collect()
+    assert len(got) == len(rows)
+    good = lambda v: v is not None and np.isfinite(v)
+    for r in got:
+        for i, c in ((2, "x"), (3, "y")):
+            for d in (2, 9):
+                seen = [q[i] for q in rows if q[0] == r.symbol and r.open_time - d * day <= q[1] <= r.open_time and good(q[i])]
+                want = sum(v <= r[c] for v in seen) / len(seen) * 100 if good(r[c]) else None
+                assert r[f"{c}_percentile_{d}d"] == (None if want is None else pytest.approx(want, abs=1e-4))
+    assert orderstat.percentiles(df.limit(0), ["x"], [2]).count() == 0
+
+
+def test_asof_join_in_one_chunk_and_in_many(spark):
+    rng = random.Random(9)
+    left = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(3000)]), i) for i in range(400)] + [("a", 100, -1), ("a", 100, -1)]
+    right = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(3000)]), i, rng.choice([None, float(i)])) for i in range(150)]
+    a = spark.createDataFrame(left, "k string, t long, id long")
+    b = spark.createDataFrame(right, "k string, u long, tie long, rate double")
+
+    def want(within):
+        for k, t, i in left:
+            before = [r for r in right if r[0] == k and k is not None and t is not None and r[1] is not None and r[1] <= t]
+            best = max(before, key=lambda r: (r[1], r[2])) if before else None
+            yield (k, t, i, *(best[1:] if best and (within is None or t - best[1] <= within) else (None, None, None)))
+
+    for within in (None, 40):
+        for chunk in (50, 1 << 40):
+            got = asof.asof(a, b, ["k"], "t", "u", "tie", chunk, within)
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want(within)))
+    assert asof.asof(a, b.limit(0), ["k"], "t", "u", "tie").filter("u is null").count() == len(left)
+    assert asof.asof(a.limit(0), b, ["k"], "t", "u", "tie").count() == 0
+
+
+def test_overlaps_and_exposure_are_those_of_loops(spark):
+    rng = random.Random(10)
+    rows = [(i, s, s + rng.choice([0, 3, 40, 300]), rng.choice([1.0, -2.0])) for i in range(150) for s in [rng.randrange(-500, 2000)]]
+    df = spark.createDataFrame(rows, "id long, a long, b long, x double")
+    pairs = asof.overlapping(df, df, "a", "b", 50)
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.l.id, r.r.id) for r in pairs.collect())
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if p[1] <= q[2] and q[1] <= p[2])
+    for chunk in (30, 1 << 40):
+        for r in asof.exposure(df, "a", "b", {"n": F.lit(1), "x": F.col("x")}, chunk=chunk).collect():
+            active = [q for q in rows if q[1] <= r["at"] <= q[2]]
+            assert (r.n_active, r.x_active) == (len(active), sum(q[3] for q in active))
+
+
+def test_windows_and_unique_ticks_over_several_batches(spark, tmp_path):
+    rng = random.Random(11)
+    ticks = [("a", h * 60.0 + rng.random() * 50, i, float(rng.randint(1, 9))) for i, h in enumerate(sorted(rng.sample(range(1200), 500)))]
+    parts = [[t for t in ticks if t[1] // (240 * 60) == i] for i in range(5)]
+    parts[2], late = parts[2][:-5], parts[2][-5:]
+    parts[3] += late + late[:2]  # late ticks, some of them twice
+    kind = "symbol string, s double, tie long, price double"
+    path = lambda name: str(tmp_path / name)
+    stamped = lambda df: df.select("symbol", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "tie", "price")
+    for part in [*parts, [("end", 1e7, -1, 0.0)]]:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path("in"))
+    read = lambda: stamped(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path("in")))
+    whole = stamped(spark.createDataFrame(ticks, kind))
+    rows = lambda df: sorted(map(repr, df.filter("symbol = 'a'").collect()))
+    for name, made, batch in (
+        ("hop", lambda: candles.hopping(candles.unique(read(), "4 hours"), late=None), candles.hopping(whole)),
+        ("runs", lambda: candles.sessions(candles.unique(read(), "4 hours"), "10 minutes", None), candles.sessions(whole, "10 minutes")),
+    ):
+        out = made()
+        stream = out.writeStream.outputMode("append").format("parquet").option("path", path(name)).option("checkpointLocation", path(f"{name}-checkpoint")).trigger(availableNow=True).start()
+        stream.awaitTermination()
+        assert sum(p["numInputRows"] > 0 for p in stream.recentProgress) == 6
+        assert rows(spark.read.schema(out.schema).parquet(path(name))) == rows(batch.select(*out.columns))
+
+
+def test_a_stream_started_with_its_interval_runs_until_it_is_stopped(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a", 1.0, 1, 2.0)], "symbol string, s double, tie long, price double").write.parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("symbol string, s double, tie long, price double").parquet(str(tmp_path / "in"))
+    ticks = read.select("symbol", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "tie", "price")
+    bars = candles.candles(ticks, "20 minutes", now=F.lit(0))  # at that time the bar is open
+    query = candles.started(bars, candles.upsert_into(str(tmp_path / "table"), ["symbol", "open_time"], "trades"), str(tmp_path / "checkpoint"))
+    until = time.time() + 60
+    while query.lastProgress is None and time.time() < until:
+        time.sleep(0.2)
+    assert query.isActive
+    query.stop()
+    assert [r.is_closed for r in candles.current(spark, str(tmp_path / "table"), bars.schema).collect()] == [False]
+
+
+def test_summaries_in_one_pass_are_the_single_ones(spark):
+    rng = random.Random(12)
+    rows = [(st, s, i * 30, rng.choice("SA"), rng.choice([-0.997, 0.0, 0.997]), rng.random() < 0.9, rng.choice(metrics.FINAL_STATUSES), 1.0, 0.5, rng.randint(70, 99)) for st in (1, 2) for s in ("x", "y", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "step int, symbol string, seq long, level string, final_r double, entry_hit boolean, final_status string, mfe double, mae double, score int")
+    sets = {"all_by_step": (["step"], F.lit(True)), "strong": (["symbol", "level"], F.expr("level = 'S'")), "none": (["level"], F.lit(False))}
+    got = metrics.summary_sets(df, sets)
+    plain = lambda d, keys: sorted(repr([r[k] for k in keys] + [r[c] for c in ("trades", "win_rate", "entry_fill_rate", "total_r", "median_r", "max_drawdown", "max_losing_streak", "status_counts")]) for r in d.collect())
+    assert plain(got.filter("grouping = 'all_by_step'"), ["step"]) == plain(metrics.summary(df, ["step"]), ["step"])
+    named = df.fillna("?", ["symbol"])
+    assert plain(got.filter("grouping = 'strong'").fillna("?", ["symbol"]), ["symbol", "level"]) == plain(metrics.summary(named.filter("level = 'S'"), ["symbol", "level"]), ["symbol", "level"])
+    assert got.filter("grouping = 'none'").count() == 0
+    assert max(r.entry_fill_rate for r in got.collect()) < 100

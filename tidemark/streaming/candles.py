@@ -34,13 +34,19 @@ def candles(ticks: DataFrame, width: str = "15 minutes", late: str = "30 minutes
     return out.withColumn("is_closed", F.lit(True) if now is None else F.col("close_time") < now).drop("window")
 
 
+def _timed(ticks: DataFrame, late: str | None) -> DataFrame:
+    """Ticks with a time and a price; a cast would take the watermark off their time, so a timestamp stays as it is."""
+    own = ticks if isinstance(ticks.schema["ts"].dataType, T.TimestampType) else ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+    own = own.filter("price is not null and ts is not null").withColumn("price", F.col("price").cast("double"))
+    return own.withWatermark("ts", late) if ticks.isStreaming and late else own
+
+
 def hopping(ticks: DataFrame, width: str = "1 hour", every: str = "15 minutes", late: str | None = "30 minutes") -> DataFrame:
     """Bars of ``width``, a new one each ``every``: symbol, open_time, close_time and the columns of a bar.
 
-    For streams and tables alike; on a stream a bar comes out when the watermark, ``late`` behind the newest tick, has passed its end. Ticks without a time or price are dropped.
+    For streams and tables alike; on a stream a bar comes out when the watermark, ``late`` behind the newest tick, has passed its end. Ticks that have a watermark already come with ``late`` None. Ticks without a time or price are dropped.
     """
-    own = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "tie", F.col("price").cast("double").alias("price")).filter("price is not null and ts is not null")
-    own = own.withWatermark("ts", late) if ticks.isStreaming else own
+    own = _timed(ticks, late)
     bars = own.groupBy("symbol", F.window("ts", width, every)).agg(*ohlc(F.struct("ts", "tie")))
     return bars.withColumns({"open_time": F.unix_millis("window.start"), "close_time": F.unix_millis("window.end") - 1}).drop("window")
 
@@ -50,15 +56,14 @@ def sessions(ticks: DataFrame, gap: str = "2 hours", late: str | None = "30 minu
 
     For streams and tables alike, as ``hopping``.
     """
-    own = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price")).filter("price is not null and ts is not null")
-    own = own.withWatermark("ts", late) if ticks.isStreaming else own
+    own = _timed(ticks, late)
     runs = own.groupBy("symbol", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("ticks"), F.min("price").alias("low"), F.max("price").alias("high"))
     return runs.select("symbol", F.unix_millis("s.start").alias("start"), F.unix_millis("s.end").alias("end"), "ticks", "low", "high")
 
 
 def unique(ticks: DataFrame, late: str = "30 minutes") -> DataFrame:
     """A stream of ticks without those that come again within ``late`` of their time: one per symbol and tie."""
-    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "tie"])
+    return _timed(ticks, late).dropDuplicatesWithinWatermark(["symbol", "tie"])
 
 
 def _bucket(keys: list[str]) -> Column:
