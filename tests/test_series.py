@@ -199,7 +199,7 @@ def test_every_branch_occurs(name):
         assert {*rows.outcome} == {*breakout.OUTCOMES, "pending"}
 
 
-@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "rough_summary", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes", "metric_percentiles", "quotes_asof", "trade_exposure", "trades_together", "hopping_bars", "session_runs"])
+@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "rough_summary", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes", "metric_percentiles", "quotes_asof", "trade_exposure", "trades_together", "hopping_bars", "session_runs", "signal_badges", "user_universe", "planned_or_samples"])
 def test_same_as_sql(spark, name):
     want = sql(name, SF)
     got = catalog_series.queries()[name](spark, SF).toPandas()[want.columns.tolist()]

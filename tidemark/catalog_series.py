@@ -197,8 +197,8 @@ _RESULT = ", ".join(propagate.RESULT)
 def _corrections(spark, d):
     before, after = _first_seen(spark, d), _bars(spark, d)
     corrections = after.filter(_hour(LATE) | _hour(WRONG))
-    stored = propagate.whole(before, ROUGH, BENCHMARK)
-    return stored, propagate.changes(stored, propagate.corrected(before, corrections), corrections, ROUGH, BENCHMARK)[1]
+    stored = written(propagate.whole(before, ROUGH, BENCHMARK), "stored")
+    return stored, written(propagate.changes(stored, propagate.corrected(before, corrections), corrections, ROUGH, BENCHMARK)[1], "changes")
 
 
 @query(f"WITH {oracle.outcomes(ROUGH, 24, HOUR, _BARS)} SELECT {_RESULT} FROM outc")
@@ -258,12 +258,12 @@ def metric_percentiles(spark, d):
     return orderstat.percentiles(rows, ["funding_rate", "open_interest"], list(SPANS)).drop("open_interest", "funding_rate")
 
 
-_QUOTES = "q AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS quoted_at, arg_max(value, event_id) AS rate, max(event_id) AS quote FROM events WHERE event_id % 7 = 0 AND value IS NOT NULL GROUP BY ALL)"
+_QUOTES = "q AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS quoted_at, arg_max(value, event_id) AS rate, max(event_id) AS quote FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 
 
 @query(f"WITH {oracle.candles(HOUR)}, {_QUOTES} SELECT c.symbol, c.open_time, c.close, q.quoted_at, q.rate, q.quote FROM candles c ASOF LEFT JOIN q ON c.symbol = q.symbol AND c.open_time >= q.quoted_at")
 def quotes_asof(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 7 = 0 and value is not null")
+    events = spark.read.parquet(f"{d}/events.parquet").filter("value is not null")
     quotes = events.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("quoted_at"), F.col("value").alias("rate"), F.col("event_id").alias("quote"))
     return asof.asof(source.from_events(spark, d, HOUR).select("symbol", "open_time", "close"), quotes, ["symbol"], "open_time", "quoted_at", "quote")
 
@@ -387,6 +387,33 @@ def stream_outcomes(spark, d):
     return spark.read.schema(out.schema).parquet(f"{path}/out").select(*(_long(c) if c == "seq" else F.col(c) for c in names))
 
 
+# the read model and symbol lists over given tables
+
+
+@query(_SIGNALS + f""", v AS (SELECT id, unnest([level, lifecycle_status, direction, market_regime]) AS value FROM sig)
+SELECT id, value, CASE WHEN value LIKE '%S%' OR value LIKE '%planned%' THEN 'green' WHEN value LIKE '%A%' OR value LIKE '%trend%' THEN 'blue' WHEN value LIKE '%B%' OR value LIKE '%watching%' THEN 'yellow' WHEN value LIKE '%SHORT%' THEN 'red' ELSE '' END AS color FROM v""")
+def signal_badges(spark, d):
+    rows = _signals(spark, d).select("id", F.explode(F.array("level", "lifecycle_status", "direction", "market_regime")).alias("value"))
+    return rows.withColumn("color", readmodel.badge(F.col("value")))
+
+
+@query("""WITH g AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL), n AS (SELECT user_id, ' ' || string_agg(event_type, ', ,' ORDER BY first) || ',' AS names FROM g GROUP BY user_id),
+u AS (SELECT user_id, list_filter(list_transform(string_split(names, ','), lambda x: upper(trim(x))), lambda x: x <> '') AS l FROM n),
+e AS (SELECT user_id, unnest(list_prepend('VIEW', l)) AS symbol, unnest(range(len(l) + 1)) AS i FROM u), f AS (SELECT user_id, symbol, min(i) AS i FROM e GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS INTEGER) AS pos, symbol FROM f""")
+def user_universe(spark, d):
+    # the kinds of events of a user, of which there are few, in the order in which they came, as an unclean list
+    kinds = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    names = kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("e"))
+    names = names.select("user_id", F.concat(F.lit(" "), F.array_join("e.event_type", ", ,"), F.lit(",")).alias("names"))
+    return names.select("user_id", F.posexplode(source.universe(F.col("names"), "VIEW")).alias("pos", "symbol"))
+
+
+for _name, _least in (("planned_or_samples", 1000), ("planned_or_samples_found", 70)):
+    QUERIES[_name] = lambda spark, d, least=_least: readmodel.with_fallback(_signals(spark, d).filter(f"score >= {least}").select("id", "level"), _signals(spark, d).filter("level = 'S'").select("id", "level"))
+    SQL[_name] = _SIGNALS + f" SELECT id, level FROM sig WHERE score >= {_least} UNION ALL SELECT id, level FROM sig WHERE level = 'S' AND NOT EXISTS (SELECT 1 FROM sig WHERE score >= {_least})"
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
