@@ -10,9 +10,11 @@ decides which candidates become spans.
 
 Offsets count code points. Patterns are written so that no repeated group of varying
 length occurs (a regex engine would recurse on it) and no start is tried within a run
-that has failed already, so time is linear in the text. For that, a dot between two
+that has failed already, so they take time linear in the text. For that, a dot between two
 domain characters and a separator between two digits are first replaced by one private
-character each, which keeps all offsets.
+character each, which keeps all offsets. Lists of spans are folded by appending, and
+candidates compared with the spans before: time grows with the square of the spans of one
+text (16,000 spans in 383 KB took 79 s).
 """
 
 from __future__ import annotations
