@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog, catalog_series
 from tidemark.dialect import HISTORICAL
-from tidemark.operators import asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, state
+from tidemark.operators import asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, risk, state
 from tidemark.operators.machine import Machine, replayed
 from tidemark.plans import historical, live
 from tidemark.sources import candles as source
@@ -182,7 +182,7 @@ def sql(name, sf):
 
 
 #: Columns that can have one value only, by name of the query.
-ONE_VALUE = {"rough_planned": {"status"}, "rough_signal_rows": {"signal_type", "invalidation_rules"}, "breakout_signals": {"signal_type", "entry_mode"}}
+ONE_VALUE = {"rough_planned": {"status"}, "rough_signal_rows": {"signal_type", "invalidation_rules"}, "correction_changes": {"entry_hit"}}
 
 
 @pytest.mark.parametrize("name", ["rough_evaluations", "rough_quality", "rough_planned", "rough_signal_rows", "rough_displayed", "rough_changes", "rough_outcomes", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes"])
@@ -199,7 +199,8 @@ def test_every_branch_occurs(name):
         assert {*rows.outcome} == {*breakout.OUTCOMES, "pending"}
 
 
-@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "rough_summary", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "correction_changes", "metric_percentiles", "quotes_asof", "trade_exposure", "trades_together", "hopping_bars", "session_runs", "signal_badges", "user_universe", "planned_or_samples"])
+#: Every kind of query; the driver compares all of them at a larger size.
+@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "metric_percentiles", "quotes_asof", "trades_together", "hopping_bars", "session_runs", "user_universe", "planned_or_samples"])
 def test_same_as_sql(spark, name):
     want = sql(name, SF)
     got = catalog_series.queries()[name](spark, SF).toPandas()[want.columns.tolist()]
@@ -340,3 +341,20 @@ def test_summaries_in_one_pass_are_the_single_ones(spark):
     assert plain(got.filter("grouping = 'strong'").fillna("?", ["symbol"]), ["symbol", "level"]) == plain(metrics.summary(named.filter("level = 'S'"), ["symbol", "level"]), ["symbol", "level"])
     assert got.filter("grouping = 'none'").count() == 0
     assert max(r.entry_fill_rate for r in got.collect()) < 100
+
+
+def test_breaker_over_all_symbols_is_that_of_a_loop(spark):
+    rng = random.Random(13)
+    rows = [(st, s, t * 1000, lv, rng.choice([-1.0, -0.5, 1.0])) for st in (1, 2) for s in "xyz" for t in range(120) for lv in [rng.choice("SA")]]
+    df = spark.createDataFrame(rows, "step int, symbol string, open_time long, level string, final_r double")
+    want = set()
+    for st in (1, 2):
+        for lv in "SA":
+            own = sorted((r for r in rows if r[0] == st and r[3] == lv), key=lambda r: (r[2], r[1]))
+            want |= {(st, r[1], r[2]) for i, r in enumerate(own) if i >= 9 and sum(x[4] for x in own[i - 9 : i + 1]) / 10 < -0.3}
+    for chunk in (7000, 1 << 40):
+        got = risk.market_breaker(df, chunk=chunk).filter("paused")
+        assert {(r.step, r.symbol, r.open_time) for r in got.collect()} == want
+    assert len(want) > 20
+    guard = risk.guarded(spark.createDataFrame([(4, False, 75.0), (5, True, 74.0)], "n int, wild boolean, q double"), F.col("n"), F.col("wild"), F.col("q")).orderBy("n").collect()
+    assert [(r.only_strong, r.alerts_only, r.symbol_paused) for r in guard] == [(False, False, False), (True, True, True)]

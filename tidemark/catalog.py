@@ -11,7 +11,7 @@ from tidemark.functions import js
 from tidemark.operators import alerts, indicators, metrics, outcome, plan, readmodel, report, risk, schedule, scoring, state
 from tidemark.operators.ordered import numbered
 from tidemark.plans import historical, live, oracle
-from tidemark.shared import new_path
+from tidemark.shared import new_path, written
 from tidemark.sources import candles as source
 from tidemark.streaming import candles as streaming
 
@@ -246,7 +246,8 @@ for _name, _keys, _where in (
 ):
 
     def _summary(spark, d, keys=_keys, only=_where):
-        return metrics.summary(_trades(spark, d).filter(only), keys, symbols=SYMBOLS)
+        # written, as a summary reads trades twice
+        return metrics.summary(written(_trades(spark, d), "trades").filter(only), keys, symbols=SYMBOLS)
 
     QUERIES[_name] = _summary
     SQL[_name] = oracle.summary(", ".join(_keys), _where)
@@ -603,7 +604,7 @@ def execution_rates(spark, d):
 
 
 def _report(spark, d, bars, dialect):
-    trades = historical.trades(bars, dialect, BENCHMARK)
+    trades = written(historical.trades(bars, dialect, BENCHMARK), "trades")  # read by all sections
     whole = lambda rows, keys, name, suffix="": report.summaries(metrics.summary(rows, keys, symbols=SYMBOLS), keys, name, suffix)
     finest = trades.filter(FIRST)
     sections = [
@@ -653,7 +654,7 @@ def backtest_run(spark, d):
 @query(oracle.summary("polling_minutes", "true", 96, M15))
 def summary_by_polling_15m(spark, d):
     bars = source.from_events(spark, d, M15)
-    return metrics.summary(historical.trades(bars, HIST_15M, BENCHMARK), ["polling_minutes"], symbols=SYMBOLS)
+    return metrics.summary(written(historical.trades(bars, HIST_15M, BENCHMARK), "trades"), ["polling_minutes"], symbols=SYMBOLS)
 
 
 # streams

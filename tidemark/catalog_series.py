@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog as base
 from tidemark.dialect import HISTORICAL
-from tidemark.operators import alerts, asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, readmodel, state
+from tidemark.operators import alerts, asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, readmodel, risk, state
 from tidemark.operators.ordered import numbered
 from tidemark.plans import historical, live, oracle
 from tidemark.shared import new_path, written
@@ -40,7 +40,7 @@ def _bars(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     price = F.when(F.col("event_type") == "error", F.floor(F.col("value") / 200) * 200.0).otherwise(F.col("value"))
     rows = source.bucketed(events, F.col("event_type"), F.col("ts"), F.col("event_id"), price, HOUR)
-    return rows.withColumn("is_closed", F.col("trades") < 7)
+    return rows.withColumn("is_closed", F.floor(F.col("open_time") / HOUR) % 41 != 3)
 
 
 def _features(spark, d):
@@ -387,6 +387,26 @@ def stream_outcomes(spark, d):
     return spark.read.schema(out.schema).parquet(f"{path}/out").select(*(_long(c) if c == "seq" else F.col(c) for c in names))
 
 
+# the declared breaker, over all symbols
+
+
+for _name, _n, _least in (("market_breaker", risk.BREAKER_TRADES, risk.BREAKER_LEAST), ("market_breaker_short", 3, 0.2)):
+    QUERIES[_name] = lambda spark, d, n=_n, least=_least: risk.market_breaker(historical.trades(_bars(spark, d), ROUGH, BENCHMARK), n, least).select("step", "symbol", "open_time", "level", "paused")
+    SQL[_name] = f"""WITH {oracle.trades(ROUGH, 24, HOUR, _BARS)} SELECT CAST(step AS INTEGER) AS step, symbol, open_time, level, (count(*) OVER w = {_n} AND avg(final_r) OVER w < {_least}) AS paused
+FROM trades WINDOW w AS (PARTITION BY step, level ORDER BY open_time, symbol ROWS BETWEEN {_n - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@query(f"""WITH {oracle.trades(ROUGH, 24, HOUR, _BARS)}, n AS (SELECT *, row_number() OVER (PARTITION BY step, symbol ORDER BY seq) AS i FROM trades),
+r AS (SELECT step, symbol, seq, i - coalesce(max(CASE WHEN final_status <> 'hit_sl' THEN i END) OVER (PARTITION BY step, symbol ORDER BY seq), 0) AS stops FROM n)
+SELECT CAST(r.step AS INTEGER) AS step, f.symbol, CAST(f.seq AS BIGINT) AS seq, CAST(coalesce(stops, 0) AS BIGINT) AS stops, coalesce(stops, 0) >= 5 AS only_strong, f.atr >= f.close * {risk.WILD} AS alerts_only, f.quality < 75 AS symbol_paused FROM feat f LEFT JOIN r ON f.symbol = r.symbol AND f.seq = r.seq""")
+def rough_guard(spark, d):
+    trades = risk.stops_in_a_row(historical.trades(_bars(spark, d), ROUGH, BENCHMARK)).select("step", "symbol", "seq", "stops")
+    rows = _features(spark, d).select("symbol", "seq", "atr", "close", "quality").join(trades, ["symbol", "seq"], "left")
+    stops = F.coalesce("stops", F.lit(0))
+    out = risk.guarded(rows, stops, F.col("atr") >= F.col("close") * risk.WILD, F.col("quality"))
+    return out.select("step", "symbol", _long("seq"), stops.cast("bigint").alias("stops"), "only_strong", "alerts_only", "symbol_paused")
+
+
 # the read model and symbol lists over given tables
 
 

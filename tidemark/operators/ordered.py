@@ -19,10 +19,10 @@ def _tie(df: DataFrame) -> Column:
     return F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind))
 
 
-def numbered(df: DataFrame, key: str | list[str] = "symbol", order: str = "open_time", chunk: int = BLOCK * 900_000, place: str = "seq", count: str = "bars") -> DataFrame:
+def numbered(df: DataFrame, key: str | list[str] = "symbol", order: str = "open_time", chunk: int = BLOCK * 900_000, place: str = "seq", count: str = "bars", then: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``place``, the row's place in its series from 0, and ``count``, the length of the series.
 
-    Rows of equal ``order`` follow one another by a hash of their content.
+    Rows of equal ``order`` follow one another by the columns ``then`` and a hash of their content.
     """
     keys = [key] if isinstance(key, str) else key
     tie = _tie(df)
@@ -31,7 +31,7 @@ def numbered(df: DataFrame, key: str | list[str] = "symbol", order: str = "open_
     series = Window.partitionBy(*keys)
     before = series.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(series).alias(count))
-    within = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order, tie))
+    within = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order, *then, tie))
     return df.withColumn("_within", within).join(sizes, [*keys, "_chunk"]).withColumn(place, F.col("_before") + F.col("_within") - 1).drop("_chunk", "_within", "_before")
 
 

@@ -26,6 +26,18 @@ def circuit_breaker(trades: DataFrame, bars: int = BREAKER_TRADES, least: float
     return rows.filter("own").drop("own", "block", "_place", "_of")
 
 
+def market_breaker(trades: DataFrame, bars: int = BREAKER_TRADES, least: float = BREAKER_LEAST, chunk: int = 4096 * 900_000) -> DataFrame:
+    """Per trade, whether the mean result of the last ``bars`` trades of its level, of all symbols by time and then by symbol, has fallen below ``least``.
+
+    A level's trades of all symbols are one series, numbered by chunks of time and looked at in blocks.
+    """
+    keys = ["step", "level"]
+    rows = blocked(numbered(trades, keys, "open_time", chunk, "_place", "_of", ("symbol",)), bars, place="_place")
+    w = Window.partitionBy(*keys, "block").orderBy("_place").rowsBetween(-(bars - 1), 0)
+    rows = rows.withColumn("paused", (F.count("*").over(w) == bars) & (F.avg("final_r").over(w) < least))
+    return rows.filter("own").drop("own", "block", "_place", "_of")
+
+
 def stops_in_a_row(trades: DataFrame) -> DataFrame:
     """``trades`` with stops, how many up to this one were stopped out without another result between, per step and symbol."""
     keys = ["step", "symbol"]

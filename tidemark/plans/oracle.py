@@ -23,9 +23,9 @@ candles AS (SELECT symbol, open_time, open_time + {interval} - 1 AS close_time,
 
 
 def rough(interval: int) -> str:
-    """Unclean bars: one symbol's price is coarse, so that it stands still for long; busy bars are open; hours without events are gaps."""
+    """Unclean bars: one symbol's price is coarse, so that it stands still for long; the bars of every 41st hour are open; hours without events are gaps."""
     text = candles(interval).replace("value AS price", "CASE WHEN event_type = 'error' THEN floor(value / 200) * 200 ELSE value END AS price")
-    return text.replace("true AS is_closed", "count(*) < 7 AS is_closed")
+    return text.replace("true AS is_closed", f"open_time // {interval} % 41 <> 3 AS is_closed")
 
 
 def features(d: Dialect, interval: int = H4, bars: str | None = None) -> str:
