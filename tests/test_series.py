@@ -200,7 +200,7 @@ def test_every_branch_occurs(name):
 
 
 #: Every kind of query; the driver compares all of them at a larger size.
-@pytest.mark.parametrize("name", ["rough_evaluations", "rough_signal_rows", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "metric_percentiles", "quotes_asof", "trades_together", "hopping_bars", "session_runs", "user_universe", "planned_or_samples"])
+@pytest.mark.parametrize("name", ["rough_evaluations", "stored_signals", "signal_lifecycle", "opportunity_lifecycle", "breakout_outcomes", "metric_percentiles", "quotes_asof", "trades_together", "hopping_bars", "session_runs", "user_universe", "planned_or_samples"])
 def test_same_as_sql(spark, name):
     want = sql(name, SF)
     got = catalog_series.queries()[name](spark, SF).toPandas()[want.columns.tolist()]

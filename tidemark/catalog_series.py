@@ -96,6 +96,15 @@ for _name, _of, _made in (
     SQL[_name] = base.SQL[_of].replace(oracle.evaluated(), _EV)
 
 
+@query(f"SELECT r.* FROM ({SQL['rough_signal_rows']}) r JOIN ({SQL['rough_changes']}) c ON r.id = c.opportunity_id || '@' || c.created_ms")
+def stored_signals(spark, d):
+    """Two runs, the second of which appends to what the first one stored."""
+    path, signals = new_path(spark, "signals"), _signals(spark, d)
+    state.appended(signals.filter("seq < 350")).write.parquet(path)
+    state.appended(signals.filter("seq >= 350"), spark.read.parquet(path)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).withColumn("weighted_rr", F.round("weighted_rr", 6)).drop("symbol", "direction", "theoretical_rr", "cost_adjusted_rr", "btc_state", "market_regime", "relative_strength_score", "created_ms")
+
+
 @query(f"WITH {oracle.outcomes(ROUGH, 24, HOUR, _BARS)} SELECT {base._OUT} FROM outc")
 def rough_outcomes(spark, d):
     return base._outcome(historical.outcomes(_bars(spark, d), ROUGH, BENCHMARK))

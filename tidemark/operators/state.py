@@ -77,6 +77,15 @@ def signal_rows(signals: DataFrame) -> DataFrame:
     )
 
 
+def appended(signals: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The rows that a run adds to the store: signals whose level or status differs from the one before of their opportunity, be that one of the run or the last one ``stored``."""
+    fresh = signals.withColumn("_new", F.lit(True))
+    if stored is not None:
+        last = stored.groupBy("opportunity_id").agg(F.max_by(F.struct("level", "lifecycle_status", "created_ms"), "created_ms").alias("l"))
+        fresh = fresh.unionByName(last.select("opportunity_id", "l.*", F.lit(False).alias("_new")), allowMissingColumns=True)
+    return signal_rows(changed(fresh).filter("_new"))
+
+
 def with_relations(signals: DataFrame, opportunities_: DataFrame, notifications: DataFrame, results: DataFrame) -> DataFrame:
     """Signals with what refers to them: the opportunity they belong to, how many notifications, and the result if there is one."""
     sent = notifications.groupBy(F.col("signal_id").alias("id")).agg(F.count("*").alias("notifications"))
