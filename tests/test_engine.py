@@ -97,6 +97,18 @@ def test_percentile_and_excursions_are_those_of_loops(spark):
         assert got[s, t] == (pytest.approx((max(ahead) - x) / x * 100, abs=1e-3) if ahead and x else None)
 
 
+def test_excursions_of_a_price_of_zero_are_those_of_the_sql(spark):
+    import math
+
+    minute = 60_000
+    rows = [("A", 0, 0.0, 0.0, 0.0), ("A", 5 * minute, 0.0, 3.0, 0.0), ("A", 40 * minute, 2.0, 2.0, 0.5), ("A", 45 * minute, 0.0, 0.0, -1.0)]
+    got = risk.excursions_after(spark.createDataFrame(rows, "symbol string, open_time long, close double, high double, low double")).orderBy("open_time").collect()
+    assert [r["max_profit_pct_10m"] for r in got] == [float("inf"), None, -100.0, None]
+    assert math.isnan(got[0]["max_loss_pct_10m"]) and got[2]["max_loss_pct_10m"] == 150.0
+    assert got[1]["max_profit_pct_1h"] == got[1]["max_loss_pct_1h"] == float("inf")
+    assert got[3]["max_profit_pct_4h"] is None and got[3]["max_loss_pct_4h"] is None
+
+
 def test_row_before_and_stops_do_not_depend_on_chunks(spark):
     rows = [("a", i * 10, "S" if i % 7 else "A", "planned") for i in range(300)]
     df = spark.createDataFrame(rows, "opportunity_id string, created_ms long, level string, lifecycle_status string")

@@ -64,6 +64,12 @@ def excursions_after(rows: DataFrame, spans: dict[str, int] = HORIZONS) -> DataF
     return _excursions(rows, spans, "open_time", lambda w, span: w.rangeBetween(1, span))
 
 
+def _percent(step: Column, of: Column) -> Column:
+    """A step in percent to four decimals; of a price of zero it is infinite, and not a number where there is no step."""
+    endless = F.when(step > 0, float("inf")).when(step < 0, float("-inf")).when(step == 0, float("nan"))
+    return F.when(of == 0, endless).otherwise(js_round(step / of * 100, 1e4))
+
+
 def _excursions(rows: DataFrame, horizons: dict[str, int], place: str, frame) -> DataFrame:
     longest = max(horizons.values())
     rows = blocked(rows, 0, max(4096, 64 * longest), longest, place)
@@ -71,8 +77,8 @@ def _excursions(rows: DataFrame, horizons: dict[str, int], place: str, frame) ->
     for name, n in horizons.items():
         ahead = frame(w, n)
         rows = rows.withColumns({
-            f"max_profit_pct_{name}": js_round((F.max("high").over(ahead) - F.col("close")) / F.col("close") * 100, 1e4),
-            f"max_loss_pct_{name}": js_round((F.col("close") - F.min("low").over(ahead)) / F.col("close") * 100, 1e4),
+            f"max_profit_pct_{name}": _percent(F.max("high").over(ahead) - F.col("close"), F.col("close")),
+            f"max_loss_pct_{name}": _percent(F.col("close") - F.min("low").over(ahead), F.col("close")),
         })
     return rows.filter("own").drop("own", "block")
 
