@@ -12,7 +12,7 @@ from tidemark import catalog, catalog_series
 from tidemark.dialect import HISTORICAL
 from tidemark.operators import asof, breakout, indicators, lifecycle, metrics, orderstat, propagate, risk, state
 from tidemark.operators.machine import Machine, replayed
-from tidemark.plans import historical, live
+from tidemark.plans import historical, live, oracle
 from tidemark.sources import candles as source
 from tidemark.streaming import candles, keyed
 
@@ -175,6 +175,26 @@ def test_keyed_stream_over_batches_restarts_and_late_ticks(spark, tmp_path):
     assert got == rows(want) and len(got) > 30
 
 
+def test_bars_take_the_nearest_millisecond_as_the_sql_does(spark, tmp_path):
+    hour, rng = HOUR * 1000, random.Random(5)
+    # times in microseconds around the ends of hours, before and after 1970, ids against the order of time
+    near = (-1501, -1500, -1499, -501, -500, -499, -1, 0, 1, 499, 500, 501, 1500)
+    at = [h * hour + step for h in (-3, 0, 1, 2, 40) for step in near]
+    rows = pd.DataFrame({"event_id": range(len(at), 0, -1), "ts": pd.to_datetime(at, unit="us"), "user_id": 1, "event_type": "error", "value": [float(rng.randint(1, 900)) for _ in at], "props": ""})
+    rows.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    want = db.execute(f"WITH {oracle.candles(HOUR)} SELECT symbol, open_time, open, high, low, close, quote_volume, trades FROM candles ORDER BY open_time").df()
+    names = list(want.columns)
+    ticks = catalog_series._batch_ticks(spark, tmp_path)
+    whole = [source.from_events(spark, tmp_path, HOUR), candles.candles(ticks, "1 hour")]
+    for got in whole:
+        pd.testing.assert_frame_equal(got.select(names).orderBy("open_time").toPandas(), want, check_dtype=False)
+    parts = keyed.partial_bars(ticks.coalesce(1), HOUR).orderBy("open_time").toPandas()
+    assert parts[["open_time", "open", "close", "n"]].values.tolist() == want[["open_time", "open", "close", "trades"]].values.tolist()
+    assert catalog_series.queries()["quotes_asof"](spark, tmp_path).orderBy("open_time").toPandas().fillna(-1).values.tolist() == sql("quotes_asof", tmp_path).sort_values("open_time").fillna(-1).values.tolist()
+
+
 def sql(name, sf):
     db = duckdb.connect()
     db.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")

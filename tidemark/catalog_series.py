@@ -273,7 +273,7 @@ _QUOTES = "q AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS quoted_at,
 @query(f"WITH {oracle.candles(HOUR)}, {_QUOTES} SELECT c.symbol, c.open_time, c.close, q.quoted_at, q.rate, q.quote FROM candles c ASOF LEFT JOIN q ON c.symbol = q.symbol AND c.open_time >= q.quoted_at")
 def quotes_asof(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").filter("value is not null")
-    quotes = events.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("quoted_at"), F.col("value").alias("rate"), F.col("event_id").alias("quote"))
+    quotes = events.select(F.col("event_type").alias("symbol"), F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000)).alias("quoted_at"), F.col("value").alias("rate"), F.col("event_id").alias("quote"))
     return asof.asof(source.from_events(spark, d, HOUR).select("symbol", "open_time", "close"), quotes, ["symbol"], "open_time", "quoted_at", "quote")
 
 

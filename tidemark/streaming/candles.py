@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.js import millis
 from tidemark.operators.state import changed, upserted
 from tidemark.sources.candles import ohlc
 
@@ -25,9 +26,10 @@ def candles(ticks: DataFrame, width: str = "15 minutes", late: str = "30 minutes
     """Ticks (symbol, ts, tie, price) as candles with the columns of batch candles.
 
     In append mode a bar comes out once, when the watermark has closed it. In update mode open bars
-    come out too; ``now`` (ms) then tells which are closed. Of ticks of one time, ``tie`` decides which is first.
+    come out too; ``now`` (ms) then tells which are closed. Of ticks of one time,
+    to the nearest millisecond, ``tie`` decides which is first.
     """
-    own = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "tie", F.col("price").cast("double").alias("price")).filter("price is not null and ts is not null")
+    own = ticks.select("symbol", F.timestamp_millis(millis(F.col("ts"))).alias("ts"), "tie", F.col("price").cast("double").alias("price")).filter("price is not null and ts is not null")
     bars = own.withWatermark("ts", late).groupBy("symbol", F.window("ts", width)).agg(*ohlc(F.struct("ts", "tie")))
     at = F.unix_millis
     out = bars.withColumns({"open_time": at("window.start"), "close_time": at("window.end") - 1})

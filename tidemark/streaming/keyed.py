@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.dialect import Dialect
-from tidemark.functions.js import js_round
+from tidemark.functions.js import js_round, millis
 from tidemark.operators import indicators, plan
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A bar while ticks come in: its first and last tick by (time, tie), highest and lowest price, sum and number.
-PARTIAL = "symbol string, open_time long, closes timestamp, first_us long, first_tie long, open double, last_us long, last_tie long, close double, high double, low double, total double, n long"
-BAR = np.dtype([("open_time", "i8"), ("first_us", "i8"), ("first_tie", "i8"), ("open", "f8"), ("last_us", "i8"), ("last_tie", "i8"), ("close", "f8"), ("high", "f8"), ("low", "f8"), ("total", "f8"), ("n", "i8")])
+#: A bar while ticks come in: its first and last tick by (time to the nearest millisecond, tie), highest and lowest price, sum and number.
+PARTIAL = "symbol string, open_time long, closes timestamp, first_ms long, first_tie long, open double, last_ms long, last_tie long, close double, high double, low double, total double, n long"
+BAR = np.dtype([("open_time", "i8"), ("first_ms", "i8"), ("first_tie", "i8"), ("open", "f8"), ("last_ms", "i8"), ("last_tie", "i8"), ("close", "f8"), ("high", "f8"), ("low", "f8"), ("total", "f8"), ("n", "i8")])
 OUT = "symbol string, seq long, own boolean, open_time long, open double, high double, low double, close double, total double, n long"
 
 
@@ -40,15 +40,15 @@ def partial_bars(ticks: DataFrame, interval_ms: int) -> DataFrame:
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            t = t.sort_values(["us", "tie"], kind="stable")
-            t["open_time"] = t["us"] // 1000 // interval_ms * interval_ms
+            t = t.sort_values(["ms", "tie"], kind="stable")
+            t["open_time"] = t["ms"] // interval_ms * interval_ms
             g = t.groupby(["symbol", "open_time"], sort=False)
-            out = g.agg(first_us=("us", "first"), first_tie=("tie", "first"), open=("price", "first"), last_us=("us", "last"), last_tie=("tie", "last"), close=("price", "last"), high=("price", "max"), low=("price", "min"), total=("price", "sum"), n=("price", "size")).reset_index()
+            out = g.agg(first_ms=("ms", "first"), first_tie=("tie", "first"), open=("price", "first"), last_ms=("ms", "last"), last_tie=("tie", "last"), close=("price", "last"), high=("price", "max"), low=("price", "min"), total=("price", "sum"), n=("price", "size")).reset_index()
             out.insert(2, "closes", pd.to_datetime(out["open_time"] + interval_ms, unit="ms"))
             yield out
 
-    own = ticks.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("tie").cast("long").alias("tie"), F.col("price").cast("double").alias("price"))
-    return own.filter("symbol is not null and us is not null and price is not null").mapInPandas(summed, PARTIAL)
+    own = ticks.select("symbol", millis(F.col("ts")).alias("ms"), F.col("tie").cast("long").alias("tie"), F.col("price").cast("double").alias("price"))
+    return own.filter("symbol is not null and ms is not null and price is not null").mapInPandas(summed, PARTIAL)
 
 
 def merged(bar: np.void | None, new: np.void) -> np.void:
@@ -56,11 +56,11 @@ def merged(bar: np.void | None, new: np.void) -> np.void:
     if bar is None:
         return new
     out = bar.copy()
-    if (new["first_us"], new["first_tie"]) < (bar["first_us"], bar["first_tie"]):
-        for c in ("first_us", "first_tie", "open"):
+    if (new["first_ms"], new["first_tie"]) < (bar["first_ms"], bar["first_tie"]):
+        for c in ("first_ms", "first_tie", "open"):
             out[c] = new[c]
-    if (new["last_us"], new["last_tie"]) > (bar["last_us"], bar["last_tie"]):
-        for c in ("last_us", "last_tie", "close"):
+    if (new["last_ms"], new["last_tie"]) > (bar["last_ms"], bar["last_tie"]):
+        for c in ("last_ms", "last_tie", "close"):
             out[c] = new[c]
     out["high"], out["low"] = max(bar["high"], new["high"]), min(bar["low"], new["low"])
     out["total"], out["n"] = bar["total"] + new["total"], bar["n"] + new["n"]
