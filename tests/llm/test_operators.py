@@ -36,6 +36,26 @@ def odd():
     return [(900, None), (901, ""), (902, " \n"), (903, "x"), (904, "One  two"), (None, "no id here at all today"), (905, "long " * 30000)]
 
 
+def test_words_merged_together_are_those_of_the_library():
+    rng = random.Random(3)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        own = bpe.Codec(bpe.read_ranks(f.read()), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    syllables = ["tion", "que", "ai", "ón", "ñ", "heit", "st", "a", "aa", "zu", "日", "é", "Th"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [None, "", " ", *(" ".join(w + rng.choice(["", "", ",", "\n", " "]) for w in rng.choices(words, k=60)) for _ in range(100))]
+    alone = []
+    one_by_one, own.encode_piece = own.encode_piece, lambda piece: alone.append(piece) or one_by_one(piece)
+    own.learn(texts)
+    assert not alone and len(own.spaced) > 1000
+    for w, ids in own.spaced.items():
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode_ordinary(" " + w)
+    for t in texts:
+        assert own.encode(t).tolist() == library.encode_ordinary(t or "")
+    known = [p for p in alone if p[:1] == b" " and p[1:].decode().isalpha() and len(p) <= bpe.SHORT and p not in own.ranks]
+    assert not known  # all of them were merged together before
+
+
 def test_bpe_is_that_of_the_library_and_decodes(spark):
     rng = random.Random(1)
     alphabet = " \n\t\x1c\x85'sédt12²½ab日本語🙂!?-_　 "

@@ -6,6 +6,9 @@ entries at every byte. The encoder takes the longest entry, accepts it if it may
 the entry before it (two neighbours are compatible if merging their joined bytes gives
 the two back; the answers are memoised), else tries the next shorter one, and steps
 back when none is left. Each position is given up at most once, so the time is linear.
+
+Most of a text's words are short and many are new to a worker. Those of a batch are merged
+together before: pair by pair, lowest rank first, one round for all words at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 CACHE_ENTRIES, PAIR_ENTRIES = 60_000, 120_000
 #: Above every rank.
 NEVER = 1 << 60
+#: Bytes of a word, and texts whose words, that are merged together.
+SHORT, TOGETHER = 24, 64
 #: Bytes of text that a worker encodes before it hands a batch on.
 BATCH_BYTES = 2_000_000
 
@@ -65,6 +70,10 @@ class Codec:
         self.piece = _Memo(one, CACHE_ENTRIES // 4)
         self.first = _Memo(self._chunk, CACHE_ENTRIES // 8)
         self.spaced = _Memo(lambda word: one(" " + word) if word.isalpha() else self._chunk(" " + word), CACHE_ENTRIES)
+        # every pair of entries that joins to an entry, and its rank; keys are in order
+        pairs = [(a * len(self.size) + b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        self.pairs = np.array(sorted(pairs) or [(-1, 0)], np.int64).T.copy()
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         # the vocabulary by rank, for decoding whole arrays: what no rank has is null
         self.entries = pa.array([self.bytes_of.get(i) for i in range(len(self.size))], pa.large_binary())
 
@@ -156,6 +165,66 @@ class Codec:
             end += size[token]
         return taken
 
+    def _joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two neighbours joined; NEVER without one (-1 is no entry)."""
+        keys, ranks = self.pairs
+        key = left.astype(np.int64) * len(self.size) + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (left >= 0) & (right >= 0), ranks[at], NEVER)
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes, by plain merging of all at once; for short pieces that are no entries themselves."""
+        length = np.array([len(p) for p in pieces])
+        width = int(length.max(initial=1))
+        ids = self.single[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)]
+        there = np.arange(width) < length[:, None]
+        if (ids[there] < 0).any():
+            raise ValueError("the vocabulary lacks a byte of the text")
+        ids[~there] = -1
+        joint, place, out = self._joint(ids[:, :-1], ids[:, 1:]), np.arange(len(pieces)), [b""] * len(pieces)
+        while len(place):
+            # the leftmost of the lowest; a row without any is done
+            rows = np.arange(len(place))
+            i = joint.argmin(1) if joint.shape[1] else np.zeros(len(place), np.int64)
+            lowest = joint[rows, i] if joint.shape[1] else np.full(len(place), NEVER)
+            done = lowest == NEVER
+            flat, ends = ids[done], np.cumsum((ids[done] >= 0).sum(1)) * 4
+            data, start = flat[flat >= 0].tobytes(), 0
+            for at, end in zip(place[done].tolist(), ends.tolist(), strict=True):
+                out[at] = data[start:end]
+                start = end
+            place, ids, joint, i, lowest = place[~done], ids[~done], joint[~done], i[~done], lowest[~done]
+            if not len(place):
+                break
+            rows, cols = np.arange(len(place)), np.arange(ids.shape[1] - 1)
+            ids[rows, i] = lowest
+            ids = np.take_along_axis(ids, cols + (cols > i[:, None]), 1)
+            joint = np.take_along_axis(joint, cols[:-1] + (cols[:-1] >= i[:, None]), 1)
+            for at in (i - 1, i):  # the neighbours of what was joined
+                own = np.flatnonzero((at >= 0) & (at < joint.shape[1]))
+                joint[own, at[own]] = self._joint(ids[own, at[own]], ids[own, at[own] + 1])
+        return out
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the short words of the texts that aren't known yet together, each as it is after a space."""
+        words: set[str] = set()
+        for t in texts:
+            if t:
+                words.update(t.split(" "))
+        # a mark after a word is a piece of its own
+        words = {w if w.isalpha() else w[:-1] for w in words}
+        known, before, new = self.spaced, self.spaced.before, []
+        for w in words:
+            if w in known or not w.isalpha():
+                continue
+            if (ids := before.get(w)) is not None:
+                known.keep(w, ids)
+            elif len(p := (" " + w).encode("utf-8")) <= SHORT and p not in self.ranks:
+                new.append((w, p))
+        if new:
+            for (word, _), ids in zip(new, self.merged_together([p for _, p in new]), strict=True):
+                known.keep(word, ids)
+
     def _longest(self, latin: str, start: int) -> list[int]:
         """The longest entry that begins at each place from ``start`` on."""
         out = [-1] * len(latin)
@@ -209,12 +278,15 @@ class _Memo(dict):
         if out is None:
             out = self.answer(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
-                self.before = dict(self)
-                self.clear()
-            self[key] = out
+            self.keep(key, out)
         return out
 
+    def keep(self, key, out) -> None:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = out
+
 
 @lru_cache(maxsize=2)
 def codec(raw: bytes, pattern: str) -> Codec:
@@ -274,7 +346,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     def make(texts: pa.Array) -> list[pa.Array]:
         own = codec(raw.value, pattern)
-        ids = _as_lists([own.encode(t) for t in texts.to_pylist()])
+        rows, made = texts.to_pylist(), []
+        for i in range(0, len(rows), TOGETHER):
+            own.learn(rows[i : i + TOGETHER])
+            made += map(own.encode, rows[i : i + TOGETHER])
+        ids = _as_lists(made)
         return [ids, own.decode(ids)] if decoded_col else [ids]
 
     return _appended(df, text_col, out, make, lambda: codec(raw.value, pattern).forget())
