@@ -1,5 +1,6 @@
 """State machines, lifecycles, breakouts, corrections and keyed streams: against loops and SQL, in one block and in many."""
 
+import math
 import random
 
 import duckdb
@@ -229,6 +230,36 @@ def test_same_as_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def late_ticks(tmp_path_factory):
+    """Events of which one ends nearly every hour of a symbol, less than half a millisecond before the next one, at a price of its own."""
+    path, rng, rows = tmp_path_factory.mktemp("late"), random.Random(14), []
+    for k, symbol in enumerate(("view", "purchase", "signup", "click", "error")):
+        for h in range(170):
+            if rng.random() < 0.03:
+                continue
+            base = 400 + 60 * k + 150 * math.sin(h / (9 + k))
+            times = [*rng.sample(range(1000, 3_590_000_000), rng.randint(3, 12)), 3_600_000_000 - rng.randint(1, 499)]
+            rows += [(rng.randrange(1 << 40), 1_704_067_200_000_000 + h * 3_600_000_000 + us, symbol, round(base * rng.uniform(0.9, 1.1), 2)) for us in times]
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"]).assign(user_id=1, props="")
+    events["ts"] = pd.to_datetime(events["ts"], unit="us")
+    events.to_parquet(path / "events.parquet", coerce_timestamps="us")
+    return str(path)
+
+
+def plain_rows(d):
+    """Rows that compare equal whatever kinds of numbers and lists the two engines give."""
+    plain = lambda x: [*map(plain, x)] if isinstance(x, (list, tuple, np.ndarray)) else int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted(repr(plain(r)) for r in d.astype(object).where(pd.notna(d), None).values.tolist())
+
+
+@pytest.mark.parametrize("name", ["multi_interval_scan"])
+def test_ticks_at_the_end_of_a_bar_count_as_in_the_sql(spark, late_ticks, name):
+    want = sql(name, late_ticks)
+    got = (catalog_series.queries() | catalog.queries())[name](spark, late_ticks).toPandas()[want.columns.tolist()]
+    assert len(want) > 0 and plain_rows(got) == plain_rows(want)
+
+
 # order statistics, joins in time, windows, outcomes as a stream
 
 
