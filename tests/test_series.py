@@ -253,7 +253,7 @@ def plain_rows(d):
     return sorted(repr(plain(r)) for r in d.astype(object).where(pd.notna(d), None).values.tolist())
 
 
-@pytest.mark.parametrize("name", ["multi_interval_scan", "opportunity_lifecycle", "planned_or_samples", "planned_or_samples_found", "quotes_asof", "rough_displayed", "rough_evaluations", "rough_mail", "rough_signal_rows", "rough_summary_mail"])
+@pytest.mark.parametrize("name", ["multi_interval_scan", "opportunity_lifecycle", "planned_or_samples", "planned_or_samples_found", "quotes_asof", "rough_displayed", "rough_evaluations", "rough_mail", "rough_signal_rows", "rough_summary_mail", "signal_badges"])
 def test_ticks_at_the_end_of_a_bar_count_as_in_the_sql(spark, late_ticks, name):
     want = sql(name, late_ticks)
     got = (catalog_series.queries() | catalog.queries())[name](spark, late_ticks).toPandas()[want.columns.tolist()]
