@@ -196,6 +196,27 @@ def test_bars_take_the_nearest_millisecond_as_the_sql_does(spark, tmp_path):
     assert catalog_series.queries()["quotes_asof"](spark, tmp_path).orderBy("open_time").toPandas().fillna(-1).values.tolist() == sql("quotes_asof", tmp_path).sort_values("open_time").fillna(-1).values.tolist()
 
 
+def test_a_task_of_many_batches_of_ticks_passes_one_row_per_bar(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(rng.choice("ab"), rng.randrange(20 * HOUR), i, float(rng.randint(1, 900))) for i in range(3000)]
+    ticks = spark.createDataFrame(rows, "symbol string, ms long, tie long, price double").select("symbol", F.timestamp_millis("ms").alias("ts"), "tie", "price").coalesce(1)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        want.setdefault((r[0], r[1] // HOUR * HOUR), []).append(r)
+    want = [(*k, b[0][3], b[-1][3], max(r[3] for r in b), min(r[3] for r in b), sum(r[3] for r in b), len(b)) for k, b in sorted(want.items())]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 70)
+    try:
+        names = ["symbol", "open_time", "open", "close", "high", "low", "total", "n"]
+        assert [tuple(r) for r in keyed.partial_bars(ticks, HOUR).select(*names).orderBy("symbol", "open_time").collect()] == want
+        monkeypatch.setattr(keyed, "HELD", 10)  # a task that may not hold all bars passes more rows, with the same sums
+        parts = keyed.partial_bars(ticks, HOUR).collect()
+        assert len(parts) > len(want) and sum(r.n for r in parts) == len(rows) and sum(r.total for r in parts) == sum(r[3] for r in rows)
+    finally:
+        spark.conf.set(name, before)
+
+
 def sql(name, sf):
     db = duckdb.connect()
     db.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")

@@ -223,34 +223,38 @@ def correction_changes(spark, d):
 
 # streams with state per key
 
-#: Parts in which a stream's ticks come, and the part before which it is stopped and started again.
+#: Parts in which a stream's rows come, and the part before which a stream that takes several in a run is stopped and started again.
 SLICES, RESTART = 6, 3
 _CLOSED = oracle.candles().replace("candles AS", "every AS", 1) + f""",
 candles AS (SELECT * FROM every WHERE close_time <= (SELECT max(close_time) FROM every) - {base.H4})"""
 
 
 def _arriving(spark, d, path):
-    """A function that lets the events of some slices of their time arrive as files, one after another, and the stream that reads them."""
+    """A function that lets the events of a slice of their time arrive, and the stream that reads them.
+
+    A slice is as many files as the tasks that read it write, however many ticks it holds. A run of the
+    stream takes what has arrived as one batch, so each slice has a run of its own.
+    """
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("tie"), F.col("value").alias("price"))
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     width = (high - low) / SLICES if low is not None else None
 
-    def arrive(first: int, end: int) -> None:
-        for i in range(first, end):
-            part = rows if width is None else rows.filter((F.col("ts") >= low + width * i) & ((F.col("ts") < low + width * (i + 1)) if i < SLICES - 1 else F.lit(True)))
-            part.coalesce(1).write.mode("append").parquet(f"{path}/in")  # a file each, so that a batch takes one slice
+    def arrive(i: int) -> None:
+        part = rows if width is None else rows.filter((F.col("ts") >= low + width * i) & ((F.col("ts") < low + width * (i + 1)) if i < SLICES - 1 else F.lit(True)))
+        part.write.mode("append").parquet(f"{path}/in")
 
-    return arrive, lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return arrive, lambda: spark.readStream.schema(rows.schema).parquet(f"{path}/in")
 
 
 @query(base._SIGNALS.replace(oracle.evaluated(), oracle.evaluated(base.NOW, base.H4, _CLOSED)) + " SELECT opportunity_id, created_ms, level, lifecycle_status FROM (SELECT *, lag(level) OVER w AS l0, lag(lifecycle_status) OVER w AS s0 FROM sig WINDOW w AS (PARTITION BY opportunity_id ORDER BY created_ms)) WHERE l0 IS NULL OR l0 <> level OR s0 <> lifecycle_status")
 def stream_keyed_log(spark, d):
     path = new_path(spark, "stream-keyed")
     arrive, ticks = _arriving(spark, d, path)
-    for first, end in ((0, RESTART), (RESTART, SLICES)):  # the second run goes on from the first one's checkpoints
-        arrive(first, end)
+    for i in range(SLICES):  # each run goes on from the checkpoints of the one before
+        arrive(i)
         keyed.signals_to(ticks(), path, base.NOW, BENCHMARK, live.signals, "4 hours", None).awaitTermination()
-        keyed.changes_to(spark, path, None).awaitTermination()
+        if i + 1 in (RESTART, SLICES):
+            keyed.changes_to(spark, path, None).awaitTermination()
     return spark.read.schema(keyed.SIGNAL).parquet(f"{path}/log")
 
 
@@ -348,11 +352,11 @@ def session_runs(spark, d):
 
 
 def _streamed(spark, d, made, name):
-    """The rows that a stream in append mode gives over the slices, stopped and started again between two."""
+    """The rows that a stream in append mode gives over the slices, stopped and started again between any two."""
     path = new_path(spark, name)
     arrive, ticks = _arriving(spark, d, path)
-    for first, end in ((0, RESTART), (RESTART, SLICES)):
-        arrive(first, end)
+    for i in range(SLICES):
+        arrive(i)
         rows = made(ticks())
         rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out")

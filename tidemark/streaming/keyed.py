@@ -35,17 +35,40 @@ BAR = np.dtype([("open_time", "i8"), ("first_ms", "i8"), ("first_tie", "i8"), ("
 OUT = "symbol string, seq long, own boolean, open_time long, open double, high double, low double, close double, total double, n long"
 
 
+#: Rows of bars that a task holds before it joins those of one bar.
+HELD = 100_000
+
+
+def joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Parts of bars, in the columns of PARTIAL, as one row per symbol and bar."""
+    rows, keys = pd.concat(parts, ignore_index=True), ["symbol", "open_time"]
+    first = rows.sort_values(["first_ms", "first_tie"], kind="stable").drop_duplicates(keys)[[*keys, "closes", "first_ms", "first_tie", "open"]]
+    last = rows.sort_values(["last_ms", "last_tie"], kind="stable").drop_duplicates(keys, keep="last")[[*keys, "last_ms", "last_tie", "close"]]
+    whole = rows.groupby(keys, sort=False).agg(high=("high", "max"), low=("low", "min"), total=("total", "sum"), n=("n", "sum")).reset_index()
+    return first.merge(last, on=keys).merge(whole, on=keys)
+
+
 def partial_bars(ticks: DataFrame, interval_ms: int) -> DataFrame:
-    """Ticks (symbol, ts, tie, price) as one row per symbol and bar of each read batch; ticks without a symbol, time or price are dropped."""
+    """Ticks (symbol, ts, tie, price) as one row per symbol and bar of each task that reads them, or few; ticks without a symbol, time or price are dropped."""
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for t in batches:
             t = t.sort_values(["ms", "tie"], kind="stable")
             t["open_time"] = t["ms"] // interval_ms * interval_ms
             g = t.groupby(["symbol", "open_time"], sort=False)
             out = g.agg(first_ms=("ms", "first"), first_tie=("tie", "first"), open=("price", "first"), last_ms=("ms", "last"), last_tie=("tie", "last"), close=("price", "last"), high=("price", "max"), low=("price", "min"), total=("price", "sum"), n=("price", "size")).reset_index()
             out.insert(2, "closes", pd.to_datetime(out["open_time"] + interval_ms, unit="ms"))
-            yield out
+            held.append(out)
+            size += len(out)
+            if size > HELD:
+                held = [joined(held)]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield held.pop()
+                    size = 0
+        if held:
+            yield joined(held)
 
     own = ticks.select("symbol", millis(F.col("ts")).alias("ms"), F.col("tie").cast("long").alias("tie"), F.col("price").cast("double").alias("price"))
     return own.filter("symbol is not null and ms is not null and price is not null").mapInPandas(summed, PARTIAL)
