@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -305,6 +307,53 @@ def test_language_model(spark):
     assert lm.score(table(spark, []), F.lit(False)).count() == 0
 
 
+class Docs:
+    """Stands for documents and keeps the function that a worker is given."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+    def groupBy(self, *keys):  # noqa: N802
+        return self
+
+    def agg(self, *sums):
+        return self
+
+
+def test_language_model_counts_in_bounded_memory(spark, monkeypatch):
+    """Workers add up the counts of slices while they read, and hand them on in small batches, the same sums whatever they hold."""
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_000, 6))])
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(rng.choice(words, 10_000)) for _ in range(10)], "training": [i % 3 > 0] * 10}) for i in range(18)]
+    lm.count(docs := Docs())
+    sums = []
+    tracemalloc.start()
+    for batch in docs.run(iter(batches)):
+        assert batch.num_rows <= 50_000
+        sums.append([int(np.sum(batch.column(c).to_numpy())) for c in ("total", "known")])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6, peak
+    # each word and its space, and the end of each text, as bytes and as tokens
+    assert np.sum(sums, 0).tolist() == [n * (10_000 * 7 + 1 + 10_000 + 1) for n in (180, 120)]
+    few = [b.slice(0, 1) for b in batches[:4]]
+    added = []
+    for loose, counted in ((1 << 30, 1 << 30), (1, 1), (1, 1 << 30)):
+        monkeypatch.setattr(lm, "LOOSE_KEYS", loose)
+        monkeypatch.setattr(lm, "COUNTED_KEYS", counted)
+        got = Counter()
+        for batch in docs.run(iter(few)):
+            for r in batch.to_pylist():
+                got[r["gram"], r["key"], "total"] += r["total"]
+                got[r["gram"], r["key"], "known"] += r["known"]
+        added.append(got)
+    assert added[0] == added[1] == added[2]
+
+
 def test_trie_probabilities_sum_to_one():
     tokens = [b"the", b"then", b"that", b"a", b"an", b"", b"x\xff"]
     ends = np.cumsum([0, *map(len, tokens)])

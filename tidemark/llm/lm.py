@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import ppm, shingles
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, written
 from tidemark.llm.quality import held_out
 
 #: Most frequent tokens, and n-grams, that are broadcast (16 bytes each).
 FREQUENT, FREQUENT_GRAMS = 1 << 18, 1 << 20
-#: Bytes of text after which a worker hands on its counts.
-COUNT_BYTES = 24_000_000
+#: Keys of single slices that a worker holds before it adds up equal ones, different keys after which it hands on its counts, and rows that it hands on at once.
+LOOSE_KEYS, COUNTED_KEYS, ROWS_AT_ONCE = 400_000, 1_000_000, 50_000
 #: Nearest bytes of a context by which n-grams are brought together, and n-grams coded at once (more where more share these bytes).
-HEAD, GRAMS_AT_ONCE = 3, 400_000
+HEAD, GRAMS_AT_ONCE = 3, 200_000
 
 U = np.uint64
 #: The key of the end of a text, a token without bytes.
@@ -77,13 +77,17 @@ def count(docs: DataFrame) -> DataFrame:
     ``docs`` has ``text`` and ``training``. Workers count before anything is shuffled.
     """
 
+    def added(held: list) -> tuple:
+        return tuple(_counted(*(np.concatenate(part) for part in zip(*(h[gram] for h in held), strict=True))) for gram in (False, True))
+
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        for gram in (False, True):
-            key, total, known = _counted(*(np.concatenate(part) for part in zip(*(h[gram] for h in held), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), gram)), pa.array(key), pa.array(total), pa.array(known)], ["gram", "key", "total", "known"])
+        for gram, columns in enumerate(held[0] if len(held) == 1 else added(held)):
+            for at in range(0, len(columns[0]), ROWS_AT_ONCE):
+                key, total, known = (c[at : at + ROWS_AT_ONCE] for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bool(gram))), pa.array(key), pa.array(total), pa.array(known)], ["gram", "key", "total", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, loose = [], 0
         for batch in batches:
             column, training = batch.column("text"), np.array(batch.column("training"))
             for a, b in shingles.slices(column):
@@ -91,14 +95,16 @@ def count(docs: DataFrame) -> DataFrame:
                 tokens, bounds = _tokens(texts)
                 grams, sizes = _grams(texts)
                 held.append((_occurrences(tokens, np.repeat(training[a:b], np.diff(bounds))), _occurrences(grams, np.repeat(training[a:b], sizes))))
-                size += int(texts.nbytes)
-                if size > COUNT_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
+                loose += sum(len(columns[0]) for columns in held[-1])
+                if loose > LOOSE_KEYS:
+                    held, loose = [added(held)], 0
+                    if sum(len(columns[0]) for columns in held[0]) > COUNTED_KEYS:
+                        yield from flush(held)
+                        held = []
         if held:
             yield from flush(held)
 
-    counted = docs.select("text", "training").mapInArrow(run, "gram boolean, key long, total long, known long")
+    counted = docs.select("text", "training").mapInArrow(lean(run), "gram boolean, key long, total long, known long")
     return counted.groupBy("gram", "key").agg(F.sum("total").alias("total"), F.sum("known").alias("known"))
 
 
@@ -132,7 +138,7 @@ def code(counted: DataFrame, at_once: int = GRAMS_AT_ONCE) -> DataFrame:
 
     near = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * HEAD)) - 1)
     together = grams.withColumn("near", near).repartition("near").sortWithinPartitions("near")
-    return together.mapInArrow(run, "key long, total long, code double")
+    return together.mapInArrow(lean(run), "key long, total long, code double")
 
 
 def _most(df: DataFrame, most: int, *columns: str) -> dict:
@@ -151,8 +157,9 @@ def _found(head: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each key in the sorted ``head``, and whether it is there."""
     if not len(head):
         return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+    keys, inverse = np.unique(keys, return_inverse=True)  # sorted, they are found one next to the other
     at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-    return at, head[at] == keys
+    return at[inverse], (head[at] == keys)[inverse]
 
 
 def _per_text(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +218,7 @@ def score(docs: DataFrame, out: Column, text_col: str = "text", frequent: int =
                 number += n
 
     kind = "doc_id long, held_out boolean, row long, n_tokens long, seen_log double, seen_known double, seen_score double, rare array<long>, times array<int>, rare_grams array<long>, gram_times array<int>"
-    first = written(own.select("doc_id", "held_out", "text").mapInArrow(run, kind), "texts-scored")
+    first = written(own.select("doc_id", "held_out", "text").mapInArrow(lean(run), kind), "texts-scored")
 
     def met(keys: str, times: str, table: DataFrame) -> DataFrame:
         rare = first.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t")).select("row", "t.key", "t.times")
