@@ -324,6 +324,43 @@ class Docs:
         return self
 
 
+def test_signatures_are_packed_whole():
+    rng, parts, n = np.random.default_rng(8), 51, 300_000
+    index = {k: i for i, k in enumerate(rng.integers(-1 << 62, 1 << 62, 2000).tolist())}
+    node = rng.integers(0, len(index), n).astype(np.uint32)
+    # some signatures are had by many sets
+    sig = np.where(np.arange(n) % 10 == 0, rng.integers(1, 40, n), rng.integers(1, 1 << 62, n)).astype(np.uint64)
+    keys, nodes, signatures = list(index), [node], [sig]
+    batches = list(jaccard._pack(index, nodes, signatures, parts))
+    want, seen = Counter(), Counter()
+    for i in np.argsort(sig, kind="stable").tolist():
+        hot = seen[int(sig[i])] > jaccard.COLD
+        seen[int(sig[i])] += 1
+        key = keys[node[i]]
+        want[(key % (1 << 64) if hot else int(sig[i])) % parts, key, int(sig[i]) >> 16, hot] += 1
+    got = Counter()
+    for batch in batches:
+        for r in batch.to_pylist():
+            key, short, hot = jaccard._unpacked(r["payload"])
+            got.update(zip([r["part"]] * len(key), key.tolist(), short.tolist(), [k < hot for k in range(len(key))], strict=True))
+    assert got == want
+
+
+def test_signatures_in_bounded_memory(spark):
+    """A worker packs the signatures of some hundred thousand at a time, however many its partition has."""
+    rng = np.random.default_rng(9)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_000, 6))])
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(rng.choice(words, 2000)) for _ in range(20)]}) for _ in range(40)]
+    jaccard._signatures(docs := Docs(), 51, "text")
+    assert sum(b.num_rows for b in docs.run(iter(batches[:1]))) == 51  # libraries are loaded
+    tracemalloc.start()
+    packed = sum(b.num_rows for b in docs.run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert packed >= 51
+    assert peak < 30e6, peak
+
+
 def test_language_model_counts_in_bounded_memory(spark, monkeypatch):
     """Workers add up the counts of slices while they read, and hand them on in small batches, the same sums whatever they hold."""
     rng = np.random.default_rng(4)

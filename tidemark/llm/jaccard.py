@@ -48,7 +48,7 @@ SLOTS = COLD
 #: Sets of a block that are compared with those of another at once, where buckets stay hot.
 BLOCK = 2048
 #: Signatures that a worker packs at once, and that one target partition should hold.
-PACKED_AT_ONCE, PART_SIGNATURES = 1_000_000, 2_000_000
+PACKED_AT_ONCE, PART_SIGNATURES = 500_000, 2_000_000
 #: Hubs that are tried in buckets that stay open before their members are compared in blocks.
 TURNS = 1
 #: Documents whose ids are broadcast to pick their texts; more of them are joined by a shuffle.
@@ -194,14 +194,13 @@ def _pack(index: dict[int, int], nodes: list, signatures: list, parts: int) -> I
     del nodes[:], signatures[:]
     order = np.argsort(sig, kind="stable")
     node, sig = node[order], sig[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    over = np.arange(len(sig)) - first[group] > COLD
-    to = np.where(over, keys[node].astype(U), sig) % U(parts)
+    over = np.zeros(len(sig), bool)
+    over[COLD + 1 :] = sig[COLD + 1 :] == sig[: -COLD - 1]
+    to = sig % U(parts)
+    to[over] = keys[node[over]].astype(U) % U(parts)
     order = np.argsort(to, kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(parts + 1, dtype=U))
+    bounds = np.searchsorted(to, np.arange(parts + 1, dtype=U), sorter=order)
+    del to
     out = []
     for p in range(parts):
         rows = order[bounds[p] : bounds[p + 1]]
@@ -213,9 +212,9 @@ def _pack(index: dict[int, int], nodes: list, signatures: list, parts: int) -> I
             # six bytes of a signature besides its target tell signatures apart as candidates; links are verified later
             short = sig[rows][rows_over].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
             out.append((p, head.tobytes() + keys[local].tobytes() + place[rows_over].astype(wide).tobytes() + np.ascontiguousarray(short).tobytes()))
-    for i in range(0, len(out), 64):
-        part = out[i : i + 64]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], ["part", "payload"])
+        if len(out) == 64 or out and p == parts - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "payload"])
+            out = []
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -241,9 +240,9 @@ def _buckets(packed: DataFrame) -> DataFrame:
         by_part: dict[int, list] = {}
         for batch in batches:
             for p, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
-                by_part.setdefault(p, []).append(_unpacked(payload.as_buffer()))
+                by_part.setdefault(p, []).append(payload.as_buffer().to_pybytes())
         for p in list(by_part):
-            blobs = by_part.pop(p)
+            blobs = [_unpacked(payload) for payload in by_part.pop(p)]
             hot_node = np.concatenate([n[:o] for n, _, o in blobs])
             hot_sig = np.concatenate([s[:o] for _, s, o in blobs])
             node = np.concatenate([n[o:] for n, _, o in blobs])
